@@ -1,4 +1,4 @@
 """Every operator as a query over the supplied tables."""
 
-from rosterline.catalog import cleaning, merging, resolving, scoring, selection  # noqa: F401
+from rosterline.catalog import cleaning, merging, resolving, scoring, selection, summaries, viewing  # noqa: F401
 from rosterline.catalog.registry import QUERIES, SQL  # noqa: F401
