@@ -63,9 +63,15 @@ _STACKED = f"""stacked AS (
                                                 for c in RECORD)}, 'crm;irs_bmf' FROM orgs)"""
 
 
-@query("merge_exact_key", over_orgs(f"""
-SELECT min(_ord) AS _ord, {firsts(RECORD, '_ord')}, {lineage_sql()}
-FROM stacked GROUP BY CASE WHEN coalesce(ein, '') = '' THEN 'row ' || _ord ELSE ein END""", _STACKED))
+def own_row_sql(key: str) -> str:
+    return f"CASE WHEN coalesce({key}, '') = '' THEN 'row ' || _ord ELSE {key} END"
+
+
+def merged_sql(rows: str, group: str) -> str:
+    return f"SELECT min(_ord) AS _ord, {firsts(RECORD, '_ord')}, {lineage_sql()} FROM {rows} GROUP BY {group}"
+
+
+@query("merge_exact_key", over_orgs(merged_sql("stacked", own_row_sql("ein")), _STACKED))
 def merge_exact_key(spark, sf_dir):
     return resolve.merge_exact(_stacked(spark, sf_dir))
 
@@ -73,9 +79,7 @@ def merge_exact_key(spark, sf_dir):
 _DOMAIN = r"regexp_replace(lower(regexp_extract(website, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)), '^www\.', '')"
 
 
-@query("merge_domain", over_orgs(f"""
-SELECT min(_ord) AS _ord, {firsts(RECORD, '_ord')}, {lineage_sql()}
-FROM orgs GROUP BY CASE WHEN coalesce({_DOMAIN}, '') = '' THEN 'row ' || _ord ELSE {_DOMAIN} END"""))
+@query("merge_domain", over_orgs(merged_sql("orgs", own_row_sql(_DOMAIN))))
 def merge_domain(spark, sf_dir):
     return resolve.merge_domain(organizations(spark, sf_dir).select("_ord", *RECORD, "data_sources"))
 
@@ -92,23 +96,33 @@ def merge_domain_shared(spark, sf_dir):
     )
 
 
-# The measure and the greedy rule in SQL: a row of LCS lengths per character, then one step per row
-# of a block with the list of anchors so far.
-_FUZZY = """named AS (
-  SELECT _ord, upper(state) || '|' || upper(city) AS block,
-         array_to_string(list_sort(list_filter(string_split(org_name, ' '), lambda x: x <> '')), ' ') AS name
-  FROM orgs WHERE state IS NOT NULL AND city IS NOT NULL AND org_name IS NOT NULL),
-placed AS (SELECT *, row_number() OVER (PARTITION BY block ORDER BY _ord) AS k FROM named),
-texts AS (SELECT DISTINCT a.name AS x, b.name AS y FROM placed a JOIN placed b ON a.block = b.block AND a.k < b.k),
-grid AS (
+# The measure and the greedy rule in SQL: one row of LCS lengths per character of the second text,
+# then one step per row of a block with the list of its anchors so far.
+def lcs_sql(texts: str) -> str:
+    """A query giving ``x, y, lcs`` for the distinct pairs of texts."""
+    return f"""(
   WITH RECURSIVE g(x, y, i, dp) AS (
-    SELECT x, y, 0, list_transform(range(0, length(x) + 1), lambda j: 0) FROM texts
+    SELECT x, y, 0, list_transform(range(0, length(x) + 1), lambda j: 0) FROM {texts}
     UNION ALL
     SELECT x, y, i + 1, list_transform(range(0, length(x) + 1), lambda j: CASE WHEN j = 0 THEN 0 ELSE
       list_max(list_transform(range(1, j + 1), lambda q:
         CASE WHEN x[q] = y[i + 1] THEN dp[q] + 1 ELSE dp[q + 1] END)) END)
     FROM g WHERE i < length(y))
-  SELECT x, y, dp[length(x) + 1] AS lcs FROM g WHERE i = length(y)),
+  SELECT x, y, dp[length(x) + 1] AS lcs FROM g WHERE i = length(y))"""
+
+
+def words_sql(text: str) -> str:
+    return f"array_to_string(list_sort(list_filter(string_split({text}, ' '), lambda x: x <> '')), ' ')"
+
+
+def walk_sql(rows: str) -> str:
+    """Common table expressions up to ``walk``: the cluster of each comparable row."""
+    return f"""named AS (
+  SELECT _ord, upper(state) || '|' || upper(city) AS block, {words_sql('org_name')} AS name
+  FROM {rows} WHERE state IS NOT NULL AND city IS NOT NULL AND org_name IS NOT NULL),
+placed AS (SELECT *, row_number() OVER (PARTITION BY block ORDER BY _ord) AS k FROM named),
+texts AS (SELECT DISTINCT a.name AS x, b.name AS y FROM placed a JOIN placed b ON a.block = b.block AND a.k < b.k),
+grid AS {lcs_sql('texts')},
 near AS (
   SELECT b.block, b.k, list(a._ord) AS earlier FROM placed a JOIN placed b ON a.block = b.block AND a.k < b.k
   JOIN grid ON grid.x = a.name AND grid.y = b.name
@@ -126,26 +140,44 @@ walk AS (
   SELECT _ord, cluster FROM w)"""
 
 
-@query("merge_fuzzy", over_orgs(f"""
-SELECT min(_ord) AS _ord, {firsts(RECORD, '_ord')}, {lineage_sql()}
-FROM (SELECT orgs.*, coalesce(cluster, _ord) AS cluster FROM orgs LEFT JOIN walk USING (_ord)) GROUP BY cluster""", _FUZZY))
+def clustered_sql(rows: str) -> str:
+    return f"(SELECT r.*, coalesce(cluster, r._ord) AS cluster FROM {rows} r LEFT JOIN walk ON walk._ord = r._ord)"
+
+
+@query("merge_fuzzy", over_orgs(merged_sql(clustered_sql("orgs"), "cluster"), walk_sql("orgs")))
 def merge_fuzzy(spark, sf_dir):
     return resolve.merge_fuzzy(organizations(spark, sf_dir).select("_ord", *RECORD, "data_sources"))
 
 
-@query("deduplicate")
+_TIERS = f"""{_STACKED},
+exact AS ({merged_sql('stacked', own_row_sql('ein'))}),
+{walk_sql('exact')},
+fuzzy AS ({merged_sql(clustered_sql('exact'), 'cluster')}),
+final AS ({merged_sql('fuzzy', own_row_sql(_DOMAIN))})"""
+
+
+@query("deduplicate", over_orgs("SELECT * FROM final", _TIERS))
 def deduplicate(spark, sf_dir):
     """All three tiers over organisations from two sources."""
     return resolve.deduplicate(_stacked(spark, sf_dir))
 
 
-@query("tier_counts")
+@query("tier_counts", over_orgs(" UNION ALL ".join(
+    f"SELECT '{tier}' AS tier, count(*) AS rows FROM {rows}"
+    for tier, rows in (("start", "stacked"), ("exact", "exact"), ("fuzzy", "fuzzy"), ("domain", "final"))), _TIERS))
 def tier_counts(spark, sf_dir):
     return resolve.tier_counts(_stacked(spark, sf_dir))
 
 
-@query("name_similarity")
+_PAIRS = f"""pairs AS (SELECT _ord, {words_sql('org_name')} AS x,
+                {words_sql("(services_offered || ' ' || lower(city))")} AS y FROM orgs),
+distinct_pairs AS (SELECT DISTINCT x, y FROM pairs), grid AS {lcs_sql('distinct_pairs')}"""
+
+
+@query("name_similarity", over_orgs("""
+SELECT _ord, round_even(200 * lcs / (length(x) + length(y)), 4) AS score FROM pairs JOIN grid USING (x, y)""", _PAIRS))
 def name_similarity(spark, sf_dir):
-    """Each organisation's name against its part's category text."""
-    orgs = organizations(spark, sf_dir)
-    return orgs.select("_ord", F.bround(similarity(F.col("org_name"), F.concat("services_offered", F.lit(" "), F.lower("city"))), 4).alias("score"))
+    """Each organisation's name against its category and city."""
+    other = F.concat("services_offered", F.lit(" "), F.lower("city"))
+    score = similarity(F.col("org_name"), other)
+    return organizations(spark, sf_dir).select("_ord", F.bround(score, 4).alias("score"))

@@ -91,12 +91,18 @@ def page_details(pages: DataFrame, keep: Sequence[str] = ("url",)) -> DataFrame:
     )
 
 
+def one_per(df: DataFrame, key: str) -> DataFrame:
+    """One row per key, the same one on every run."""
+    rest = [c for c in df.columns if c != key]
+    return df.groupBy(key).agg(F.min(F.struct(*rest)).alias("_row")).select(key, "_row.*")
+
+
 def combine_evidence(evidence: DataFrame, details: DataFrame, key: str = "ein") -> DataFrame:
     """Result evidence wins, the chosen site's page fills what it left open."""
-    pages = details.select(
+    pages = one_per(details.select(
         F.col("url").alias("website"), *[F.col(c).alias(f"_site_{c}") for c in ("phone", "email", *SOCIAL)],
         "mission_statement",
-    ).dropDuplicates(["website"])
+    ), "website")
     joined = evidence.join(pages, "website", "left")
     return joined.select(
         key, "website",
@@ -117,6 +123,6 @@ def enrich_from_pages(df: DataFrame, pages: DataFrame, order: str = "_ord") -> D
     details = page_details(pages).withColumnRenamed("url", "website")
     found = (
         df.filter(needs_enrichment()).select(order, "website")
-        .join(details.dropDuplicates(["website"]), "website").drop("website")
+        .join(one_per(details, "website"), "website").drop("website")
     )
     return fill_back(df, found, order, columns, empty_is_missing=False)

@@ -40,12 +40,13 @@ def filled_columns(source: DataFrame, columns: Iterable[str]) -> list[str]:
     return [c for c in columns if row[c]]
 
 
-def spread_null_key(key: Column, order: Column) -> Column:
+def spread_null_key(key: Column, *row: Column | str) -> Column:
     """A join key that is never null: rows without one get many keys no other side has.
 
-    In an outer join every null key would otherwise land in the same task.
+    In an outer join every null key would otherwise land in the same task. ``row`` are columns that
+    tell such rows apart.
     """
-    spare = F.concat(F.lit("\u0000none "), F.pmod(F.xxhash64(order), F.lit(SALTS)).cast("string"))
+    spare = F.concat(F.lit("\u0000none "), F.pmod(F.xxhash64(*row), F.lit(SALTS)).cast("string"))
     return F.coalesce(key.cast("string"), spare)
 
 
@@ -146,10 +147,15 @@ def add_coordinates(df: DataFrame, gazetteer: DataFrame, column: str = "zip_code
     return keyed.join(places, "_k", "left").drop("_k")
 
 
+def _beside(full: DataFrame, other: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
+    """The table with the other one's values as ``_new_`` columns; the other has a key once."""
+    new = other.select(F.col(key).cast("string").alias("_k"), *[F.col(c).alias(f"_new_{c}") for c in columns])
+    return full.withColumn("_k", spread_null_key(F.col(key), *full.columns)).join(new, "_k", "left")
+
+
 def update_back(full: DataFrame, enriched: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
     """Values of the enriched subset overwrite the full table; its nulls do not."""
-    new = enriched.select(F.col(key), *[F.col(c).alias(f"_new_{c}") for c in columns])
-    joined = full.join(new, key, "left")
+    joined = _beside(full, enriched, key, columns)
     return joined.select(*[
         F.coalesce(F.col(f"_new_{c}"), F.col(c)).alias(c) if c in columns else F.col(c)
         for c in full.columns
@@ -164,8 +170,7 @@ def fill_back(
     ``empty_is_missing`` says whether an empty text in the table counts as missing. The column
     ``fields_updated`` tells how many cells of the row changed.
     """
-    new = found.select(F.col(key), *[F.col(c).alias(f"_new_{c}") for c in columns])
-    joined = full.join(new, key, "left")
+    joined = _beside(full, found, key, columns)
 
     def taken(c: str) -> Column:
         missing = is_blank(F.col(c)) if empty_is_missing else F.col(c).isNull()

@@ -77,7 +77,9 @@ def fuzzy_clusters(
     others, and else the first copy does.
     """
     rows = block_names(df, name, block, order)
-    names = rows.groupBy("block", "name").agg(F.min("ord").alias("ord"), F.count(F.lit(1)).alias("copies"))
+    names = cut_lineage(
+        rows.groupBy("block", "name").agg(F.min("ord").alias("ord"), F.count(F.lit(1)).alias("copies"))
+    )
     taken = cluster_names(names.select("block", "name", "ord"), threshold, **limits)
     homes = (
         names.join(taken, "ord", "left")
