@@ -41,47 +41,39 @@ def raw_organizations(spark: SparkSession, sf_dir: str) -> DataFrame:
         .join(key(t("labels"), "doc_id", "quality", "toxic"), "c_custkey", "left")
         .join(key(t("pages"), "page_id", "url"), "c_custkey", "left")
     )
-    custkey, size = c("c_custkey").cast("string"), c("p_size").cast("string")
-    states = F.array(*[F.lit(s).cast("string") for s in NATION_STATES])
-    code = lambda test, yes: F.when(test, F.lit(yes))
-    return joined.select(
-        c("c_custkey").alias("_ord"),
-        F.concat("p_name", F.lit(" "), F.lower("c_mktsegment")).alias("org_name"),
-        F.when(c("c_acctbal") >= 0, F.lpad(custkey, 9, "0")).when(c("c_acctbal") > -500, "").alias("ein"),
-        F.when(c("quality") == 1, "501(c)(3)").when(c("quality") == 0, "501(c)(19)").alias("org_type"),
-        F.when(c("p_size") > 10, F.concat(size, F.lit(" "), "p_type", F.lit(" street")))
-        .when(c("p_size") > 5, "  ").alias("street_address"),
-        c("c_mktsegment").alias("city"),
-        F.get(states, c("c_nationkey")).alias("state"),
-        F.lpad((c("c_custkey") * 7).cast("string"), 5, "0").alias("zip_code"),
-        F.when(c("n_orders") >= 12, (F.lit(5020000000) + c("c_custkey")).cast("string"))
-        .when(c("n_orders") >= 9, "").alias("phone"),
-        F.when(c("toxic") == 0, F.concat(F.lit("Contact"), custkey, F.lit("@Mail.org"))).alias("email"),
-        c("url").alias("website"),
-        F.concat(F.substring("p_type", 1, 1), size).alias("ntee_code"),
-        F.lpad(size, 2, "0").alias("irs_subsection"),
-        c("text").alias("mission_statement"),
-        F.lower("p_type").alias("services_offered"),
-        F.concat(F.lower("p_type"), F.lit(";"), "p_brand").alias("service_categories"),
-        c("revenue").alias("total_revenue"),
-        c("c_acctbal").alias("total_assets"),
-        c("n_orders").cast("double").alias("num_employees"),
-        F.when(c("p_size") > 25, F.concat(
-            F.lit('[{"name":"'), "c_name", F.lit('","title":"Chair","compensation":'), size, F.lit("}]")
-        )).when(c("p_size") > 20, "").alias("key_personnel"),
-        (c("quality") * 4).cast("double").alias("charity_navigator_rating"),
-        F.when(c("toxic") == 1, "Yes").when(c("toxic") == 0, "No").alias("va_accredited"),
-        F.when(c("c_mktsegment") == "BUILDING", F.concat(F.lit("https://facebook.com/"), custkey))
-        .alias("facebook_url"),
-        F.when(c("p_type") == "PROMO", F.concat(F.lit("https://x.com/"), custkey)).alias("twitter_url"),
-        code(c("p_type") == "LARGE", "https://linkedin.com/in/one").alias("linkedin_url"),
-        code(c("c_mktsegment").isin("BUILDING", "FURNITURE"), "https://instagram.com/one")
-        .alias("instagram_url"),
-        code(c("p_size") < 10, "https://youtube.com/cone").alias("youtube_url"),
-        F.concat(
-            F.lit("irs_bmf"), F.when(c("n_orders").isNotNull(), ";propublica").otherwise(""),
-            F.when(c("quality").isNotNull(), ";charity_nav").otherwise(""),
-        ).alias("data_sources"),
+    states = ", ".join("null" if s is None else f"'{s}'" for s in NATION_STATES)
+    return joined.selectExpr(
+        "c_custkey as _ord",
+        "concat(p_name, ' ', lower(c_mktsegment)) as org_name",
+        "case when c_acctbal >= 0 then lpad(c_custkey, 9, '0') when c_acctbal > -500 then '' end as ein",
+        "case quality when 1 then '501(c)(3)' when 0 then '501(c)(19)' end as org_type",
+        "case when p_size > 10 then concat(p_size, ' ', p_type, ' street') when p_size > 5 then '  ' end "
+        "as street_address",
+        "c_mktsegment as city",
+        f"get(array({states}), c_nationkey) as state",
+        "lpad(c_custkey * 7, 5, '0') as zip_code",
+        "case when n_orders >= 12 then string(5020000000 + c_custkey) when n_orders >= 9 then '' end as phone",
+        "case when toxic = 0 then concat('Contact', c_custkey, '@Mail.org') end as email",
+        "url as website",
+        "concat(substring(p_type, 1, 1), p_size) as ntee_code",
+        "lpad(p_size, 2, '0') as irs_subsection",
+        "text as mission_statement",
+        "lower(p_type) as services_offered",
+        "concat(lower(p_type), ';', p_brand) as service_categories",
+        "revenue as total_revenue",
+        "c_acctbal as total_assets",
+        "double(n_orders) as num_employees",
+        """case when p_size > 25 then concat('[{"name":"', c_name, '","title":"Chair","compensation":', p_size, '}]')
+                when p_size > 20 then '' end as key_personnel""",
+        "double(quality * 4) as charity_navigator_rating",
+        "case toxic when 1 then 'Yes' when 0 then 'No' end as va_accredited",
+        "if(c_mktsegment = 'BUILDING', concat('https://facebook.com/', c_custkey), null) as facebook_url",
+        "if(p_type = 'PROMO', concat('https://x.com/', c_custkey), null) as twitter_url",
+        "if(p_type = 'LARGE', 'https://linkedin.com/in/one', null) as linkedin_url",
+        "if(c_mktsegment in ('BUILDING', 'FURNITURE'), 'https://instagram.com/one', null) as instagram_url",
+        "if(p_size < 10, 'https://youtube.com/cone', null) as youtube_url",
+        "concat('irs_bmf', if(n_orders is not null, ';propublica', ''), "
+        "if(quality is not null, ';charity_nav', '')) as data_sources",
     )
 
 

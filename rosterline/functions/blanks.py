@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 # Characters Python's str.strip() removes.
@@ -40,6 +42,22 @@ def no_nan(value: Column) -> Column:
     return F.when(~F.isnan(value), value)
 
 
+# What reads as a number; testing it first is far cheaper than a cast that fails.
+NUMBER = r"(?i)^\s*[+-]?(?:(?:\d+\.?\d*|\.\d+)(?:e[+-]?\d+)?|inf|infinity)\s*$"
+
+
 def to_number(value: Column) -> Column:
-    """Text to double, null where it is not a number."""
-    return no_nan(value.try_cast("double"))
+    """Text to double, null where it is not a number or says NaN."""
+    return F.when(value.rlike(NUMBER), value.try_cast("double"))
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often ``body`` mentions it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def filled_sql(column: str, numeric: bool = False) -> str:
+    """``is_filled`` of a column as SQL text, for expressions over many columns."""
+    if numeric:
+        return f"(`{column}` is not null)"
+    return f"coalesce(btrim(cast(`{column}` as string), '{WHITESPACE}') != '', false)"

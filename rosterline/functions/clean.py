@@ -7,7 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, functions as F
 
 from rosterline import fixed
-from rosterline.functions.blanks import none_if_empty, strip
+from rosterline.functions.blanks import let, none_if_empty, strip
+from rosterline.functions.keywords import any_of, shortest_words
 
 CASED = r"[\p{Lu}\p{Ll}\p{Lt}]"
 UNCASED = r"[^\p{Lu}\p{Ll}\p{Lt}]"
@@ -32,23 +33,20 @@ def normalize_key(value: Column) -> Column:
 
 def normalize_phone(value: Column) -> Column:
     """Ten digits (or eleven led by 1) as ``(ddd) ddd-dddd``; anything else is null."""
-    ten = F.regexp_extract(digits(value), "^1?([0-9]{10})$", 1)
-    return F.when(
-        ten != "",
-        F.concat(F.lit("("), F.substring(ten, 1, 3), F.lit(") "), F.substring(ten, 4, 3),
-                 F.lit("-"), F.substring(ten, 7, 4)),
-    )
+    ten = none_if_empty(F.regexp_extract(digits(value), "^1?([0-9]{10})$", 1))
+    return F.regexp_replace(ten, "^(...)(...)(....)$", r"($1) $2-$3")
 
 
 def normalize_zip(value: Column) -> Column:
     """``ddddd`` or ``ddddd-dddd``; fewer than five characters give null."""
-    kept = F.regexp_replace(value, "[^0-9-]", "")
-    tail = F.ltrim(F.substring(kept, 6, 1_000_000), F.lit("-"))
-    base = F.substring(kept, 1, 5)
-    return F.when(
-        F.length(kept) >= 5,
-        F.when(F.length(tail) == 4, F.concat(base, F.lit("-"), tail)).otherwise(base),
-    )
+
+    def shaped(kept: Column) -> Column:
+        base = F.substring(kept, 1, 5)
+        tail = F.ltrim(F.substring(kept, 6, 1_000_000), F.lit("-"))
+        long = F.when(F.length(tail) == 4, F.concat(base, F.lit("-"), tail)).otherwise(base)
+        return F.when(F.length(kept) >= 5, long)
+
+    return let(F.regexp_replace(value, "[^0-9-]", ""), shaped)
 
 
 def normalize_state(value: Column) -> Column:
@@ -62,7 +60,10 @@ def normalize_email(value: Column) -> Column:
 
 
 def _web_text(value: Column) -> Column:
-    return F.regexp_replace(strip(value), r"[\t\r\n]", "")
+    """Trimmed, with line breaks and tabs taken out as URL readers do."""
+    breaks = lambda text: any_of([F.contains(text, F.lit(ch)) for ch in "\t\r\n"])
+    return let(strip(value), lambda text: F.when(
+        breaks(text), F.regexp_replace(text, r"[\t\r\n]", "")).otherwise(text))
 
 
 def _unbalanced_brackets(host: Column) -> Column:
@@ -71,14 +72,26 @@ def _unbalanced_brackets(host: Column) -> Column:
 
 def normalize_url(value: Column) -> Column:
     """Scheme added when missing, host lower-cased; params, query, fragment and last ``/`` cut."""
-    text = _web_text(value)
-    full = F.when(text.rlike("^https?://"), text).otherwise(F.concat(F.lit("https://"), text))
-    scheme = F.regexp_extract(full, r"^(https?)://", 1)
-    host = F.regexp_extract(full, r"^https?://([^/?#]*)", 1)
-    path = F.regexp_extract(full, r"^https?://[^/?#]*([^?#]*)", 1)
-    path = F.regexp_replace(path, r"^((?:.*/)?[^/;]*);[^/]*$", "$1")
-    url = F.concat(scheme, F.lit("://"), F.lower(host), path)
-    return F.when((text != "") & (host != "") & ~_unbalanced_brackets(host), F.rtrim(url, F.lit("/")))
+
+    def with_scheme(text: Column) -> Column:
+        known = F.startswith(text, F.lit("http://")) | F.startswith(text, F.lit("https://"))
+        full = F.when(known, text).when(text != "", F.concat(F.lit("https://"), text))
+        return F.regexp_extract(full, "^[^?#]*", 0)
+
+    def rebuilt(url: Column) -> Column:
+        def joined(site: Column) -> Column:
+            host = F.substring_index(site, "//", -1)
+            path = F.substring(url, F.length(site) + 1, F.length(url))
+            path = F.when(
+                F.contains(url, F.lit(";")), F.regexp_replace(path, r"^((?:.*/)?[^/;]*);[^/]*$", "$1")
+            ).otherwise(path)
+            # Schemes are lower-case by now, so lower-casing the site touches the host only.
+            whole = F.rtrim(F.concat(F.lower(site), path), F.lit("/"))
+            return F.when((host != "") & ~_unbalanced_brackets(host), whole)
+
+        return let(F.substring_index(url, "/", 3), joined)
+
+    return let(let(_web_text(value), with_scheme), rebuilt)
 
 
 def web_host(value: Column) -> Column:
@@ -93,18 +106,32 @@ def web_domain(value: Column) -> Column:
 
 
 def title_case(value: Column) -> Column:
-    """A capital after every character that is not a cased letter, as in ``O'Neil'S``."""
-    runs = F.regexp_extract_all(F.lower(value), F.lit(f"({CASED}+|{UNCASED}+)"), F.lit(1))
-    return F.array_join(F.transform(runs, F.initcap), "")
+    """A capital after every character that is not a cased letter, as in ``O'Neil'S``.
+
+    Plain words between spaces need only ``initcap``, which is much cheaper.
+    """
+
+    def titled(text: Column) -> Column:
+        runs = F.regexp_extract_all(F.lower(text), F.lit(f"({CASED}+|{UNCASED}+)"), F.lit(1))
+        other = text.rlike("[^A-Za-z ]")
+        return F.when(other, F.array_join(F.transform(runs, F.initcap), "")).otherwise(F.initcap(text))
+
+    return let(value if isinstance(value, Column) else F.col(value), titled)
 
 
 def normalize_name(value: Column, acronyms: Sequence[str] = fixed.NAME_ACRONYMS) -> Column:
     """Title case with single spaces; known acronyms stay upper-case as whole words."""
-    words = F.split(F.regexp_replace(title_case(none_if_empty(strip(value))), r"\s+", " "), " ")
-    return F.array_join(
-        F.transform(words, lambda w: F.when(F.upper(w).isin(*acronyms), F.upper(w)).otherwise(w)),
-        " ",
-    )
+    parts = shortest_words(acronyms)
+
+    def raised(name: Column) -> Column:
+        words = F.transform(
+            F.split(name, " "), lambda w: F.when(F.upper(w).isin(*acronyms), F.upper(w)).otherwise(w)
+        )
+        lowered = F.lower(name)
+        maybe = any_of([F.contains(lowered, F.lit(p)) for p in parts])
+        return F.when(maybe, F.array_join(words, " ")).otherwise(name)
+
+    return let(F.regexp_replace(title_case(none_if_empty(strip(value))), r"\s+", " "), raised)
 
 
 def slug_to_name(slug: Column) -> Column:

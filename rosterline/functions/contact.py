@@ -11,6 +11,9 @@ from rosterline.functions.blanks import none_if_empty, strip
 from rosterline.functions.keywords import any_of
 
 HREF = r"""(?is)<a\b[^>]*?\bhref\s*=\s*["']([^"']*)["']"""
+# An address starts where its run of address characters starts, or where the last one ended. Without
+# this a search tries every character of every word as a start.
+WORD_START = r"(?:\G|(?<![a-zA-Z0-9._%+\-]))"
 ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"),
             ("&middot;", "·"), ("&copy;", "©"), ("&amp;", "&"))
 
@@ -51,13 +54,12 @@ def social_url(html: Column, hrefs: Column, pattern: str, skip: Sequence[str] =
     A skipped address in a link moves on to the next link; in the raw page only the first match
     is looked at.
     """
-    found = F.filter(
+    matches = F.concat(
         F.transform(hrefs, lambda h: F.regexp_extract(h, pattern, 0)),
-        lambda u: (u != "") & usable_profile(u, skip),
+        F.array(F.regexp_extract(html, pattern, 0)),
     )
-    raw = first_match(html, pattern)
-    raw = F.when(usable_profile(raw, skip), raw)
-    return F.rtrim(F.coalesce(F.get(found, F.lit(0)), raw), F.lit("/"))
+    found = F.filter(matches, lambda u: (u != "") & usable_profile(u, skip))
+    return F.rtrim(F.get(found, F.lit(0)), F.lit("/"))
 
 
 def social_urls(
@@ -83,7 +85,7 @@ def first_email(
     endings: Sequence[str] = fixed.SKIP_EMAIL_ENDINGS, parts: Sequence[str] = (),
 ) -> Column:
     """First acceptable address in the text, lower-cased."""
-    found = F.regexp_extract_all(text, F.lit(f"({fixed.EMAIL_PATTERN})"), F.lit(1))
+    found = F.regexp_extract_all(text, F.lit(f"({WORD_START}{fixed.EMAIL_PATTERN})"), F.lit(1))
     lowered = F.transform(found, F.lower)
     return F.get(F.filter(lowered, lambda e: acceptable_email(e, skip, endings, parts)), F.lit(0))
 

@@ -7,7 +7,7 @@ from collections.abc import Iterable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from rosterline import fixed
-from rosterline.functions.blanks import no_nan, to_number
+from rosterline.functions.blanks import NUMBER, to_number
 
 SCHEMA = T.StructType(
     [T.StructField(n, T.DoubleType() if t == "double" else T.StringType()) for n, t in fixed.COLUMNS]
@@ -37,17 +37,17 @@ def coerce_schema(
     """
     present = dict(df.dtypes)
 
-    def one(name: str, kind: str) -> Column:
+    def one(name: str, kind: str) -> str:
+        value = f"`{name}`"
         if name not in present:
-            return F.lit(None).cast(kind).alias(name)
-        value = F.col(name)
+            return f"cast(null as {kind}) as {value}"
         if kind != "double":
-            return value.cast(kind).alias(name)
+            return value if present[name] == kind else f"cast({value} as {kind}) as {value}"
         if present[name] == "string":
-            return to_number(value).alias(name)
-        return no_nan(value.cast("double")).alias(name)
+            return f"case when {value} rlike r'{NUMBER}' then try_cast({value} as double) end as {value}"
+        return f"nullif(cast({value} as double), double('NaN')) as {value}"
 
-    return df.select(*keep, *[one(n, t) for n, t in columns])
+    return df.selectExpr(*keep, *[one(n, t) for n, t in columns])
 
 
 def rename_first_alias(df: DataFrame, aliases: Mapping[str, Sequence[str]]) -> DataFrame:

@@ -7,33 +7,37 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from rosterline import fixed
-from rosterline.functions.blanks import is_filled, is_true
+from rosterline.functions.blanks import filled_sql
 from rosterline.functions.clean import bucket_label, code_label
 from rosterline.operators.coerce import coerce_schema
 
 
+NUMERIC = frozenset(n for n, t in fixed.COLUMNS if t == "double")
+
+
+def _has(column: str) -> str:
+    return filled_sql(column, column in NUMERIC)
+
+
 def completeness(weights: Mapping[str, float] = fixed.WEIGHTS) -> Column:
     """Share of the total weight whose columns are filled, three decimals."""
-    total = sum(weights.values())
-    parts = [F.when(is_filled(F.col(c)), F.lit(w)).otherwise(F.lit(0.0)) for c, w in weights.items()]
-    return F.round(sum(parts[1:], parts[0]) / F.lit(total), 3)
+    parts = " + ".join(f"if({_has(c)}, {w}D, 0D)" for c, w in weights.items())
+    return F.expr(f"round(({parts}) / {sum(weights.values())}D, 3)")
 
 
 def grade() -> Column:
     """A to F by which kinds of fields are filled, checked from the top."""
-    has = lambda name: is_filled(F.col(name))
-    placed = has("street_address") | (has("city") & has("state"))
-    identity = has("org_name") & has("ein") & placed
-    money, code = has("total_revenue"), has("ntee_code")
-    contact = has("phone") | has("email") | has("website")
-    rated = has("charity_navigator_rating") | is_true(F.col("va_accredited") == "Yes")
-    return (
-        F.when(identity & money & contact & rated, "A")
-        .when(identity & money & code, "B")
-        .when(identity & (money | code), "C")
-        .when(identity, "D")
-        .otherwise("F")
-    )
+    placed = f"({_has('street_address')} or ({_has('city')} and {_has('state')}))"
+    identity = f"({_has('org_name')} and {_has('ein')} and {placed})"
+    money, code = _has("total_revenue"), _has("ntee_code")
+    contact = f"({_has('phone')} or {_has('email')} or {_has('website')})"
+    rated = f"({_has('charity_navigator_rating')} or coalesce(va_accredited = 'Yes', false))"
+    return F.expr(f"""
+        case when not {identity} then 'F'
+             when {money} and {contact} and {rated} then 'A'
+             when {money} and {code} then 'B'
+             when {money} or {code} then 'C'
+             else 'D' end""")
 
 
 def group_detail(
@@ -42,22 +46,22 @@ def group_detail(
     lineage: str = "data_sources",
 ) -> Column:
     """A struct per field group: cells filled, cells in all, likely source."""
-    tags = F.lower(F.col(lineage))
-
-    def source(group: str, default: str) -> Column:
-        result = F.lit(default)
-        for name, part, label in reversed(rules):
-            if name == group:
-                result = F.when(is_true(F.contains(tags, F.lit(part))), F.lit(label)).otherwise(result)
-        return result
-
-    def one(name: str, fields: Sequence[str], default: str) -> Column:
-        filled = sum((is_filled(F.col(f)).cast("int") for f in fields), F.lit(0))
-        return F.struct(
-            filled.alias("filled"), F.lit(len(fields)).alias("total"), source(name, default).alias("source")
-        ).alias(name)
-
-    return F.struct(*[one(*g) for g in groups])
+
+    def source(group: str, default: str) -> str:
+        arms = " ".join(
+            f"when contains(lower({lineage}), '{part}') then '{label}'"
+            for name, part, label in rules if name == group
+        )
+        return f"case {arms} else '{default}' end" if arms else f"'{default}'"
+
+    def one(name: str, fields: Sequence[str], default: str) -> str:
+        filled = " + ".join(f"if({_has(f)}, 1, 0)" for f in fields)
+        return (
+            f"'{name}', named_struct('filled', {filled}, 'total', {len(fields)}, "
+            f"'source', {source(name, default)})"
+        )
+
+    return F.expr(f"named_struct({', '.join(one(*g) for g in groups)})")
 
 
 def detail_json() -> Column:
