@@ -97,7 +97,7 @@ def normalize_url(value: Column) -> Column:
 def web_host(value: Column) -> Column:
     """Lower-cased network location; empty when the text has no ``//`` part, null for null."""
     host = F.regexp_extract(_web_text(value), r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//([^/?#]*)", 1)
-    return F.when(_unbalanced_brackets(host), F.lit("")).otherwise(F.lower(host))
+    return let(host, lambda h: F.when(_unbalanced_brackets(h), F.lit("")).otherwise(F.lower(h)))
 
 
 def web_domain(value: Column) -> Column:

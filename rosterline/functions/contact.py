@@ -7,13 +7,10 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, functions as F
 
 from rosterline import fixed
-from rosterline.functions.blanks import none_if_empty, strip
+from rosterline.functions.blanks import let, none_if_empty, strip
 from rosterline.functions.keywords import any_of
 
 HREF = r"""(?is)<a\b[^>]*?\bhref\s*=\s*["']([^"']*)["']"""
-# An address starts where its run of address characters starts, or where the last one ended. Without
-# this a search tries every character of every word as a start.
-WORD_START = r"(?:\G|(?<![a-zA-Z0-9._%+\-]))"
 ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"),
             ("&middot;", "·"), ("&copy;", "©"), ("&amp;", "&"))
 
@@ -45,7 +42,7 @@ def first_match(value: Column, pattern: str) -> Column:
 
 def usable_profile(url: Column, skip: Sequence[str]) -> Column:
     """Not a share, login or help address. The rule lower-cases the address only."""
-    return ~contains_any(F.lower(url), skip)
+    return let(F.lower(url), lambda u: ~contains_any(u, skip))
 
 
 def social_url(html: Column, hrefs: Column, pattern: str, skip: Sequence[str] = ()) -> Column:
@@ -84,10 +81,15 @@ def first_email(
     text: Column, skip: Sequence[str] = fixed.SKIP_EMAILS,
     endings: Sequence[str] = fixed.SKIP_EMAIL_ENDINGS, parts: Sequence[str] = (),
 ) -> Column:
-    """First acceptable address in the text, lower-cased."""
-    found = F.regexp_extract_all(text, F.lit(f"({WORD_START}{fixed.EMAIL_PATTERN})"), F.lit(1))
+    """First acceptable address in the text, lower-cased.
+
+    No address holds a space, so only the pieces between spaces that hold an @ are searched.
+    """
+    pieces = F.filter(F.split(text, " "), lambda piece: F.contains(piece, F.lit("@")))
+    found = F.regexp_extract_all(F.array_join(pieces, " "), F.lit(f"({fixed.EMAIL_PATTERN})"), F.lit(1))
     lowered = F.transform(found, F.lower)
-    return F.get(F.filter(lowered, lambda e: acceptable_email(e, skip, endings, parts)), F.lit(0))
+    first = F.get(F.filter(lowered, lambda e: acceptable_email(e, skip, endings, parts)), F.lit(0))
+    return F.when(F.contains(text, F.lit("@")), first)
 
 
 def mailto_email(hrefs: Column, parts: Sequence[str] = fixed.SKIP_EMAIL_PARTS) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from rosterline import fixed
 from rosterline.functions import contact
-from rosterline.functions.blanks import none_if_empty
+from rosterline.functions.blanks import let, none_if_empty
 from rosterline.functions.clean import web_host
 from rosterline.functions.keywords import any_of
 from rosterline.operators.filters import needs_enrichment
@@ -20,10 +20,12 @@ FOUND = ("website", "phone", "email", "mission_statement", *SOCIAL)
 
 def listed_domain(url: Column, domains: Sequence[str], substring: bool = False) -> Column:
     """Whether the host is one of the domains or below it; ``substring`` looks anywhere in the host."""
-    host = F.replace(web_host(url), F.lit("www."), F.lit(""))
-    if substring:
-        return contact.contains_any(host, domains)
-    return host.isin(*domains) | any_of([F.endswith(host, F.lit("." + d)) for d in domains])
+    def listed(host: Column) -> Column:
+        if substring:
+            return contact.contains_any(host, domains)
+        return host.isin(*domains) | any_of([F.endswith(host, F.lit("." + d)) for d in domains])
+
+    return let(F.replace(web_host(url), F.lit("www."), F.lit("")), listed)
 
 
 def evidence_from_results(
@@ -42,17 +44,20 @@ def evidence_from_results(
     shuffle, however many results a key has.
     """
     text = F.concat(F.coalesce("snippet", F.lit("")), F.lit(" "), F.coalesce("title", F.lit("")))
-    mail = contact.first_match(text, fixed.EMAIL_PATTERN)
     site_ok = ~F.coalesce(listed_domain(F.col("url"), skip_domains, substring_domains), F.lit(False))
-    mail_ok = contact.acceptable_email(F.lower(mail), parts=skip_email)
+
+    def usable_mail(mail: Column) -> Column:
+        return let(F.lower(mail), lambda e: F.when(contact.acceptable_email(e, parts=skip_email), mail))
+
+    def usable_profile(url: Column) -> Column:
+        return F.when(contact.usable_profile(url, skip_social), F.rtrim(url, F.lit("/")))
+
     found = {
         "website": F.when(site_ok, none_if_empty(F.col("url"))),
         "phone": contact.first_phone(text),
-        "email": F.when(mail_ok, mail),
+        "email": F.when(F.contains(text, F.lit("@")), let(contact.first_match(text, fixed.EMAIL_PATTERN), usable_mail)),
+        **{n: let(contact.first_match(F.col("url"), p), usable_profile) for n, p in patterns.items()},
     }
-    for name, pattern in patterns.items():
-        url = contact.first_match(F.col("url"), pattern)
-        found[name] = F.when(contact.usable_profile(url, skip_social), F.rtrim(url, F.lit("/")))
     rows = results.select(key, rank, *[c.alias(n) for n, c in found.items()])
     best = [F.min_by(F.col(n), F.when(F.col(n).isNotNull(), F.col(rank))).alias(n) for n in found]
     return rows.groupBy(key).agg(*best)

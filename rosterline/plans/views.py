@@ -13,6 +13,7 @@ from rosterline.operators import aggregate as agg
 from rosterline.operators.coerce import pick_columns
 from rosterline.operators.filters import in_state
 from rosterline.operators.score import display_tier
+from rosterline.session import cut_lineage
 
 BOARD_COLUMNS = (
     "org_name", "state", "key_personnel", "charity_navigator_rating", "total_revenue", "website",
@@ -207,12 +208,20 @@ def _stack(parts: Sequence[DataFrame]) -> DataFrame:
 
 
 def directory_report(df: DataFrame) -> DataFrame:
-    """Totals, coverage, score bands, grades, top states and types, ranges, sources."""
-    present = lambda c: F.count(c)
+    """Totals, coverage, score bands, grades, top states and types, ranges, sources.
+
+    The parts share one written table of the columns they need.
+    """
+    present = lambda c: F.count_if(c)
+    flags = ("phone", "email", "website", "mission_statement", "total_revenue", "charity_navigator_rating")
+    df = cut_lineage(df.select(
+        "ein", "state", "org_type", "annual_revenue_range", "data_sources", "confidence_score",
+        "confidence_grade", "va_accredited", *[F.col(c).isNotNull().alias(c) for c in flags],
+    ))
     score = F.round(F.col("confidence_score"), 3)
     facts = _facts(df, "directory", {
         "organizations": F.count(F.lit(1)), "distinct_keys": F.count_distinct("ein"),
-        "with_key": present("ein"), "without_key": F.count_if(F.col("ein").isNull()),
+        "with_key": F.count("ein"), "without_key": F.count_if(F.col("ein").isNull()),
         "states": F.count_distinct("state"), "with_phone": present("phone"),
         "with_email": present("email"), "with_website": present("website"),
         "with_mission": present("mission_statement"), "with_financials": present("total_revenue"),
@@ -239,17 +248,27 @@ def directory_report(df: DataFrame) -> DataFrame:
 
 
 def strategy_report(df: DataFrame, state: str, population: DataFrame | None = None) -> DataFrame:
-    """The numbers and short lists of all six views, from the directory."""
-    local, funder, peer, social = is_local(state), is_funder(), is_peer(), is_social()
-    here = lambda c: F.count_if(local & F.col(c).isNotNull())
+    """The numbers and short lists of all six views, from the directory.
+
+    The parts share one written table, so the long texts are searched once.
+    """
+    known = [F.col(c).isNotNull().alias(c) for c in ("phone", "email", "website")]
+    df = cut_lineage(df.select(
+        "_ord", "org_name", "state", "total_revenue", "confidence_score", *known,
+        is_local(state).alias("local"), is_funder().alias("funder"), is_peer().alias("peer"),
+        is_board_prospect().alias("board"), is_social().alias("social"),
+        platform_count().alias("platforms"),
+    ))
+    local, funder, peer, social = (F.col(c) for c in ("local", "funder", "peer", "social"))
+    here = lambda c: F.count_if(local & F.col(c))
     facts = _facts(df, "views", {
         "organizations": F.count(F.lit(1)), "local": F.count_if(local), "local_with_phone": here("phone"),
         "local_with_email": here("email"), "local_with_website": here("website"),
         "funders": F.count_if(funder),
         "funder_revenue": F.bround(agg.total_or_zero(F.when(funder, F.col("total_revenue"))), 2),
-        "peers": F.count_if(peer), "board_prospects": F.count_if(is_board_prospect()),
+        "peers": F.count_if(peer), "board_prospects": F.count_if("board"),
         "social_partners": F.count_if(social),
-        "on_three_platforms": F.count_if(social & (platform_count() >= 3)),
+        "on_three_platforms": F.count_if(social & (F.col("platforms") >= 3)),
     })
     by_score = agg.sort_keys("confidence_score", False)
     return _stack([

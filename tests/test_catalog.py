@@ -1,12 +1,15 @@
-"""Every query against its SQL on the supplied tables."""
+"""Every query against its SQL on the supplied tables, and a look at its plan."""
 
 import os
+import re
 
 import pytest
 
 from rosterline.catalog import QUERIES, SQL
 from tests.compare import database, difference
 
+# Fuzzy scoring and cluster resolution are the only work outside the JVM.
+PYTHON = {"merge_fuzzy", "deduplicate", "tier_counts", "name_similarity"}
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 
@@ -21,4 +24,9 @@ def test_every_query_has_sql():
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_equals_sql(spark, db, name):
-    assert difference(QUERIES[name](spark, SF_DIR), db, SQL[name]) is None
+    df = QUERIES[name](spark, SF_DIR)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan
+    if name not in PYTHON:
+        assert not re.search("ArrowEvalPython|BatchEvalPython|FlatMapGroupsInPandas|MapInPandas", plan)
+    assert difference(df, db, SQL[name]) is None
