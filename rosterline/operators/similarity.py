@@ -139,14 +139,17 @@ def similar_pairs(index: DataFrame, probe: DataFrame, threshold: float) -> DataF
     """Pairs ``(i, j)``, i before j, whose index name is not longer than the probe name.
 
     Inputs have ``block_id, ord, name``. Edit distance bounds the measure from below, so it
-    discards most candidates inside the JVM; only the rest goes through Arrow.
+    discards most candidates inside the JVM; only the rest goes through Arrow. A name becomes
+    hundreds of pieces, so the small tables are spread over all tasks first, and the join is told to
+    shuffle: by their size on disk Spark would broadcast one and leave the work to few tasks.
     """
     if threshold <= 67:
         raise ValueError("pieces would be empty at thresholds of two thirds and less")
     limit = _allowance("length(s_name) + length(r_name)", threshold)
+    tasks = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     near = (
-        index_pieces(index, threshold)
-        .join(probe_pieces(probe, threshold), "piece")
+        index_pieces(index.repartition(tasks), threshold).hint("merge")
+        .join(probe_pieces(probe.repartition(tasks), threshold), "piece")
         .filter((F.col("s_ord") != F.col("r_ord")) & (F.col("s_block") == F.col("r_block")))
         .filter(F.expr(f"levenshtein(s_name, r_name, {limit}) >= 0"))
         .select(F.least("s_ord", "r_ord").alias("i"), F.greatest("s_ord", "r_ord").alias("j"),
@@ -185,56 +188,83 @@ def _settle_edges(edges: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"ord": sorted(taken)}, dtype="int64")
 
 
-def _slices(names: DataFrame, slice_rows: int, growth: int = 4) -> list[tuple[int | None, int | None]]:
-    """Consecutive ranges of the row order, the first of about ``slice_rows`` rows, then growing."""
-    total = names.count()
-    shares, reach = [], slice_rows
-    while reach < total:
-        shares.append(reach / total)
-        reach *= growth
+def candidate_count(names: DataFrame, threshold: float) -> float:
+    """How many pairs would meet in a piece, from counts per piece alone."""
+    left = index_pieces(names, threshold).groupBy("piece").agg(F.count(F.lit(1)).cast("double").alias("a"))
+    right = probe_pieces(names, threshold).groupBy("piece").agg(F.count(F.lit(1)).cast("double").alias("b"))
+    return left.join(right, "piece").agg(F.sum(F.col("a") * F.col("b"))).first()[0] or 0.0
+
+
+def _cuts(names: DataFrame, shares: list[float]) -> list[int]:
     if not shares:
-        return [(None, None)]
-    cuts = names.agg(F.percentile_approx("ord", shares, 100_000)).first()[0]
-    cuts = sorted(set(cuts))
-    return list(zip([None, *cuts], [*cuts, None]))
+        return []
+    return sorted(set(names.agg(F.percentile_approx("ord", shares, 100_000)).first()[0]))
+
+
+def _between(names: DataFrame, low: int | None, high: int | None) -> DataFrame:
+    if low is not None:
+        names = names.filter(F.col("ord") > low)
+    return names if high is None else names.filter(F.col("ord") <= high)
+
 
+def _too_dense(part: DataFrame, threshold: float, max_candidates: float) -> bool:
+    """Whether pairing a slice with itself would go beyond the budget; few names never do."""
+    rows = part.count()
+    return rows > 1 and 10.0 * rows * rows > max_candidates and candidate_count(part, threshold) > max_candidates
 
-def cluster_large(names: DataFrame, threshold: float, slice_rows: int, finish_below: int) -> DataFrame:
-    """``(ord, anchor)`` of every name an earlier anchor takes, for blocks of any size."""
+
+def cluster_large(
+    names: DataFrame, threshold: float, slice_rows: int, max_candidates: float, finish_below: int
+) -> DataFrame:
+    """``(ord, anchor)`` of every name an earlier anchor takes, for blocks of any size.
+
+    The rows are settled in slices of their order, the first of about ``slice_rows`` rows and each
+    four times the one before. Anchors found so far take their rows out of a slice before the rest
+    is paired, and a slice that would still meet in too many pairs is halved. So many names that
+    are all alike cost a few anchors, not all their pairs.
+    """
     names = cut_lineage(names)
-    anchors = result = None
-    for low, high in _slices(names, slice_rows):
-        part = names
-        if low is not None:
-            part = part.filter(F.col("ord") > low)
-        if high is not None:
-            part = part.filter(F.col("ord") <= high)
-        if anchors is not None:
-            hits = similar_pairs(anchors, part, threshold).unionByName(
-                similar_pairs(part, anchors, threshold)
-            )
-            early = cut_lineage(
-                hits.groupBy(F.col("j").alias("ord")).agg(F.min("i").alias("anchor"))
-            )
-            result = early if result is None else result.unionByName(early)
-            part = cut_lineage(part.join(early, "ord", "left_anti"))
+    total = names.count()
+    shares, reach = [], slice_rows
+    while reach < total:
+        shares.append(reach / total)
+        reach *= 4
+    cuts = _cuts(names, shares)
+    waiting = [(_between(names, a, b), 0) for a, b in zip([None, *cuts], [*cuts, None])][::-1]
+    anchors: list[DataFrame] = []
+    result: list[DataFrame] = []
+    while waiting:
+        part, seen = waiting.pop()
+        for earlier in anchors[seen:]:
+            hits = similar_pairs(earlier, part, threshold).unionByName(similar_pairs(part, earlier, threshold))
+            early = cut_lineage(hits.groupBy(F.col("j").alias("ord")).agg(F.min("i").alias("anchor")))
+            result.append(early)
+            part = cut_lineage(part.join(early.select("ord"), "ord", "left_anti"))
+        if _too_dense(part, threshold, max_candidates):
+            middle = _cuts(part, [0.5])[0]
+            halves = [_between(part, None, middle), _between(part, middle, None)]
+            if not halves[1].isEmpty():
+                waiting += [(half, len(anchors)) for half in halves[::-1]]
+                continue
         edges = cut_lineage(similar_pairs(part, part, threshold))
         taken = dominated_rows(edges, finish_below)
-        late = cut_lineage(
+        result.append(cut_lineage(
             edges.join(taken.select(F.col("ord").alias("i")), "i", "left_anti")
             .groupBy(F.col("j").alias("ord")).agg(F.min("i").alias("anchor"))
-        )
-        result = late if result is None else result.unionByName(late)
-        kept = part.join(taken, "ord", "left_anti")
-        anchors = kept if anchors is None else anchors.unionByName(kept)
-    return result
+        ))
+        anchors.append(cut_lineage(part.join(taken, "ord", "left_anti")))
+    found = result[0]
+    for more in result[1:]:
+        found = found.unionByName(more)
+    return found
 
 
 def cluster_names(
     names: DataFrame,
     threshold: float = 85.0,
     small_block: int = 1_000,
-    slice_rows: int = 2_000_000,
+    slice_rows: int = 20_000,
+    max_candidates: float = 2e9,
     finish_below: int = 200_000,
 ) -> DataFrame:
     """``(ord, anchor)`` for names taken by an earlier one; input has ``block, name, ord``.
@@ -250,4 +280,4 @@ def cluster_names(
     large = sized.filter(F.col("size") > small_block).select("block_id", "ord", "name")
     if sizes.filter(F.col("size") > small_block).isEmpty():
         return small
-    return small.unionByName(cluster_large(large, threshold, slice_rows, finish_below))
+    return small.unionByName(cluster_large(large, threshold, slice_rows, max_candidates, finish_below))

@@ -65,7 +65,8 @@ def random_rows(n, seed):
 
 
 @pytest.mark.parametrize("limits", [
-    {}, {"small_block": 1}, {"small_block": 1, "slice_rows": 40, "finish_below": 20},
+    {}, {"small_block": 1}, {"small_block": 1, "slice_rows": 60, "finish_below": 20},
+    {"small_block": 1, "slice_rows": 100, "max_candidates": 3000},
 ])
 @pytest.mark.parametrize("threshold", [85.0, 72.5])
 def test_clusters_are_the_plain_loop(spark, threshold, limits):
@@ -101,6 +102,18 @@ def test_word_order_counts_not_case_does(spark):
     assert {r.ord: r.cluster for r in resolve.fuzzy_clusters(df).collect()} == {0: 0, 1: 0}
 
 
+def test_alike_names_never_meet_in_all_pairs(spark, monkeypatch):
+    """Numbered names in one place, all alike: the slices shrink until few anchors take the rest."""
+    paired = []
+    plain = sim.similar_pairs
+    monkeypatch.setattr(sim, "similar_pairs", lambda a, b, t: (paired.append(plain(a, b, t)), paired[-1])[1])
+    rows = [(i, "KY", "c", f"Member Club Number {i:05d}") for i in range(1500)]
+    df = spark.createDataFrame(rows, "_ord long, state string, city string, org_name string")
+    got = resolve.fuzzy_clusters(df, small_block=10, slice_rows=16, max_candidates=20_000).collect()
+    assert {r.ord: r.cluster for r in got} == brute_clusters(rows, 85.0)
+    assert sum(p.count() for p in paired) < 1500 * 1499 / 2 / 20
+
+
 def test_a_third_of_the_rows_are_one_name(spark):
     df = spark.range(3000).selectExpr(
         "id as _ord", "'KY' as state", "'c' as city", "if(id % 3 = 0, 'american legion', concat(id, ' home ', id * 7)) as org_name",
