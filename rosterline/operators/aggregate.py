@@ -80,11 +80,11 @@ def overview(df: DataFrame) -> DataFrame:
 
 def region_classes(df: DataFrame, column: str = "state") -> DataFrame:
     """Distinct states, territories and military mail codes."""
-    code = F.col(column)
-    distinct = lambda table: F.count_distinct(F.when(code.isin(*table), code))
-    return df.agg(
-        distinct(fixed.STATES).alias("states"), distinct(fixed.TERRITORIES).alias("territories"),
-        distinct(fixed.MILITARY_MAIL).alias("military"),
+    code = F.col("code")
+    return df.select(F.col(column).alias("code")).distinct().agg(
+        F.count_if(code.isin(*fixed.STATES)).alias("states"),
+        F.count_if(code.isin(*fixed.TERRITORIES)).alias("territories"),
+        F.count_if(code.isin(*fixed.MILITARY_MAIL)).alias("military"),
     )
 
 
@@ -121,7 +121,7 @@ def group_people(
     """
     person = F.struct(F.col(order).alias("o"), F.col(name).alias("name"))
     named = none_if_empty(F.col(name)).isNotNull()
-    listed = F.array_sort(F.collect_list(F.when(named, person)))
+    listed = F.sort_array(F.collect_list(F.when(named, person)))
     people = F.transform(listed, lambda p: F.struct(p["name"].alias("name"), F.lit(title).alias("title")))
     return df.groupBy(by).agg(F.to_json(people).alias(out))
 

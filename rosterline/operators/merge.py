@@ -28,7 +28,7 @@ def first_rows(df: DataFrame, key: str | Sequence[str], order: str = "_ord") ->
 def lineage_union(*lists: Column) -> Column:
     """Sorted set of the ``;``-entries of all lists, without empty ones."""
     parts = [F.split(F.coalesce(x, F.lit("")), ";") for x in lists]
-    return F.array_join(F.array_remove(F.array_sort(F.array_distinct(F.concat(*parts))), ""), ";")
+    return F.array_join(F.array_remove(F.sort_array(F.array_distinct(F.concat(*parts))), ""), ";")
 
 
 def filled_columns(source: DataFrame, columns: Iterable[str]) -> list[str]:

@@ -30,7 +30,7 @@ def merge_group(
     extra = []
     if lineage is not None:
         entries = F.array_distinct(F.flatten(F.collect_set(F.split(F.col(lineage), ";"))))
-        united = F.array_join(F.array_remove(F.array_sort(entries), ""), ";")
+        united = F.array_join(F.array_remove(F.sort_array(entries), ""), ";")
         extra = [
             F.when(F.count(F.lit(1)) == 1, F.min(F.col(lineage))).otherwise(united).alias(lineage)
         ]

@@ -27,7 +27,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 def sorted_words(value: Column) -> Column:
     """Words in code point order with single spaces."""
     words = F.filter(F.split(value, r"\s+"), lambda w: w != "")
-    return F.array_join(F.array_sort(words), " ")
+    return F.array_join(F.sort_array(words), " ")
 
 
 class Matcher:

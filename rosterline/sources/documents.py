@@ -129,9 +129,10 @@ def first_text(*fields: Column) -> Column:
 def flatten_resources(docs: DataFrame) -> DataFrame:
     """Resources at the top and in folders, the folder's name as category; the unnamed go."""
     top = docs.select(F.lit("").alias("category"), F.explode("resources").alias("r"))
-    foldered = docs.select(F.explode("folders").alias("f")).select(
-        F.coalesce("f.name", F.lit("")).alias("category"), F.explode("f.resources").alias("r")
+    folders = docs.select(F.explode("folders").alias("f")).select(
+        F.coalesce("f.name", F.lit("")).alias("category"), F.col("f.resources").alias("_list")
     )
+    foldered = folders.select("category", F.explode("_list").alias("r"))
     r = lambda *names: first_text(*[F.col(f"r.{n}") for n in names])
     about = r("description", "summary")
     about = F.when(F.contains(about, F.lit("<")), visible_text(about)).otherwise(about)

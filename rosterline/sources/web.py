@@ -43,7 +43,9 @@ def table_rows(
     name = lambda c: F.replace(F.lower(visible_text(c)), F.lit(" "), F.lit("_"))
     headers = F.transform(_inner(F.get("_rows", F.lit(0)), header_cells), name) if header else F.array().cast("array<string>")
     body = F.slice("_rows", 2 if header else 1, F.greatest(F.size("_rows"), F.lit(1)))
-    rows = tables.select(*keep, headers.alias("headers"), F.posexplode(body).alias("row_no", "_row"))
+    # Headers and rows part ways before the rows spread, so that no row carries the whole table.
+    split = tables.select(*keep, headers.alias("headers"), body.alias("_body"))
+    rows = split.select(*keep, "headers", F.posexplode("_body").alias("row_no", "_row"))
     values = F.transform(_inner(F.col("_row"), cells), visible_text)
     return rows.select(*keep, "row_no", "headers", values.alias("cells")).filter(F.size("cells") >= min_cells)
 

@@ -69,7 +69,7 @@ def test_grades(spark, gone, letter):
 
 
 def test_no_flag_and_no_rating_is_not_rated(spark):
-    """The reference rule stops on a missing flag; here it counts as not accredited."""
+    """A missing flag counts as not accredited."""
     row = {**FULL, "va_accredited": None, "ntee_code": None}
     assert records(spark, [row]).select(grade()).first()[0] == "C"
 
