@@ -186,6 +186,7 @@ def people_json(people: Column) -> Column:
     return F.when(F.size(people) > 0, F.to_json(people, {"ignoreNullFields": "false"}))
 
 
-def split_list(value: Column, delimiter: str = ";") -> Column:
-    """``;``-text to an array of trimmed, non-empty entries."""
-    return F.filter(F.transform(F.split(value, delimiter), strip), lambda x: x != "")
+def split_list(value: Column, delimiter: str = ";", limit: int | None = None) -> Column:
+    """``;``-text to an array of trimmed, non-empty entries, all of them or the first ``limit``."""
+    entries = F.filter(F.transform(F.split(value, delimiter), strip), lambda x: x != "")
+    return entries if limit is None else F.slice(entries, 1, limit)

@@ -149,6 +149,10 @@ def test_people(spark):
     assert got[0][0].asDict() == {"name": "A", "title": "B", "compensation": 1.5}
 
 
+def test_split_list(spark):
+    assert run(spark, lambda c: clean.split_list(c, limit=2), [" a ;; b;c", "", None]) == [["a", "b"], [], None]
+
+
 def test_people_json_writes_nulls(spark):
     df = spark.sql(f"select cast(array(named_struct('name','A','title','','compensation',null)) as {clean.PERSON}) p")
     assert df.select(clean.people_json(F.col("p"))).first()[0] == '[{"name":"A","title":"","compensation":null}]'
