@@ -3,7 +3,7 @@
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; its output is written as Parquet and
 read again as the next stage's ``docs``. All stages but the last return the columns of ``documents``.
 Each works on all rows it is given; the docstrings of the operators say what nulls, empty texts, ties,
-repeated rows and empty tables give.
+repeated rows, empty tables and extra columns give.
 """
 
 from __future__ import annotations
@@ -11,23 +11,41 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from rosterline.catalog.registry import table
-from rosterline.llm import exact, mixing
+from rosterline.llm import exact, language, mixing, neardup, packing
 from rosterline.llm.common import written
 
 
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without texts that have no letter or resemble no language."""
+    return language.drop_unknown(docs)
+
+
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of texts that are equal without white space."""
     return exact.drop_equal(docs)
 
 
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each group of near-duplicates."""
+    return neardup.drop_near(docs)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources in their target proportions; rows repeat, and one per source is cut to the word."""
     return mixing.take(docs)
 
 
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces at their places in sequences of 2048."""
+    return packing.pack(docs).drop("_row")
+
+
 STAGES = [
+    ("language", identify_language),
     ("exact_dedup", exact_dedup),
+    ("near_dedup", near_dedup),
     ("mix_sources", mix_sources),
+    ("pack", pack_sequences),
 ]
 
 # Language prototypes and packing have no SQL form; tests hold the pipeline against a plain version.

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,22 +23,34 @@ def remainder(doc_id: Column, parts: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % parts
 
 
+def long_id() -> Column:
+    return F.col("doc_id").cast("long").alias("doc_id")
+
+
 def whole_text(text: Column | str = "text") -> Column:
     """The text, null read as empty."""
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
 
 
-def numbered(docs: DataFrame, name: str = "_row") -> DataFrame:
-    """``docs`` with a number for each row, so that rows with equal or missing ids stay apart.
+def rows_of(docs: DataFrame, *columns: str | Column, row: str | None = None) -> DataFrame:
+    """The columns an operator reads, and ``_row``: a number that tells all rows apart.
 
-    The number is the row's place in its partition. It is the same in every evaluation when
-    ``docs`` is a scan of written files, which is what the operators here are given.
+    ``row`` names a column that has such numbers. Otherwise it is the row's place in its partition,
+    which is the same in every evaluation when ``docs`` is a scan of written files, as all operators
+    here expect (``written`` makes one of any other table).
     """
-    return docs.withColumn(name, F.monotonically_increasing_id())
-
-
-def longs(values, dtype="<i8") -> bytes:
-    return np.ascontiguousarray(values, dtype).tobytes()
+    number = F.col(f"`{row}`") if row else F.monotonically_increasing_id()
+    return docs.select(*columns, number.alias("_row"))
+
+
+def keep_rows(docs: DataFrame, choose: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """The rows of ``docs`` whose number is among the ``_row`` of what ``choose(docs, row)`` returns."""
+    row = "row"
+    while row in map(str.lower, docs.columns):
+        row += "_"
+    rows = docs.withColumn(row, F.monotonically_increasing_id())
+    keep = choose(rows, row).select(F.col("_row").alias(row))
+    return rows.join(keep, row, "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:

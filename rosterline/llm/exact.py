@@ -23,7 +23,7 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from rosterline.llm.common import SPACES, column, numbered, slices, written
+from rosterline.llm.common import SPACES, column, keep_rows, long_id, rows_of, slices, written
 
 ENTRY = (
     "kind int, doc_id long, row long, entry long, key long, body binary, sha string, "
@@ -69,7 +69,7 @@ def _combine(held_bytes: int, key_bits: int):
                     pa.array([b[1] for b in best], pa.int64()), pa.array([b[2] for b in best], pa.int64()),
                 ], schema=_ENTRY)
 
-        for batch in slices(batches, 2000):
+        for batch in slices(batches, 500):
             texts = column(batch, "text")
             chars = pc.fill_null(pc.utf8_length(texts), 0).to_pylist()
             ids, rows = column(batch, "doc_id"), column(batch, "_row")
@@ -176,7 +176,7 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def flush():
         yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*out), _SETTLED)], schema=_SETTLED)
 
-    for batch in slices(batches, 2000):
+    for batch in slices(batches, 500):
         for r in zip(*(column(batch, c).to_pylist() for c in ("key", "entry", "body", "n", "chars", "keep_id", "keep_row", "sha"))):
             if r[0] != key:
                 settled()
@@ -200,18 +200,18 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def group_equal(
-    docs: DataFrame, bucket_bytes: int = 16 << 20, held_bytes: int = 48 << 20, key_bits: int = 64,
+    docs: DataFrame, bucket_bytes: int = 16 << 20, held_bytes: int = 16 << 20, key_bits: int = 64,
+    row: str | None = None,
 ) -> DataFrame:
     """Groups of documents whose texts are equal once white space is deleted.
 
-    ``docs`` needs ``doc_id`` and ``text`` and, when made by ``numbered``, keeps its ``_row``; other
-    columns are ignored. Returns one row per input row: ``doc_id, _row, keep_id, group_size, kept,
+    ``docs`` needs ``doc_id`` and ``text`` (``row``: see ``rows_of``); other columns are ignored. Returns one row per input row: ``doc_id, _row, keep_id, group_size, kept,
     text_sha256``. Of equal texts the one with the most code points stays, then the smallest id (null
     last), then the first row, so repeated rows leave exactly one. Null text counts as empty, and all
     empty texts are one group. An empty table gives an empty result. ``key_bits`` shortens the key
     (tests use it to force collisions).
     """
-    rows = (docs if "_row" in docs.columns else numbered(docs)).select(F.col("doc_id").cast("long").alias("doc_id"), "text", "_row")
+    rows = rows_of(docs, long_id(), "text", row=row)
     both = written(rows.mapInArrow(_combine(held_bytes, key_bits), ENTRY))
     members = both.filter("kind = 0").select("doc_id", F.col("row").alias("_row"), "entry")
     entries = both.filter("kind = 1").select("key", "entry", "body", "n", "chars", "keep_id", "keep_row", "sha")
@@ -229,6 +229,4 @@ def group_equal(
 
 def drop_equal(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with all its columns and one row of each group of equal texts."""
-    rows = numbered(docs)
-    keep = group_equal(rows, **options).filter("kept").select("_row")
-    return rows.join(keep, "_row", "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))
+    return keep_rows(docs, lambda rows, row: group_equal(rows, row=row, **options).filter("kept"))

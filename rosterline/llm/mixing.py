@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from rosterline.llm.common import SPACE, WORD, numbered, whole_text, written
+from rosterline.llm.common import SPACE, WORD, rows_of, whole_text, written
 
 WEIGHTS = (5, 2, 1)
 
@@ -50,19 +50,18 @@ def order_key() -> Column:
 
 def mix(
     docs: DataFrame, weights=WEIGHTS, share: float = 1.5, cap: float = 2.0, seed: str = "mix",
-    range_rows: int = 10_000,
+    range_rows: int = 10_000, row: str | None = None,
 ) -> DataFrame:
     """How many words of each document the mix takes.
 
-    ``docs`` needs ``doc_id, text, source``; other columns are ignored (``_row`` of ``numbered`` is
-    kept). Returns one row per input row: ``doc_id, size, source_size, target, taken``. A source takes
+    ``docs`` needs ``doc_id, text, source`` (``row``: see ``rows_of``); other columns are ignored. Returns
+    one row per input row: ``doc_id, _row, size, source_size, target, taken``. A source takes
     ``floor(target)`` words: whole passes over the source, then its documents in key order, the last
     one in part. Null text has no words, a null source is a source of its own, null ids share a key,
     repeated rows are taken one after the other. An empty table gives an empty result.
     """
-    rows = docs if "_row" in docs.columns else numbered(docs)
     key = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("binary"))
-    sized = written(rows.select("doc_id", "_row", "source", words().alias("size"), key.alias("key")))
+    sized = written(rows_of(docs, "doc_id", "source", words().alias("size"), key.alias("key"), row=row))
     ranges = max(1, -(-sized.count() // range_rows))
     sized = sized.withColumn("range", F.floor(F.conv(F.substring("key", 1, 8), 16, 10).cast("long") * ranges / 2**32).cast("long"))
     per_range = sized.groupBy("source", "range").agg(F.sum("size").alias("range_size"))
@@ -94,14 +93,18 @@ def take(docs: DataFrame, **options) -> DataFrame:
     Columns stay as they are; in a shortened row ``text`` ends after its last taken word and
     ``n_chars``, where present, is that text's length. Documents without words are not taken.
     """
-    rows = numbered(docs)
-    taken = mix(rows, **options).filter("taken > 0").select("_row", F.col("size").alias("_size"), F.col("taken").alias("_taken"))
-    pass_ = F.explode(F.sequence(F.lit(1).cast("long"), F.expr("(_taken + _size - 1) div _size")))
-    rest = F.col("_taken") - (F.col("_pass") - 1) * F.col("_size")
-    pieces = F.regexp_extract_all(F.col("text"), F.lit(f"{SPACE}*{WORD}"), F.lit(0))
-    cut = F.when(rest >= F.col("_size"), F.col("text")).otherwise(
+    # The whole row travels as one value, so that no column name can clash.
+    rows = docs.select(
+        F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), "doc_id", "source", "text",
+        F.monotonically_increasing_id().alias("row"))
+    taken = mix(rows, row="row", **options).filter("taken > 0").select(F.col("_row").alias("row"), "size", "taken")
+    passes = F.explode(F.sequence(F.lit(1).cast("long"), F.expr("(taken + size - 1) div size")))
+    rest = F.col("taken") - (F.col("turn") - 1) * F.col("size")
+    pieces = F.regexp_extract_all("text", F.lit(f"{SPACE}*{WORD}"), F.lit(0))
+    cut = F.when(rest >= F.col("size"), F.col("text")).otherwise(
         F.array_join(F.slice(pieces, F.lit(1), F.greatest(rest, F.lit(1)).cast("int")), ""))
-    out = rows.join(taken, "_row").withColumn("_pass", pass_).withColumn("text", cut)
+    out = rows.join(taken, "row").withColumn("turn", passes).withColumn("text", cut)
+    doc = F.col("doc").withField("text", F.col("text"))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*(F.col(f"`{c}`") for c in docs.columns))
+        doc = doc.withField("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(doc.alias("doc")).select(*(F.col(f"doc.`{c}`") for c in docs.columns))

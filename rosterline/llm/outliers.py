@@ -16,7 +16,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from rosterline.functions.blanks import let
-from rosterline.llm.common import SPACE, WORD, numbered, whole_text, written
+from rosterline.llm.common import SPACE, WORD, rows_of, whole_text, written
 
 SYMBOLS = "#*$%&|<>"
 STATISTICS = ("x_words", "x_length", "x_symbols", "x_lines", "x_repeats")
@@ -50,8 +50,7 @@ def repeated_words(words: Column) -> Column:
 
 def measure(docs: DataFrame) -> DataFrame:
     """``doc_id, _row, lang, source`` and the counts the rules use, over whole texts (null: empty)."""
-    rows = (docs if "_row" in docs.columns else numbered(docs)).select(
-        "doc_id", "_row", "lang", "source", whole_text().alias("text"))
+    rows = rows_of(docs, "doc_id", "lang", "source", whole_text().alias("text"))
     words = F.filter(F.split("text", f"{SPACE}+"), lambda w: w != "")
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(WORD))
     counts = let(words, lambda w: F.struct(
