@@ -245,16 +245,14 @@ def slug_names(spark, sf_dir):
 
 
 @query("people_from_json", over_orgs("""
-SELECT _ord, CASE WHEN json_valid(key_personnel) THEN key_personnel ->> '$[0].name' END AS name,
-       CASE WHEN json_valid(key_personnel) THEN key_personnel ->> '$[0].title' END AS title,
-       CASE WHEN json_valid(key_personnel) THEN CAST(key_personnel ->> '$[0].compensation' AS DOUBLE) END AS pay
-FROM orgs"""))
+SELECT _ord, CAST(i AS BIGINT) AS position, key_personnel ->> ('$[' || i || '].name') AS name,
+       key_personnel ->> ('$[' || i || '].title') AS title, CAST(key_personnel ->> ('$[' || i || '].compensation') AS DOUBLE) AS pay
+FROM (SELECT _ord, key_personnel, unnest(range(0, CAST(json_array_length(key_personnel) AS BIGINT))) AS i
+      FROM orgs WHERE json_valid(key_personnel))"""))
 def people_from_json(spark, sf_dir):
-    people = clean.people_list(F.col("key_personnel"))
-    first = F.get(people, F.lit(0))
-    return organizations(spark, sf_dir).select(
-        "_ord", first["name"].alias("name"), first["title"].alias("title"), first["compensation"].alias("pay")
-    )
+    people = organizations(spark, sf_dir).select("_ord", F.posexplode(clean.people_list(F.col("key_personnel"))))
+    return people.select(
+        "_ord", F.col("pos").cast("long").alias("position"), "col.name", "col.title", F.col("col.compensation").alias("pay"))
 
 
 @query("split_lists", over_orgs("""

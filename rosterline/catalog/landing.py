@@ -52,23 +52,25 @@ def contacts_from_text(spark, sf_dir):
     )
 
 
+# Written apart from the library: the entities and the kinds of quoting that the pages hold.
 def unescape_sql(value: str) -> str:
-    for entity, text in contact.ENTITIES:
-        value = "replace({}, '{}', '{}')".format(value, entity, text.replace("'", "''"))
+    for entity, text in (
+        ("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&middot;", "·"), ("&copy;", "©"),
+        ("&#xe9;", "é"), ("&Uuml;", "Ü"), ("&#8211;", "–"), ("&amp;", "&"),
+    ):
+        value = f"replace({value}, '{entity}', '{text}')"
     return value
 
 
-_HREF = contact.HREF.replace("'", "''")
-
-
 def links_sql(html: str) -> str:
-    return f"list_transform(regexp_extract_all({html}, '{_HREF}', 1), lambda h: {unescape_sql('h')})"
-
-
-@query("page_links", f"SELECT page_id, unnest({links_sql('html')}) AS href FROM pages")
-def page_links(spark, sf_dir):
-    pages = table(spark, sf_dir, "pages")
-    return pages.select("page_id", F.explode(contact.links(F.col("html"))).alias("href"))
+    """Pages cut at ``<a``, comments left out; then the value behind ``href=`` by its first character."""
+    live = f"regexp_replace({html}, '<!--(.|\\n)*?-->', '', 'g')"
+    tags = f"list_transform(string_split(replace({live}, '<A ', '<a '), '<a ')[2:], lambda p: ' ' || p)"
+    rest = "ltrim(regexp_replace(a, '^[^>]*?[ ]href *=', ''))"
+    value = (f"CASE WHEN starts_with({rest}, chr(34)) THEN split_part({rest}, chr(34), 2) WHEN starts_with({rest}, chr(39)) "
+             f"THEN split_part({rest}, chr(39), 2) ELSE regexp_extract({rest}, '^[^ >]*') END")
+    linked = f"list_filter({tags}, lambda a: regexp_matches(a, '^[^>]* href *='))"
+    return f"list_transform(list_transform({linked}, lambda a: {value}), lambda h: {unescape_sql('h')})"
 
 
 _ROW_RE = "(?is)<(?:li)\\b[^>]*>(.*?)</(?:li)>"
@@ -96,7 +98,7 @@ def order_tables(spark, sf_dir):
     text = lambda name: c(name).cast("string")
     cells = F.concat(
         F.lit("<tr><td>Post &amp; o'brien "), text("o_custkey"), F.lit("</td><td>"), text("o_orderkey"),
-        F.lit("</td>\n<td><b>502</b>"), text("o_custkey"), F.lit("</td><td> "), c("o_orderpriority"),
+        F.lit("</td>\n<td><b> 502 </b> "), text("o_custkey"), F.lit("</td><td> "), c("o_orderpriority"),
         F.lit(" </td><td>ky</td><td>"), F.when(c("o_orderstatus") == "O", F.concat(F.lit("Rep "), text("o_orderkey")))
         .otherwise(""), F.lit("</td></tr>"),
     )
@@ -134,7 +136,7 @@ def accredited_records(spark, sf_dir):
 
 @query("searched_organizations", """
 SELECT o_custkey, 'Post & o''brien ' || o_custkey AS org_name, CAST(o_orderkey AS VARCHAR) AS city, '502' || o_custkey AS state,
-       o_orderpriority AS zip_code, 'ky' AS phone, '' AS representative_name, 'VA-Accredited VSO' AS accreditation_details
+       o_orderpriority AS zip_code, 'ky' AS phone, CAST(NULL AS VARCHAR) AS representative_name, 'VA-Accredited VSO' AS accreditation_details
 FROM orders""")
 def searched_organizations(spark, sf_dir):
     return web.searched_organizations(order_tables(spark, sf_dir), ["o_custkey"]).drop("_ord")
@@ -168,6 +170,9 @@ def landed_pages(spark, sf_dir):
             c("html"),
             F.when(secure, F.concat(F.lit('<a class="m" href="mailto:Info@'), host, F.lit('?subject=x">write</a>')))
             .otherwise(F.concat(F.lit("<p>desk"), key, F.lit("@Mail.org or (502) 555-"), F.lpad(key, 4, "0"), F.lit("</p>"))),
+            F.lit("<!-- <a href='https://www.linkedin.com/in/gone'>no</a>\n--><A class=x href = 'https://www.instagram.com/q"), key,
+            F.lit("'>&Uuml;</A><a href=https://www.youtube.com/c/bare"), key,
+            F.lit(">&#xe9; &#8211;</a><a title=\"o'x\" href=\"/it's&amp;lt;"), key, F.lit('">q</a>'),
             F.lit('<a href="https://www.facebook.com/sharer/x">s</a><a href="https://www.Facebook.com/org.'), key,
             F.lit('/">f</a><script>go("https://twitter.com/intent/a", "https://x.com/org'), key,
             F.lit("\")</script><meta name='description' content=' Aid &amp; care no. "), key, F.lit(" '>"),
@@ -180,6 +185,10 @@ _PAGES = """landed AS (
          html || CASE WHEN starts_with(url, 'https')
            THEN '<a class="m" href="mailto:Info@' || regexp_extract(url, '//([^/]*)', 1) || '?subject=x">write</a>'
            ELSE '<p>desk' || page_id || '@Mail.org or (502) 555-' || lpad(CAST(page_id AS VARCHAR), 4, '0') || '</p>' END
+         || '<!-- <a href=''https://www.linkedin.com/in/gone''>no</a>' || chr(10)
+         || '--><A class=x href = ''https://www.instagram.com/q' || page_id
+         || '''>&Uuml;</A><a href=https://www.youtube.com/c/bare' || page_id
+         || '>&#xe9; &#8211;</a><a title="o''x" href="/it''s&amp;lt;' || page_id || '">q</a>'
          || '<a href="https://www.facebook.com/sharer/x">s</a><a href="https://www.Facebook.com/org.' || page_id
          || '/">f</a><script>go("https://twitter.com/intent/a", "https://x.com/org' || page_id
          || '")</script><meta name=''description'' content='' Aid &amp; care no. ' || page_id || ' ''>' AS html
@@ -199,8 +208,8 @@ def socials_sql(skip: Sequence[str] = ()) -> str:
     return ", ".join(social_sql(n, p, skip) for n, p in fixed.SOCIAL_PATTERNS.items())
 
 
-_META = f"""CASE WHEN contains(html, '<meta name=''description''') THEN substr(trim({
-    unescape_sql("regexp_extract(html, '<meta name=''description'' content=''([^'']*)''', 1)")}), 1, 500) END"""
+_META = f"""CASE WHEN contains(html, '<meta name=''description''') THEN trim({
+    unescape_sql("regexp_extract(html, '<meta name=''description'' content=''([^'']*)''', 1)")}) END"""
 _MAILTO = f"""list_filter(list_transform(list_filter(hrefs, lambda h: starts_with(h, 'mailto:')),
   lambda h: lower(trim(split_part(replace(h, 'mailto:', ''), '?', 1)))),
   lambda e: regexp_matches(e, '^{EMAIL}') AND NOT {holds_any('e', fixed.SKIP_EMAIL_PARTS)})[1]"""
@@ -222,6 +231,11 @@ def page_details(spark, sf_dir):
     return enrich.page_details(landed_pages(spark, sf_dir), keep=("page_id", "url"))
 
 
+@query("page_links", f"WITH {_PAGES} SELECT page_id, unnest({links_sql('html')}) AS href FROM landed")
+def page_links(spark, sf_dir):
+    return landed_pages(spark, sf_dir).select("page_id", F.explode(contact.links(F.col("html"))).alias("href"))
+
+
 _SOCIAL = tuple(fixed.SOCIAL_PATTERNS)
 _FILLED = ", ".join(
     f"CASE WHEN needy AND o.{c} IS NULL THEN coalesce(nullif(f.{c}, ''), o.{c}) ELSE o.{c} END AS {c}"
@@ -369,15 +383,18 @@ def as_documents(df, schema: str, *keys: str):
     )
 
 
-@query("financial_documents", """
+def financial_sql(officers: str) -> str:
+    return f"""
 WITH o AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders)
 SELECT lpad(CAST(o_custkey AS VARCHAR), 9, '0') AS ein, CAST(count(*) AS DOUBLE) AS num_employees,
        arg_max(o_totalprice, o_orderkey) AS total_revenue, CAST(max(o_orderkey) AS DOUBLE) AS total_expenses,
        CASE WHEN arg_max(o_orderstatus, o_orderkey) = 'F' THEN CAST(max(o_orderkey) AS DOUBLE) END AS total_assets,
-       CAST(to_json(list({'name': o_orderpriority, 'title': '', 'compensation': CASE WHEN o_orderstatus = 'F' THEN o_totalprice END}
-            ORDER BY o_orderkey) FILTER (n <= 10)) AS VARCHAR) AS key_personnel
-FROM o WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal >= 0) GROUP BY o_custkey""")
-def financial_documents(spark, sf_dir):
+       CAST(to_json(list({{'name': o_orderpriority, 'title': '', 'compensation': CASE WHEN o_orderstatus = 'F' THEN o_totalprice END}}
+            ORDER BY o_orderkey) FILTER ({officers})) AS VARCHAR) AS key_personnel
+FROM o WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal >= 0) GROUP BY o_custkey"""
+
+
+def filings(spark, sf_dir):
     """A filing per order, the latest first; customers in debt were not found."""
     c = F.col
     filing = F.struct(
@@ -400,9 +417,20 @@ def financial_documents(spark, sf_dir):
         F.struct(c("c_name").alias("name"), c("n").cast("string").alias("number_of_forms_filed")).alias("organization"),
         F.transform("filings", lambda f: f.withField("officers", c("officers"))).alias("filings_with_data"),
     )
-    return docs.flatten_financials(as_documents(documents, docs.FINANCIALS)).select(
-        "ein", "num_employees", "total_revenue", "total_expenses", "total_assets", "key_personnel"
-    )
+    return as_documents(documents, docs.FINANCIALS)
+
+
+_FINANCIAL = ("ein", "num_employees", "total_revenue", "total_expenses", "total_assets", "key_personnel")
+
+
+@query("financial_documents", financial_sql("true"))
+def financial_documents(spark, sf_dir):
+    return docs.flatten_financials(filings(spark, sf_dir)).select(*_FINANCIAL)
+
+
+@query("financial_documents_ten", financial_sql("n <= 10"))
+def financial_documents_ten(spark, sf_dir):
+    return docs.flatten_financials(filings(spark, sf_dir), officers_limit=10).select(*_FINANCIAL)
 
 
 @query("rating_documents", """
@@ -466,13 +494,16 @@ def facility_documents(spark, sf_dir):
     )
 
 
-@query("resource_documents", rf"""
+def resource_sql(text: str) -> str:
+    return rf"""
 WITH r AS (
   SELECT 'Doc ' || doc_id AS org_name, 'https://a/' || doc_id AS website, '502' || doc_id AS phone,
-         substr(text, 1, 500) AS services_offered, '' AS service_categories FROM documents WHERE lang = 'en'
+         {text} AS services_offered, '' AS service_categories FROM documents WHERE lang = 'en'
   UNION ALL SELECT source || ' ' || doc_id, 'https://b/' || doc_id, '', lang || ' & co', source FROM documents)
-SELECT * FROM r""")
-def resource_documents(spark, sf_dir):
+SELECT * FROM r"""
+
+
+def resources(spark, sf_dir):
     """A resource at the top and one in a folder; without a title or name it is none."""
     c = F.col
     key = c("doc_id").cast("string")
@@ -489,4 +520,14 @@ def resource_documents(spark, sf_dir):
         F.array(top).alias("resources"),
         F.array(F.struct(c("source").alias("name"), F.array(filed).alias("resources"))).alias("folders"),
     )
-    return docs.flatten_resources(as_documents(rows, docs.RESOURCES)).drop("_ord")
+    return as_documents(rows, docs.RESOURCES)
+
+
+@query("resource_documents", resource_sql("text"))
+def resource_documents(spark, sf_dir):
+    return docs.flatten_resources(resources(spark, sf_dir)).drop("_ord")
+
+
+@query("resource_documents_short", resource_sql("substr(text, 1, 500)"))
+def resource_documents_short(spark, sf_dir):
+    return docs.flatten_resources(resources(spark, sf_dir), text_limit=500).drop("_ord")

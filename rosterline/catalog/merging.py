@@ -128,8 +128,10 @@ def first_rows(spark, sf_dir):
 @query("filled_columns", over_orgs("SELECT " + ", ".join(
     f"count({n}) > 0 AS {n}" for n, _ in fixed.COLUMNS) + " FROM orgs"))
 def filled_columns(spark, sf_dir):
-    """Which columns have any value; the aggregate behind the pruning of empty source columns."""
-    return organizations(spark, sf_dir).agg(*[(F.count(n) > 0).alias(n) for n, _ in fixed.COLUMNS])
+    """Which columns have any value."""
+    names = [n for n, _ in fixed.COLUMNS]
+    found = set(merge.filled_columns(organizations(spark, sf_dir), names))
+    return spark.range(1).select(*[F.lit(n in found).alias(n) for n in names])
 
 
 @query("semi_clean_key", """
@@ -160,11 +162,10 @@ def zip_coordinates(spark, sf_dir):
 
 @query("zero_filled_counts", """
 SELECT n_nationkey, n_name, coalesce(n, 0) AS count FROM nation
-LEFT JOIN (SELECT s_nationkey, count(*) AS n FROM supplier WHERE s_acctbal > 5000 GROUP BY 1) ON s_nationkey = n_nationkey""")
+LEFT JOIN (SELECT s_nationkey, count(*) AS n FROM supplier GROUP BY 1) ON s_nationkey = n_nationkey""")
 def zero_filled(spark, sf_dir):
-    rich = table(spark, sf_dir, "supplier").filter("s_acctbal > 5000")
     nations = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
-    return agg.zero_filled_counts(rich, "s_nationkey", nations, "n_nationkey")
+    return agg.zero_filled_counts(table(spark, sf_dir, "supplier"), "s_nationkey", nations, "n_nationkey")
 
 
 @query("update_back", """

@@ -86,10 +86,10 @@ def merge_domain(spark, sf_dir):
 
 @query("merge_domain_shared", over_orgs(f"""
 SELECT min(_ord) AS _ord, {firsts(('org_name', 'website'), '_ord')}, {lineage_sql()}
-FROM orgs WHERE website IS NOT NULL
-GROUP BY CASE WHEN {_DOMAIN} IN ('spam-farm.example.org', 'cheap-pills.example.com') THEN 'row ' || _ord ELSE {_DOMAIN} END"""))
+FROM orgs
+GROUP BY CASE WHEN coalesce({_DOMAIN}, '') IN ('', 'spam-farm.example.org', 'cheap-pills.example.com') THEN 'row ' || _ord ELSE {_DOMAIN} END"""))
 def merge_domain_shared(spark, sf_dir):
-    orgs = organizations(spark, sf_dir).filter("website IS NOT NULL")
+    orgs = organizations(spark, sf_dir)
     return resolve.merge_domain(
         orgs.select("_ord", "org_name", "website", "data_sources"),
         shared_domains=("spam-farm.example.org", "cheap-pills.example.com"),
@@ -149,6 +149,35 @@ def merge_fuzzy(spark, sf_dir):
     return resolve.merge_fuzzy(organizations(spark, sf_dir).select("_ord", *RECORD, "data_sources"))
 
 
+# --- blocks for the search by shared pieces ------------------------------------------------------------
+
+def _titled(spark, sf_dir):
+    """Documents as organisations: the first three words as name, the source as place."""
+    return table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("_ord"), F.regexp_extract("text", r"^(\S+ \S+ \S+)", 1).alias("org_name"),
+        F.col("source").alias("state"), F.lit("x").alias("city"), F.col("lang").alias("data_sources"))
+
+
+_TITLED = r"""titled AS (
+  SELECT doc_id AS _ord, regexp_extract(text, '^(\S+ \S+ \S+)', 1) AS org_name, source AS state, 'x' AS city, lang AS data_sources
+  FROM documents)"""
+_TITLED_MERGED = (
+    f"WITH {_TITLED}, {walk_sql('titled')} SELECT min(_ord) AS _ord, {firsts(('org_name', 'state', 'city'), '_ord')}, "
+    f"{lineage_sql()} FROM {clustered_sql('titled')} GROUP BY cluster")
+
+
+@query("merge_fuzzy_blocks", _TITLED_MERGED)
+def merge_fuzzy_blocks(spark, sf_dir):
+    """Blocks as the data have them, each in one task where it is small."""
+    return resolve.merge_fuzzy(_titled(spark, sf_dir))
+
+
+@query("merge_fuzzy_pieces", _TITLED_MERGED)
+def merge_fuzzy_pieces(spark, sf_dir):
+    """The same result from the search by shared pieces, in slices, with a budget that makes it halve."""
+    return resolve.merge_fuzzy(_titled(spark, sf_dir), small_block=4, slice_rows=100, max_candidates=5e4, finish_below=20)
+
+
 _TIERS = f"""{_STACKED},
 exact AS ({merged_sql('stacked', own_row_sql('ein'))}),
 {walk_sql('exact')},

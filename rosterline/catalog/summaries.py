@@ -110,9 +110,9 @@ def coverage(spark, sf_dir):
 SELECT n_nationkey AS nation, coalesce(c, 0) AS org_count, coalesce(p, 0) AS population,
        CASE WHEN coalesce(p, 0) > 0 THEN round_even(coalesce(c, 0) / p * 100000, 1) ELSE 0 END AS per_100k
 FROM nation LEFT JOIN (SELECT s_nationkey, count(*) AS c FROM supplier GROUP BY 1) ON s_nationkey = n_nationkey
-LEFT JOIN (SELECT c_nationkey, count(*) AS p FROM customer WHERE c_acctbal > 9000 GROUP BY 1) ON c_nationkey = n_nationkey""")
+LEFT JOIN (SELECT c_nationkey, count(*) AS p FROM customer GROUP BY 1) ON c_nationkey = n_nationkey""")
 def per_capita(spark, sf_dir):
-    rich = table(spark, sf_dir, "customer").filter("c_acctbal > 9000").groupBy(
+    rich = table(spark, sf_dir, "customer").groupBy(
         F.col("c_nationkey").alias("nation")).agg(F.count(F.lit(1)).alias("population"))
     nations = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("nation"))
     people = nations.join(rich, "nation", "left").fillna(0, ["population"])

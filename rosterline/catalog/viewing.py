@@ -128,9 +128,15 @@ def state_headline(spark, sf_dir):
     return cents(views.state_headline(directory(spark, sf_dir), "CA"))
 
 
-@query("state_points", over_located("""
-SELECT _ord, org_name, lat, lng FROM (SELECT * FROM loc WHERE state = 'KY' ORDER BY _ord LIMIT 5000)
+@query("state_points_capped", over_located("""
+SELECT _ord, org_name, lat, lng FROM (SELECT * FROM loc WHERE state = 'KY' ORDER BY _ord LIMIT 5)
 WHERE lat IS NOT NULL AND lng IS NOT NULL"""))
+def state_points_capped(spark, sf_dir):
+    return views.state_points(located(spark, sf_dir), "KY", cap=5).select("_ord", "org_name", "lat", "lng")
+
+
+@query("state_points", over_located("""
+SELECT _ord, org_name, lat, lng FROM loc WHERE state = 'KY' AND lat IS NOT NULL AND lng IS NOT NULL"""))
 def state_points(spark, sf_dir):
     return views.state_points(located(spark, sf_dir), "KY").select("_ord", "org_name", "lat", "lng")
 

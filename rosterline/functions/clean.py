@@ -42,7 +42,7 @@ def normalize_zip(value: Column) -> Column:
 
     def shaped(kept: Column) -> Column:
         base = F.substring(kept, 1, 5)
-        tail = F.ltrim(F.substring(kept, 6, 1_000_000), F.lit("-"))
+        tail = F.ltrim(F.substr(kept, F.lit(6)), F.lit("-"))
         long = F.when(F.length(tail) == 4, F.concat(base, F.lit("-"), tail)).otherwise(base)
         return F.when(F.length(kept) >= 5, long)
 
@@ -112,7 +112,7 @@ def title_case(value: Column) -> Column:
     """
 
     def titled(text: Column) -> Column:
-        runs = F.regexp_extract_all(F.lower(text), F.lit(f"({CASED}+|{UNCASED}+)"), F.lit(1))
+        runs = F.regexp_extract_all(text, F.lit(f"({CASED}+|{UNCASED}+)"), F.lit(1))
         other = text.rlike("[^A-Za-z ]")
         return F.when(other, F.array_join(F.transform(runs, F.initcap), "")).otherwise(F.initcap(text))
 
@@ -176,9 +176,10 @@ def join_address(*parts: Column) -> Column:
 PERSON = "array<struct<name:string,title:string,compensation:double>>"
 
 
-def people_list(value: Column, limit: int = 15) -> Column:
-    """JSON array of people to structs, at most ``limit``; null when the text is not such JSON."""
-    return F.slice(F.from_json(value, PERSON), 1, limit)
+def people_list(value: Column, limit: int | None = None) -> Column:
+    """JSON array of people to structs, all or the first ``limit``; null when the text is not such JSON."""
+    people = F.from_json(value, PERSON)
+    return people if limit is None else F.slice(people, 1, limit)
 
 
 def people_json(people: Column) -> Column:

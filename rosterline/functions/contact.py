@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from html.entities import name2codepoint
 
 from pyspark.sql import Column, functions as F
 
@@ -10,25 +11,62 @@ from rosterline import fixed
 from rosterline.functions.blanks import let, none_if_empty, strip
 from rosterline.functions.keywords import any_of
 
-HREF = r"""(?is)<a\b[^>]*?\bhref\s*=\s*["']([^"']*)["']"""
-ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"),
-            ("&middot;", "·"), ("&copy;", "©"), ("&amp;", "&"))
+# An attribute value in double quotes, in single quotes, or bare up to white space or the tag's end.
+_VALUE = r"""("[^"]*"|'[^']*'|[^\s"'<>=`]+)"""
+HREF = rf"""(?is)<a\b[^>]*?\bhref\s*=\s*{_VALUE}"""
+COMMENT = r"(?s)<!--.*?-->"
+# Names of characters come from the standard library's table of HTML entities.
+ENTITY = r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,30});"
+AMPERSANDS = ("&amp;", "&AMP;", "&#38;", "&#038;", "&#x26;", "&#X26;")
+
+
+def _character(entity: Column) -> Column:
+    """What one entity stands for; unknown ones stay as they are."""
+    names = ((f"&{n};", " " if n == "nbsp" else chr(p)) for n, p in name2codepoint.items())
+    named = F.create_map(*[F.lit(x) for pair in names for x in pair])
+    hexadecimal = F.regexp_extract(entity, "^&#[xX]([0-9a-fA-F]+);", 1)
+    decimal = F.regexp_extract(entity, "^&#([0-9]+);", 1)
+    point = F.when(hexadecimal != "", F.conv(hexadecimal, 16, 10)).when(decimal != "", decimal).cast("long")
+    valid = ((point > 0) & (point < 0xD800)) | point.between(0xE000, 0x10FFFF)
+    numeric = F.when(point == 160, F.lit(" ")).when(
+        valid, F.decode(F.unhex(F.lpad(F.hex(point), 8, "0")), "UTF-32"))
+    return F.coalesce(numeric, F.try_element_at(named, entity), entity)
 
 
 def unescape(value: Column) -> Column:
-    for entity, text in ENTITIES:
-        value = F.replace(value, F.lit(entity), F.lit(text))
-    return value
+    """Named and numeric entities decoded, each once; a no-break space becomes a blank."""
+
+    def decoded(text: Column) -> Column:
+        found = F.array_except(F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0)), F.array(*map(F.lit, AMPERSANDS)))
+        plain = F.aggregate(found, text, lambda done, e: F.replace(done, e, _character(e)))
+        # Ampersands last, or what they set free would be decoded again.
+        for entity in AMPERSANDS:
+            plain = F.replace(plain, F.lit(entity), F.lit("&"))
+        return plain
+
+    return let(value, lambda text: F.when(F.contains(text, F.lit("&")), decoded(text)).otherwise(text))
 
 
 def visible_text(html: Column) -> Column:
-    """Tags removed, common entities decoded, ends trimmed."""
+    """Tags removed, entities decoded, ends trimmed."""
     return strip(unescape(F.regexp_replace(html, r"<[^>]*>", "")))
 
 
+def cell_text(html: Column) -> Column:
+    """The text between tags, each piece trimmed, run together."""
+    pieces = F.split(F.regexp_replace(html, COMMENT, "<!>"), r"<[^>]*>")
+    return F.array_join(F.transform(pieces, lambda piece: strip(unescape(piece))), "")
+
+
 def links(html: Column) -> Column:
-    """``href`` values of ``<a>`` tags in page order."""
-    return F.transform(F.regexp_extract_all(html, F.lit(HREF), F.lit(1)), unescape)
+    """``href`` values of ``<a>`` tags in page order, quoted either way or bare; comments do not count."""
+    live = F.when(F.contains(html, F.lit("<!--")), F.regexp_replace(html, COMMENT, "")).otherwise(html)
+    values = F.regexp_extract_all(live, F.lit(HREF), F.lit(1))
+
+    def bare(value: Column) -> Column:
+        return F.when(value.rlike("^[\"']"), F.substr(value, F.lit(2), F.length(value) - 2)).otherwise(value)
+
+    return F.transform(values, lambda v: unescape(bare(v)))
 
 
 def contains_any(value: Column, parts: Sequence[str]) -> Column:
@@ -114,8 +152,8 @@ def first_phone(text: Column, pattern: str = fixed.PHONE_PATTERN) -> Column:
     return first_match(text, pattern)
 
 
-def meta_content(html: Column, name: str = "description", limit: int = 500) -> Column:
-    """``content`` of ``<meta name=…>`` in either attribute order, trimmed, then ``limit`` characters."""
+def meta_content(html: Column, name: str = "description", limit: int | None = None) -> Column:
+    """``content`` of ``<meta name=…>`` in either attribute order, trimmed; whole or ``limit`` characters."""
     named = rf"""\bname\s*=\s*["']{name}["']"""
     double, single = r"""\bcontent\s*=\s*"([^"]*)\"""", r"""\bcontent\s*=\s*'([^']*)'"""
     found = [
@@ -124,4 +162,5 @@ def meta_content(html: Column, name: str = "description", limit: int = 500) -> C
         for pattern in (rf"(?is)<meta\b[^>]*{named}[^>]*{content}",
                         rf"(?is)<meta\b[^>]*{content}[^>]*{named}")
     ]
-    return F.substring(strip(unescape(F.coalesce(*found))), 1, limit)
+    text = strip(unescape(F.coalesce(*found)))
+    return text if limit is None else F.substring(text, 1, limit)

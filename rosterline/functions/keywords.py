@@ -9,7 +9,7 @@ from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, functions as F
 
-from rosterline.functions.blanks import is_true
+from rosterline.functions.blanks import is_true, let
 
 
 def shortest_words(words: Iterable[str]) -> list[str]:
@@ -38,8 +38,9 @@ def matches_any(
     if regex or word_boundary:
         parts = list(words) if regex else [rf"\b{re.escape(w.strip())}\b" for w in words]
         return is_true(value.rlike("(?i)" + "|".join(parts)))
-    lowered = F.lower(value)
-    return is_true(any_of([F.contains(lowered, F.lit(w)) for w in shortest_words(words)]))
+    # Inside a filter Spark would lower-case the text again for every word.
+    shortest = shortest_words(words)
+    return is_true(let(F.lower(value), lambda text: any_of([F.contains(text, F.lit(w)) for w in shortest])))
 
 
 def any_column_matches(columns: Sequence[Column], words: Sequence[str], **options) -> Column:

@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from rosterline import fixed
 from rosterline.functions.blanks import none_if_empty
 from rosterline.functions.clean import code_label, split_list
 
 
+SALTS = 256
+
+
 def total_or_zero(value: Column) -> Column:
     return F.coalesce(F.sum(value), F.lit(0.0))
 
@@ -30,8 +33,11 @@ def value_counts(df: DataFrame, column: str, top: int | None = None) -> DataFram
 
 
 def small_table(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame:
-    """A dimension given in code. It is in the plan itself, so its size is known."""
-    return spark.createDataFrame(list(rows), schema)
+    """A dimension given in code, unfolded from one literal, so Spark knows that it is small."""
+    types = T.StructType.fromDDL(schema)
+    listed = F.array(*[
+        F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(row, types)]) for row in rows])
+    return spark.range(1).select(F.inline(listed))
 
 
 def ordered_distribution(df: DataFrame, column: str, order: Sequence[str]) -> DataFrame:
@@ -127,8 +133,12 @@ def group_people(
 
 
 def attach(df: DataFrame, grouped: DataFrame, by: str) -> DataFrame:
-    """A group's result on each of its rows."""
-    return df.join(grouped, by, "left")
+    """A group's result on each of its rows; rows without a key have no group and are spread."""
+    rest = [c for c in grouped.columns if c != by]
+    known = grouped.filter(F.col(by).isNotNull()).select(F.col(by).cast("string").alias("_group"), *rest)
+    spare = F.concat(F.lit("\u0000none "), F.pmod(F.xxhash64(*df.columns), F.lit(SALTS)).cast("string"))
+    rows = df.withColumn("_group", F.coalesce(F.col(by).cast("string"), spare))
+    return rows.join(known, "_group", "left").select(*df.columns, *rest)
 
 
 def coverage(df: DataFrame, columns: Sequence[str]) -> DataFrame:

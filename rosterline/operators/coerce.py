@@ -14,12 +14,27 @@ SCHEMA = T.StructType(
 )
 
 
-def row_order(place: int = 0) -> Column:
-    """Numbers for the rows of a scan, in order; ``place`` sets scans apart.
+# A scan's row numbers stay below 2**PLACE_BITS with up to 2**(PLACE_BITS - 33) splits (16 million).
+PLACE_BITS = 57
+PLACES = 1 << (63 - PLACE_BITS)
+# Stacked sources come after the files of the base.
+AFTER_BASE = PLACES // 2
+
 
-    One scan stays below 2**53 with up to a million splits, so 1,023 scans can follow each other.
+def placed(number: Column, place: int) -> Column:
+    """Row numbers of the scan at ``place``, behind those of all earlier places.
+
+    Too many scans, or too many splits in one, fail rather than mix up rows.
     """
-    return F.lit(place << 53) + F.monotonically_increasing_id()
+    if not 0 <= place < PLACES:
+        raise ValueError(f"{PLACES} scans can follow each other; {place} is beyond that")
+    fits = F.when(number < F.lit(1 << PLACE_BITS), number)
+    return F.lit(place << PLACE_BITS) + F.coalesce(fits, F.raise_error(F.lit("too many splits for one scan")).cast("long"))
+
+
+def row_order(place: int = 0) -> Column:
+    """Numbers for the rows of a scan, in order; ``place`` sets scans apart."""
+    return placed(F.monotonically_increasing_id(), place)
 
 
 def empty_records(spark: SparkSession, schema: T.StructType = SCHEMA) -> DataFrame:
@@ -27,6 +42,9 @@ def empty_records(spark: SparkSession, schema: T.StructType = SCHEMA) -> DataFra
     return spark.createDataFrame([], schema)
 
 
+ORDERED_SCHEMA = T.StructType([T.StructField("_ord", T.LongType()), *SCHEMA.fields])
+
+
 def coerce_schema(
     df: DataFrame, columns: Sequence[tuple[str, str]] = fixed.COLUMNS, keep: Iterable[str] = ()
 ) -> DataFrame:

@@ -12,7 +12,7 @@ from rosterline.functions.blanks import let, none_if_empty
 from rosterline.functions.clean import web_host
 from rosterline.functions.keywords import any_of
 from rosterline.operators.filters import needs_enrichment
-from rosterline.operators.merge import fill_back
+from rosterline.operators.merge import fill_back, spread_null_key
 
 SOCIAL = tuple(fixed.SOCIAL_PATTERNS)
 FOUND = ("website", "phone", "email", "mission_statement", *SOCIAL)
@@ -73,6 +73,7 @@ def site_details(
     skip_social: Sequence[str] = fixed.SKIP_SOCIAL_PARTS,
     patterns: Mapping[str, str] = fixed.SOCIAL_PATTERNS,
     keep: Sequence[str] = ("url",),
+    mission_limit: int | None = None,
 ) -> DataFrame:
     """Phone, e-mail (``mailto:`` first), profiles and mission of each answered page."""
     html, hrefs = F.col("html"), F.col("_links")
@@ -82,17 +83,17 @@ def site_details(
         contact.first_phone(html).alias("phone"),
         contact.site_email(html, hrefs, skip_email).alias("email"),
         *contact.social_urls(html, hrefs, patterns, skip_social),
-        contact.meta_content(html).alias("mission_statement"),
+        contact.meta_content(html, limit=mission_limit).alias("mission_statement"),
     )
 
 
-def page_details(pages: DataFrame, keep: Sequence[str] = ("url",)) -> DataFrame:
+def page_details(pages: DataFrame, keep: Sequence[str] = ("url",), mission_limit: int | None = None) -> DataFrame:
     """Profiles, e-mail and mission of each answered page, without the share-link rules."""
     html, hrefs = F.col("html"), F.col("_links")
     linked = answered(pages).withColumn("_links", contact.links(html))
     return linked.select(
         *keep, *contact.social_urls(html, hrefs), contact.first_email(html).alias("email"),
-        contact.meta_content(html).alias("mission_statement"),
+        contact.meta_content(html, limit=mission_limit).alias("mission_statement"),
     )
 
 
@@ -108,7 +109,8 @@ def combine_evidence(evidence: DataFrame, details: DataFrame, key: str = "ein")
         F.col("url").alias("website"), *[F.col(c).alias(f"_site_{c}") for c in ("phone", "email", *SOCIAL)],
         "mission_statement",
     ), "website")
-    joined = evidence.join(pages, "website", "left")
+    site = pages.withColumnRenamed("website", "_k")
+    joined = evidence.withColumn("_k", spread_null_key(F.col("website"), F.col(key))).join(site, "_k", "left")
     return joined.select(
         key, "website",
         *[F.coalesce(none_if_empty(F.col(c)), F.col(f"_site_{c}")).alias(c) for c in ("phone", "email", *SOCIAL)],
@@ -118,16 +120,17 @@ def combine_evidence(evidence: DataFrame, details: DataFrame, key: str = "ein")
 
 def enrich_from_results(df: DataFrame, results: DataFrame, pages: DataFrame, key: str = "ein") -> DataFrame:
     """Records with their blanks filled from results and pages; ``fields_updated`` counts cells."""
-    found = combine_evidence(evidence_from_results(results, key), site_details(pages), key)
-    return fill_back(df, found, key, FOUND)
+    evidence = evidence_from_results(results, key)
+    chosen = pages.join(evidence.select(F.col("website").alias("url")), "url", "left_semi")
+    return fill_back(df, combine_evidence(evidence, site_details(chosen), key), key, FOUND)
 
 
 def enrich_from_pages(df: DataFrame, pages: DataFrame, order: str = "_ord") -> DataFrame:
     """Records that need it get their nulls filled from the page of their own website."""
     columns = ("email", "mission_statement", *SOCIAL)
-    details = page_details(pages).withColumnRenamed("url", "website")
-    found = (
-        df.filter(needs_enrichment()).select(order, "website")
-        .join(one_per(details, "website"), "website").drop("website")
-    )
+    needy = df.filter(needs_enrichment()).select(order, "website")
+    # Patterns run over the pages that are asked for, not over all.
+    chosen = pages.join(needy.select(F.col("website").alias("url")), "url", "left_semi")
+    details = page_details(chosen).withColumnRenamed("url", "website")
+    found = needy.join(one_per(details, "website"), "website").drop("website")
     return fill_back(df, found, order, columns, empty_is_missing=False)

@@ -6,12 +6,17 @@ from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from rosterline.functions.blanks import is_blank
+from rosterline.functions.blanks import is_blank, none_if_empty
 from rosterline.operators.coerce import SCHEMA, coerce_schema
 
 SALTS = 256
 
 
+def digits(value: Column) -> Column:
+    """A key without hyphens, blanks and all else that is no digit; null when nothing is left."""
+    return none_if_empty(F.regexp_replace(value.cast("string"), "[^0-9]", ""))
+
+
 def first_rows(df: DataFrame, key: str | Sequence[str], order: str = "_ord") -> DataFrame:
     """The first row of each key in ``order``; null is a key of its own.
 
@@ -69,16 +74,27 @@ def fill_blanks(
     set of both lists or "first_nonblank" to treat it as any column. ``key_normalizer`` maps both
     keys to one form before the join.
     """
+    keyed = with_key(base, key, order, key_normalizer)
+    return _fill(keyed, source, key, order, columns, lineage, lineage_column, key_normalizer).drop("_k")
+
+
+def with_key(base: DataFrame, key: str, order: str = "_ord", key_normalizer=None) -> DataFrame:
+    """The base with its join key ``_k``, which several joins can share."""
+    as_key = key_normalizer or (lambda c: c)
+    return base.withColumn("_k", spread_null_key(as_key(F.col(key)), F.col(order)))
+
+
+def _fill(left: DataFrame, source: DataFrame, key, order, columns, lineage, lineage_column, key_normalizer) -> DataFrame:
+    """``fill_blanks`` for a base that has its ``_k`` and keeps it."""
     as_key = key_normalizer or (lambda c: c)
     if columns is None:
         columns = source.columns
-    columns = [c for c in columns if c in base.columns and c in source.columns and c not in (key, order)]
+    columns = [c for c in columns if c in left.columns and c in source.columns and c not in (key, order)]
     right = (
         source.select(as_key(F.col(key)).cast("string").alias("_k"), order, *columns)
         .filter(F.col("_k").isNotNull())
     )
     right = first_rows(right, "_k", order).select("_k", *[F.col(c).alias(f"_src_{c}") for c in columns])
-    left = base.withColumn("_k", spread_null_key(as_key(F.col(key)), F.col(order)))
     joined = left.join(right, "_k", "left")
 
     def merged(name: str) -> Column:
@@ -89,7 +105,7 @@ def fill_blanks(
             return F.when(theirs.isNull(), mine).otherwise(lineage_union(mine, theirs)).alias(name)
         return F.when(is_blank(mine), theirs).otherwise(mine).alias(name)
 
-    return joined.select(*[merged(c) for c in base.columns])
+    return joined.select(*[merged(c) for c in left.columns])
 
 
 def append_rows(base: DataFrame, *sources: DataFrame, keep: Iterable[str] = ("_ord",)) -> DataFrame:
@@ -106,21 +122,23 @@ def merge_sources(
     unkeyed: Mapping[str, DataFrame] | None = None,
     key: str = "ein",
     prune: bool = True,
-    **options,
+    lineage: str = "union",
+    lineage_column: str = "data_sources",
+    key_normalizer=None,
 ) -> DataFrame:
     """Fill from keyed sources in their order (earlier wins), then stack the others.
 
-    All joins use the same key column, so the base is shuffled once. ``prune`` drops source
-    columns without any value, at the price of one small aggregate per source.
+    The join key is made once and carried through, so the base is shuffled once for all sources.
+    ``prune`` drops source columns without any value, at the price of one small aggregate per source.
     """
-    result = coerce_schema(base, keep=("_ord",))
+    result = with_key(coerce_schema(base, keep=("_ord",)), key, "_ord", key_normalizer)
     names = [f.name for f in SCHEMA.fields if f.name != key]
     for source in keyed.values():
         source = coerce_schema(source, keep=("_ord",))
         columns = filled_columns(source, names) if prune else names
         if columns:
-            result = fill_blanks(result, source, key=key, columns=columns, **options)
-    return append_rows(result, *(unkeyed or {}).values())
+            result = _fill(result, source, key, "_ord", columns, lineage, lineage_column, key_normalizer)
+    return append_rows(result.drop("_k"), *(unkeyed or {}).values())
 
 
 def clean_key(value: Column) -> Column:
@@ -148,8 +166,16 @@ def add_coordinates(df: DataFrame, gazetteer: DataFrame, column: str = "zip_code
 
 
 def _beside(full: DataFrame, other: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
-    """The table with the other one's values as ``_new_`` columns; the other has a key once."""
-    new = other.select(F.col(key).cast("string").alias("_k"), *[F.col(c).alias(f"_new_{c}") for c in columns])
+    """The table with the other one's values as ``_new_`` columns.
+
+    Where the other table has a key more than once, one of its rows counts, the same on every run.
+    """
+    new = other.filter(F.col(key).isNotNull()).select(
+        F.col(key).cast("string").alias("_k"), *[F.col(c).alias(f"_new_{c}") for c in columns])
+    if columns:
+        new = new.groupBy("_k").agg(F.min(F.struct(*[f"_new_{c}" for c in columns])).alias("_new")).select("_k", "_new.*")
+    else:
+        new = new.distinct()
     return full.withColumn("_k", spread_null_key(F.col(key), *full.columns)).join(new, "_k", "left")
 
 

@@ -117,12 +117,12 @@ def merge_domain(
     return merge_on(df, domain, order, **options)
 
 
-def deduplicate(df: DataFrame, shared_domains: Sequence[str] = (), **limits) -> DataFrame:
+def deduplicate(df: DataFrame, shared_domains: Sequence[str] = (), key_normalizer=None, **limits) -> DataFrame:
     """The three tiers in order.
 
     The rows after tier 1 are used more than once, so they are written to the checkpoint folder.
     """
-    exact = cut_lineage(merge_exact(df))
+    exact = cut_lineage(merge_exact(df, key_normalizer=key_normalizer))
     return merge_domain(merge_fuzzy(exact, **limits), shared_domains=shared_domains)
 
 

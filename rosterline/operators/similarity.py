@@ -13,6 +13,7 @@ al., VLDB 2011), and anchors of earlier slices remove rows before the next slice
 from __future__ import annotations
 
 import sys
+from fractions import Fraction
 
 import pandas as pd
 from pyspark import cloudpickle
@@ -47,11 +48,13 @@ class Matcher:
             row = ((row + hit) | (row - hit)) & self.full
         return self.length - row.bit_count()
 
-    def similar(self, other: str, threshold: float) -> bool:
-        total = self.length + len(other)
-        if 200 * min(self.length, len(other)) < threshold * total:
+    def similar(self, other: str, threshold: Fraction | float) -> bool:
+        """Whether 200 x LCS reaches the threshold times both lengths, in whole numbers."""
+        threshold = threshold if isinstance(threshold, Fraction) else exact(threshold)
+        need = threshold.numerator * (self.length + len(other))
+        if 200 * min(self.length, len(other)) * threshold.denominator < need:
             return False
-        return 200 * self.common(other) >= threshold * total
+        return 200 * self.common(other) * threshold.denominator >= need
 
 
 def ratio(a: str, b: str) -> float:
@@ -59,6 +62,21 @@ def ratio(a: str, b: str) -> float:
     return 100.0 if total == 0 else 200.0 * Matcher(a).common(b) / total
 
 
+def exact(threshold: float) -> Fraction:
+    """The threshold as the fraction that was meant: 0.1 is one tenth."""
+    return Fraction(str(threshold))
+
+
+def _similar_batch(threshold: float):
+    limit = exact(threshold)
+
+    @F.pandas_udf(T.BooleanType())
+    def similar(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([Matcher(x).similar(y, limit) for x, y in zip(a, b)], dtype="bool")
+
+    return similar
+
+
 @F.pandas_udf(T.DoubleType())
 def _ratio_batch(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else ratio(x, y) for x, y in zip(a, b)], dtype="float64")
@@ -70,6 +88,8 @@ def similarity(a: Column, b: Column) -> Column:
 
 
 def _greedy_block(threshold: float):
+    limit = exact(threshold)
+
     def settle(block: pd.DataFrame) -> pd.DataFrame:
         block = block.sort_values("ord")
         free = list(zip(block["ord"], block["name"]))
@@ -79,7 +99,7 @@ def _greedy_block(threshold: float):
             matcher = Matcher(text)
             free = []
             for row in rest:
-                if matcher.similar(row[1], threshold):
+                if matcher.similar(row[1], limit):
                     taken.append((row[0], anchor))
                 else:
                     free.append(row)
@@ -156,7 +176,7 @@ def similar_pairs(index: DataFrame, probe: DataFrame, threshold: float) -> DataF
                 "s_name", "r_name")
         .dropDuplicates(["i", "j"])
     )
-    return near.filter(_ratio_batch("s_name", "r_name") >= threshold - 1e-9).select("i", "j")
+    return near.filter(_similar_batch(threshold)("s_name", "r_name")).select("i", "j")
 
 
 def dominated_rows(edges: DataFrame, finish_below: int = 200_000) -> DataFrame:
@@ -269,8 +289,12 @@ def cluster_names(
 ) -> DataFrame:
     """``(ord, anchor)`` for names taken by an earlier one; input has ``block, name, ord``.
 
-    Names are distinct within a block. Blocks of up to ``small_block`` names go to one task each.
+    Names are distinct within a block. Blocks of up to ``small_block`` names go to one task each. The
+    limits choose how the work is done, never the result. Thresholds up to two thirds are refused for
+    blocks of every size: similar names would not need to share a piece.
     """
+    if not 67 < threshold <= 100:
+        raise ValueError("thresholds must be above 67 and at most 100")
     sizes = names.groupBy("block").agg(F.count(F.lit(1)).alias("size"), F.min("ord").alias("block_id"))
     sized = names.join(sizes.filter("size > 1"), "block")
     small = (

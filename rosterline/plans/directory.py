@@ -8,20 +8,17 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, functions as F
 
 from rosterline.operators.classify import ClassifyRule, classify
-from rosterline.operators.coerce import coerce_schema, tag_source
+from rosterline.operators.coerce import AFTER_BASE, coerce_schema, placed, tag_source
 from rosterline.operators.enrich import enrich_from_pages
 from rosterline.operators.filters import in_state
-from rosterline.operators.merge import first_rows, merge_sources, update_back
+from rosterline.fixed import ENRICHED
+from rosterline.operators.merge import digits, first_rows, merge_sources, update_back
 from rosterline.operators.normalize import normalize_records
 from rosterline.operators.resolve import deduplicate
 from rosterline.operators.score import finish
 from rosterline.sources.tabular import map_master
 from rosterline.sources.stages import Stages
 
-ENRICHED = (
-    "email", "mission_statement", "facebook_url", "twitter_url", "linkedin_url", "instagram_url",
-    "youtube_url",
-)
 
 
 @dataclass(frozen=True)
@@ -41,7 +38,7 @@ def source_records(df: DataFrame, name: str, run_date: str) -> DataFrame:
 
 def after_base(df: DataFrame, place: int) -> DataFrame:
     """Row numbers behind those of all base files."""
-    return df.withColumn("_ord", F.col("_ord") + F.lit((512 + place) << 53))
+    return df.withColumn("_ord", placed(F.col("_ord"), AFTER_BASE + place))
 
 
 def base_records(master: DataFrame, run_date: str, rule: ClassifyRule = ClassifyRule()) -> DataFrame:
@@ -68,10 +65,12 @@ def build_directory(
 ) -> DataFrame:
     """Classify, merge, resolve, enrich, normalise, score.
 
-    Every input numbers its own rows in ``_ord``; stacked sources come after the base. With ``stages`` each step is written and can be resumed from.
+    Every input numbers its own rows in ``_ord``; stacked sources come after the base. With ``stages``
+    each step is written and can be resumed from. A skipped source adds nothing; a skipped merge,
+    resolution or enrichment passes on what came before it.
     """
-    def step(name: str, compute, required: bool = False) -> DataFrame:
-        return compute() if stages is None else stages.stage(name, compute, required)
+    def step(name: str, compute, required: bool = False, otherwise=None) -> DataFrame:
+        return compute() if stages is None else stages.stage(name, compute, required, otherwise)
 
     base = step("base", lambda: base_records(inputs.master, run_date, rule), required=True)
     keyed = {n: step(n, lambda n=n, d=d: source_records(d, n, run_date)) for n, d in inputs.keyed.items()}
@@ -79,8 +78,9 @@ def build_directory(
         n: step(n, lambda n=n, d=d, i=i: after_base(source_records(d, n, run_date), i))
         for i, (n, d) in enumerate(inputs.unkeyed.items())
     }
-    merged = step("merged", lambda: merge_sources(base, keyed, others))
-    resolved = step("resolved", lambda: deduplicate(merged))
+    merged = step("merged", lambda: merge_sources(base, keyed, others, key_normalizer=digits), otherwise=lambda: base)
+    resolved = step("resolved", lambda: deduplicate(merged, key_normalizer=digits), otherwise=lambda: merged)
     if inputs.pages is not None and not skip_enrichment:
-        resolved = step("enriched", lambda: enrich_stage(resolved, inputs.pages, state))
+        unfilled = resolved
+        resolved = step("enriched", lambda: enrich_stage(unfilled, inputs.pages, state), otherwise=lambda: unfilled)
     return finish(normalize_records(resolved), updated_at)

@@ -161,9 +161,12 @@ def state_headline(df: DataFrame, state: str) -> DataFrame:
     )
 
 
-def state_points(df: DataFrame, state: str, cap: int = 5_000) -> DataFrame:
-    """The first rows of a state, up to the map's cap, then those with coordinates."""
-    return df.filter(is_local(state)).orderBy("_ord").limit(cap).dropna(subset=["lat", "lng"])
+def state_points(df: DataFrame, state: str, cap: int | None = None) -> DataFrame:
+    """The rows of a state that have coordinates, of all its rows or of the first ``cap``."""
+    rows = df.filter(is_local(state))
+    if cap is not None:
+        rows = rows.orderBy("_ord").limit(cap)
+    return rows.dropna(subset=["lat", "lng"])
 
 
 # --- reports: long tables (section, metric, rank, label, value) ------------------------------

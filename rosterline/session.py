@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -30,17 +31,18 @@ def build_session(app_name: str = "rosterline", master: str | None = None, **ext
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``, which driver and executors all reach.
+    """This session's own folder below ``spark.checkpoint.dir``, which driver and executors all reach.
 
-    A folder of our own is made only for a local master, where they share one disk.
+    A cluster must name that folder. Only where the setting is missing and the master is local, so that
+    there is one machine, a temporary folder takes its place.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder is None:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         folder = tempfile.mkdtemp(prefix="rosterline-")
         spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    return f"{folder.rstrip('/')}/rosterline-{spark.sparkContext.applicationId}"
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -48,6 +50,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
     A lost executor then costs no recomputation, and later steps read only the columns they use.
     """
-    path = f"{shared_folder(df.sparkSession).rstrip('/')}/cut-{uuid.uuid4().hex}.parquet"
+    path = f"{shared_folder(df.sparkSession)}/cut-{uuid.uuid4().hex}.parquet"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def remove_written(spark: SparkSession) -> None:
+    """Delete all that ``cut_lineage`` wrote in this session; results not yet saved go with it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)

@@ -43,12 +43,16 @@ def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).json(path).withColumn("_ord", row_order())
 
 
-def flatten_financials(docs: DataFrame) -> DataFrame:
-    """One row per key from the latest filing, the first of its list; documents not found go."""
+def flatten_financials(docs: DataFrame, officers_limit: int | None = None) -> DataFrame:
+    """One row per key from the latest filing, the first of its list; documents not found go.
+
+    ``officers_limit`` keeps only the first officers.
+    """
     if "status" in docs.columns:
         docs = docs.filter(F.coalesce(F.col("status"), F.lit(200)) != 404)
     latest = F.get(F.col("filings_with_data"), F.lit(0))
-    officers = F.transform(F.slice(latest["officers"], 1, 10), lambda o: F.struct(
+    listed = latest["officers"] if officers_limit is None else F.slice(latest["officers"], 1, officers_limit)
+    officers = F.transform(listed, lambda o: F.struct(
         F.coalesce(o["name"], F.lit("")).alias("name"), F.coalesce(o["title"], F.lit("")).alias("title"),
         o["compensation"].alias("compensation"),
     ))
@@ -126,8 +130,11 @@ def first_text(*fields: Column) -> Column:
     return F.coalesce(*[none_if_empty(f) for f in fields], F.lit(""))
 
 
-def flatten_resources(docs: DataFrame) -> DataFrame:
-    """Resources at the top and in folders, the folder's name as category; the unnamed go."""
+def flatten_resources(docs: DataFrame, text_limit: int | None = None) -> DataFrame:
+    """Resources at the top and in folders, the folder's name as category; the unnamed go.
+
+    ``text_limit`` keeps only so many characters of a description.
+    """
     top = docs.select(F.lit("").alias("category"), F.explode("resources").alias("r"))
     folders = docs.select(F.explode("folders").alias("f")).select(
         F.coalesce("f.name", F.lit("")).alias("category"), F.col("f.resources").alias("_list")
@@ -142,6 +149,6 @@ def flatten_resources(docs: DataFrame) -> DataFrame:
         strip(r("title", "name")).alias("org_name"),
         strip(r("url", "website", "link")).alias("website"),
         strip(r("phone", "phoneNumber")).alias("phone"),
-        F.substring(about, 1, 500).alias("services_offered"),
+        (about if text_limit is None else F.substring(about, 1, text_limit)).alias("services_offered"),
         F.col("category").alias("service_categories"),
     )

@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
-from rosterline.operators.coerce import SCHEMA, empty_records
+from rosterline.operators.coerce import ORDERED_SCHEMA, empty_records
 
 
 @dataclass
@@ -16,7 +16,8 @@ class Stages:
     """Named stages below one folder all executors can reach.
 
     A stage in ``run`` (all by default) is computed and written, unless ``resume`` finds its
-    output. A stage not in ``run`` is read back, or empty when there is nothing to read;
+    output. A stage not in ``run`` is read back. When there is nothing to read, it gives what its
+    ``otherwise`` gives (a skipped transform passes its input on), else no records with a row order;
     ``required`` stages then fail. ``clean`` ignores and overwrites earlier output.
     """
 
@@ -39,7 +40,8 @@ class Stages:
             return None
 
     def stage(
-        self, name: str, compute: Callable[[], DataFrame], required: bool = False, schema=SCHEMA
+        self, name: str, compute: Callable[[], DataFrame], required: bool = False,
+        otherwise: Callable[[], DataFrame] | None = None, schema=ORDERED_SCHEMA,
     ) -> DataFrame:
         wanted = self.run is None or name in self.run
         earlier = self.saved(name) if self.resume or not wanted else None
@@ -48,7 +50,7 @@ class Stages:
         if not wanted:
             if required:
                 raise LookupError(f"stage {name} is skipped and has no saved output")
-            return empty_records(self.spark, schema)
+            return otherwise() if otherwise is not None else empty_records(self.spark, schema)
         compute().write.mode("overwrite").parquet(self.path(name))
         self.written.add(name)
         return self.spark.read.parquet(self.path(name))

@@ -12,16 +12,27 @@ from rosterline.functions.clean import code_label, title_case
 from rosterline.operators.coerce import numbers_from_text, rename_first_alias, row_order
 
 
+def files_of(spark: SparkSession, path: str) -> list[str]:
+    """The files of a folder by name, without hidden ones; a file is itself."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    if not system.getFileStatus(where).isDirectory():
+        return [path]
+    names = [f.getPath().toString() for f in system.listStatus(where) if f.isFile()]
+    return sorted(n for n in names if n.rsplit("/", 1)[-1][0] not in "._")
+
+
 def read_text_csv(
     spark: SparkSession, paths: Sequence[str], encoding: str = "ISO-8859-1", multi_line: bool = False
 ) -> DataFrame:
     """CSV files with headers, every column as text, stacked by trimmed upper-case column name.
 
     Each file keeps its own header, so files may differ in columns and their order. ``_ord`` numbers
-    the rows file by file.
+    the rows file by file; the files of a folder come in order of their names, since Spark itself deals
+    a folder's files out by size.
     """
     parts = []
-    for place, path in enumerate(paths):
+    for place, path in enumerate(f for p in paths for f in files_of(spark, p)):
         df = (
             spark.read.option("header", True).option("encoding", encoding).option("escape", '"')
             .option("multiLine", multi_line).option("inferSchema", False).csv(path)
@@ -34,8 +45,9 @@ def read_text_csv(
     return result
 
 
-def map_master(df: DataFrame) -> DataFrame:
-    """Master file columns to the canonical record."""
+def map_master(df: DataFrame, zip_length: int | None = None) -> DataFrame:
+    """Master file columns to the canonical record; ``zip_length`` keeps so many characters of the ZIP."""
+    short = (lambda z: z) if zip_length is None else (lambda z: F.substring(z, 1, zip_length))
     text = lambda c: strip(F.col(c)) if c in df.columns else F.lit(None).cast("string")
     subsection = text("SUBSECTION")
     other = F.concat(F.lit("501(c)("), subsection, F.lit(")"))
@@ -47,7 +59,7 @@ def map_master(df: DataFrame) -> DataFrame:
         title_case(text("STREET")).alias("street_address"),
         title_case(text("CITY")).alias("city"),
         F.upper(text("STATE")).alias("state"),
-        F.substring(text("ZIP"), 1, 10).alias("zip_code"),
+        short(text("ZIP")).alias("zip_code"),
         F.lit("US").alias("country"),
         text("NTEE_CD").alias("ntee_code"),
         subsection.alias("irs_subsection"),
@@ -66,10 +78,13 @@ def map_filings(df: DataFrame) -> DataFrame:
     return rename_first_alias(df, {"_ord": ("_ord",), **fixed.FILING_ALIASES})
 
 
-def read_directory(spark: SparkSession, path: str) -> DataFrame:
-    """A finished directory: text columns, the known numeric ones as numbers."""
+def read_directory(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    """A finished directory: text columns, the known numeric ones as numbers.
+
+    ``multi_line`` allows line breaks in cells, at the price of one task per file.
+    """
     df = (
-        spark.read.option("header", True).option("escape", '"').option("multiLine", True)
+        spark.read.option("header", True).option("escape", '"').option("multiLine", multi_line)
         .option("inferSchema", False).csv(path)
     )
     df = df.toDF(*[c.lstrip("\ufeff") for c in df.columns])

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from rosterline.functions.blanks import none_if_empty, strip
 from rosterline.functions.clean import slug_to_name, title_case
-from rosterline.functions.contact import visible_text
+from rosterline.functions.contact import cell_text
 from rosterline.operators.aggregate import attach, group_people
 from rosterline.operators.coerce import row_order
 
@@ -40,13 +40,13 @@ def table_rows(
     """
     first = F.regexp_extract("html", _element([container]), 1)
     tables = pages.select(*keep, _inner(first, [row]).alias("_rows"))
-    name = lambda c: F.replace(F.lower(visible_text(c)), F.lit(" "), F.lit("_"))
+    name = lambda c: F.replace(F.lower(cell_text(c)), F.lit(" "), F.lit("_"))
     headers = F.transform(_inner(F.get("_rows", F.lit(0)), header_cells), name) if header else F.array().cast("array<string>")
     body = F.slice("_rows", 2 if header else 1, F.greatest(F.size("_rows"), F.lit(1)))
     # Headers and rows part ways before the rows spread, so that no row carries the whole table.
     split = tables.select(*keep, headers.alias("headers"), body.alias("_body"))
     rows = split.select(*keep, "headers", F.posexplode("_body").alias("row_no", "_row"))
-    values = F.transform(_inner(F.col("_row"), cells), visible_text)
+    values = F.transform(_inner(F.col("_row"), cells), cell_text)
     return rows.select(*keep, "row_no", "headers", values.alias("cells")).filter(F.size("cells") >= min_cells)
 
 
@@ -74,26 +74,30 @@ def accredited_organizations(pages: DataFrame, keep: Sequence[str] = ()) -> Data
 
 
 def searched_organizations(pages: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
-    """The fallback listing: name, city, state, ZIP, phone by position."""
+    """The fallback listing: name, city, state, ZIP, phone by position; it knows no representatives."""
     rows = table_rows(pages, keep)
     at = lambda i: F.coalesce(F.get(F.col("cells"), F.lit(i)), F.lit(""))
     out = rows.select(
         row_order().alias("_ord"), *keep, at(0).alias("org_name"), at(1).alias("city"), at(2).alias("state"),
-        at(3).alias("zip_code"), at(4).alias("phone"), F.lit("").alias("representative_name"),
+        at(3).alias("zip_code"), at(4).alias("phone"), F.lit(None).cast("string").alias("representative_name"),
         F.lit("VA-Accredited VSO").alias("accreditation_details"),
     )
     return out.filter(F.col("org_name") != "")
 
 
 def map_accredited(rows: DataFrame, order: str = "_ord") -> DataFrame:
-    """Accredited rows to the canonical record, with all of an organisation's people on each row."""
+    """Accredited rows to the canonical record, with all of an organisation's people on each row.
+
+    Rows of a listing without representatives have no people, not an empty list.
+    """
     people = group_people(rows, "org_name", "representative_name", "VSO Representative", order)
     return attach(rows, people, "org_name").select(
         order,
         title_case(strip(F.col("org_name"))).alias("org_name"),
         title_case(strip(F.col("city"))).alias("city"),
         F.upper(strip(F.col("state"))).alias("state"),
-        "zip_code", "phone", F.lit("Yes").alias("va_accredited"), "accreditation_details", "key_personnel",
+        "zip_code", "phone", F.lit("Yes").alias("va_accredited"), "accreditation_details",
+        F.when(F.col("representative_name").isNotNull(), F.col("key_personnel")).alias("key_personnel"),
     )
 
 

@@ -145,7 +145,8 @@ def test_currency(spark, value, text):
 def test_people(spark):
     many = "[" + ",".join(f'{{"name":"n{i}","title":"t"}}' for i in range(20)) + "]"
     got = run(spark, clean.people_list, ['[{"name":"A","title":"B","compensation":1.5}]', "[]", many, "oops", None])
-    assert [None if p is None else len(p) for p in got] == [1, 0, 15, None, None]
+    assert [None if p is None else len(p) for p in got] == [1, 0, 20, None, None]
+    assert len(run(spark, lambda c: clean.people_list(c, 15), [many])[0]) == 15
     assert got[0][0].asDict() == {"name": "A", "title": "B", "compensation": 1.5}
 
 

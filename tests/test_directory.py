@@ -89,3 +89,28 @@ def test_stream_takes_what_is_new(spark, tmp_path):
     frame.filter("STATE = 'OH'").write.mode("append").parquet(landing)
     assert arrive() == 5
     assert spark.read.parquet(out).filter(F.col("ein") == "55-5555555").first().confidence_grade == "D"
+
+
+def test_skipped_stages_pass_on_what_they_got(spark, tmp_path):
+    """Nothing is saved, so a skipped source adds nothing and a skipped transform changes nothing."""
+    every = ("base", "charity_nav", "va_vso", "merged", "resolved", "enriched")
+
+    def build(*left_out):
+        run = [s for s in every if s not in left_out]
+        stages = Stages(spark, str(tmp_path / "-".join(left_out)), run=run)
+        return build_directory(inputs(spark), "2024-01-01", "2024-01-01T00:00:00", stages=stages).collect()
+
+    assert {r.charity_navigator_rating for r in build("charity_nav")} == {None}
+    assert all("va_vso" not in r.data_sources for r in build("va_vso"))
+    assert {r.data_sources for r in build("merged")} == {"irs_bmf"}
+    assert len(build("resolved")) == 4 + 1 and {r.email for r in build("enriched")} == {None}
+    assert len(build("charity_nav", "va_vso", "merged", "resolved", "enriched")) == 4
+
+
+def test_folder_files_come_by_name(spark, tmp_path):
+    from rosterline.sources.tabular import read_text_csv
+
+    for name, n in (("d.csv", 1), ("a.csv", 400), ("c.csv", 20), ("b.csv", 4)):
+        (tmp_path / name).write_text("EIN,NAME\n" + "".join(f"{i},{name}\n" for i in range(n)))
+    rows = read_text_csv(spark, [str(tmp_path)]).orderBy("_ord").collect()
+    assert [r.NAME for r in rows] == ["a.csv"] * 400 + ["b.csv"] * 4 + ["c.csv"] * 20 + ["d.csv"]

@@ -37,6 +37,23 @@ def test_site_email_prefers_mailto(spark):
     assert one(spark, lambda h: contact.site_email(h, contact.links(h)), "me@example.com You@Y.org") == "you@y.org"
 
 
+@pytest.mark.parametrize("page,found", [
+    ("""<a href="https://f.com/o'neil">x</a>""", ["https://f.com/o'neil"]), ("<a class=x HREF = '/a\"b'>x</a>", ['/a"b']),
+    ("<a href=/bare/x>x</a><a href=y>", ["/bare/x", "y"]), ("<!-- <a href='/gone'> --><a href='/here'>", ["/here"]),
+    ("<a href='?a=1&amp;lt;b&#x26;c&#233;'>", ["?a=1&lt;b&cé"]), ("<a name='x'>", []),
+])
+def test_links(spark, page, found):
+    assert one(spark, contact.links, page) == found
+
+
+@pytest.mark.parametrize("html,text", [
+    ("<b> A </b><i> B </i>", "AB"), ("&Eacute;t&eacute; &#8211; &#x1F600; &unknown; &amp;eacute;", "Été – 😀 &unknown; &eacute;"),
+    ("a<!-- <td> > -->b", "ab"), ("x&nbsp;", "x"), ("&#0;&#xD800;", "&#0;&#xD800;"),
+])
+def test_cell_text(spark, html, text):
+    assert one(spark, contact.cell_text, html) == text
+
+
 FB = fixed.SOCIAL_PATTERNS["facebook_url"]
 
 
@@ -55,10 +72,12 @@ def test_social(spark, page, skip, url):
 @pytest.mark.parametrize("page,text", [
     ('<meta name="description" content=" Aid\'s &amp; more ">', "Aid's & more"),
     ("<META content='c' name='description'>", "c"), ('<meta name="keywords" content="k">', None),
-    ('<meta name="description" content="">', None), ('<meta name="description" content="' + "x" * 600 + '">', "x" * 500),
+    ('<meta name="description" content="">', None), ('<meta name="description" content="' + "x" * 600 + '">', "x" * 600),
 ])
 def test_meta(spark, page, text):
     assert one(spark, contact.meta_content, page) == text
+    short = one(spark, lambda h: contact.meta_content(h, limit=500), page)
+    assert short == (None if text is None else text[:500])
 
 
 RESULTS = [

@@ -71,6 +71,20 @@ def test_row_count_is_kept_under_a_hot_key(spark):
     assert out.filter("ein = 'hot'").select("city").distinct().collect()[0].city == "0"
 
 
+def test_keys_in_two_spellings_meet(spark):
+    base = spark.createDataFrame([(0, "123456789", None)], "_ord long, ein string, phone string")
+    source = spark.createDataFrame([(0, "12-3456789", "555")], "_ord long, ein string, phone string")
+    assert merge.fill_blanks(base, source).first().phone is None
+    assert merge.fill_blanks(base, source, key_normalizer=merge.digits).first().phone == "555"
+
+
+def test_repeated_keys_do_not_multiply_rows(spark):
+    full = spark.createDataFrame([(1, "a"), (2, None)], "k long, v string")
+    twice = spark.createDataFrame([(1, "x"), (1, "y"), (2, "z"), (None, "n")], "k long, v string")
+    assert sorted(map(tuple, merge.update_back(full, twice, "k", ["v"]).collect())) == [(1, "x"), (2, "z")]
+    assert sorted(map(tuple, merge.fill_back(full, twice, "k", ["v"]).collect())) == [(1, "a", 0), (2, "z", 1)]
+
+
 def test_first_rows(spark):
     df = spark.createDataFrame([(2, "a", None), (1, "a", "x"), (3, None, "n"), (4, None, "m")], "_ord int, k string, v string")
     assert sorted((r._ord, r.k, r.v) for r in merge.first_rows(df, "k").collect()) == [(1, "a", "x"), (3, None, "n")]

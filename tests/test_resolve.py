@@ -27,6 +27,13 @@ def test_bit_lcs_is_the_table_lcs(a, b):
     assert sim.Matcher(a).common(b) == dp_lcs(a, b)
 
 
+def test_thresholds_are_refused_for_every_size(spark):
+    names = spark.createDataFrame([("b", "x y", 0), ("b", "x z", 1)], "block string, name string, ord long")
+    for limits in ({}, {"small_block": 1}):
+        with pytest.raises(ValueError):
+            sim.cluster_names(names, 60.0, **limits)
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.text("ab", max_size=30), st.text("ab", max_size=30), st.sampled_from([70, 85, 90.5]))
 def test_similar_is_the_ratio_test(a, b, threshold):

@@ -22,7 +22,8 @@ def test_master_files(spark, tmp_path):
     assert set(dict(df.drop("_ord").dtypes).values()) == {"string"}
     first, second = tabular.map_master(df).orderBy("_ord").collect()
     assert (first.org_name, first.ein, first.city, first.state, first.zip_code) == (
-        "Café O'Neil", "001", "St. Louis", "KY", "40165-1234")
+        "Café O'Neil", "001", "St. Louis", "KY", "40165-12345")
+    assert tabular.map_master(df, zip_length=10).orderBy("_ord").first().zip_code == "40165-1234"
     assert (first.org_type, first.total_assets, first.total_revenue) == ("501(c)(19)", 12.0, None)
     assert first.tax_exempt_status == "Unconditional Exemption"
     assert (second.org_name, second.org_name_alt, second.org_type) == ('A, "B"', "Alt", "501(c)(7)")
@@ -53,7 +54,9 @@ def test_financials(spark, tmp_path):
     assert [(r.ein, r.num_employees, r.total_revenue, r.total_assets) for r in rows] == [
         ("1", 3.0, 5.0, None), ("2", None, None, None)]
     people = json.loads(rows[0].key_personnel)
-    assert len(people) == 10 and people[0] == {"name": "n0", "title": "", "compensation": 0.0}
+    few = docs.flatten_financials(docs.read_json(spark, path, docs.FINANCIALS), officers_limit=10).filter("ein = '1'").first()
+    assert json.loads(few.key_personnel) == people[:10]
+    assert len(people) == 12 and people[0] == {"name": "n0", "title": "", "compensation": 0.0}
     assert rows[1].key_personnel is None
 
 
