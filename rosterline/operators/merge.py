@@ -64,6 +64,7 @@ def fill_blanks(
     lineage: str = "union",
     lineage_column: str = "data_sources",
     key_normalizer=None,
+    match_null: bool = False,
 ) -> DataFrame:
     """Left join on a key; blanks of the base take the source's value, values stay.
 
@@ -72,8 +73,12 @@ def fill_blanks(
     is the base's. ``columns`` says which columns take part (default: the shared ones);
     ``filled_columns`` finds those the source fills at all. ``lineage`` is "union" for the sorted
     set of both lists or "first_nonblank" to treat it as any column. ``key_normalizer`` maps both
-    keys to one form before the join.
+    keys to one form before the join. Rows without a key match nothing, or with ``match_null`` the
+    first source row without one.
     """
+    if match_null:
+        as_key = key_normalizer or (lambda c: c)
+        key_normalizer = lambda c: F.coalesce(as_key(c).cast("string"), F.lit("\u0000null"))
     keyed = with_key(base, key, order, key_normalizer)
     return _fill(keyed, source, key, order, columns, lineage, lineage_column, key_normalizer).drop("_k")
 

@@ -78,6 +78,13 @@ def test_keys_in_two_spellings_meet(spark):
     assert merge.fill_blanks(base, source, key_normalizer=merge.digits).first().phone == "555"
 
 
+def test_null_keys_match_only_when_asked(spark):
+    base = spark.createDataFrame([(0, None, None), (1, "a", None)], "_ord long, ein string, phone string")
+    source = spark.createDataFrame([(0, None, "n"), (1, None, "m"), (2, "a", "x")], "_ord long, ein string, phone string")
+    got = lambda **o: [r.phone for r in merge.fill_blanks(base, source, **o).orderBy("_ord").collect()]
+    assert got() == [None, "x"] and got(match_null=True) == ["n", "x"]
+
+
 def test_repeated_keys_do_not_multiply_rows(spark):
     full = spark.createDataFrame([(1, "a"), (2, None)], "k long, v string")
     twice = spark.createDataFrame([(1, "x"), (1, "y"), (2, "z"), (None, "n")], "k long, v string")
