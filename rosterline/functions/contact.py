@@ -17,20 +17,19 @@ HREF = rf"""(?is)<a\b[^>]*?\bhref\s*=\s*{_VALUE}"""
 COMMENT = r"(?s)<!--.*?-->"
 # Names of characters come from the standard library's table of HTML entities.
 ENTITY = r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,30});"
+NAMED = "map({})".format(", ".join(f"'&{n};', '{' ' if n == 'nbsp' else chr(p)}'" for n, p in name2codepoint.items()))
 AMPERSANDS = ("&amp;", "&AMP;", "&#38;", "&#038;", "&#x26;", "&#X26;")
 
 
 def _character(entity: Column) -> Column:
     """What one entity stands for; unknown ones stay as they are."""
-    names = ((f"&{n};", " " if n == "nbsp" else chr(p)) for n, p in name2codepoint.items())
-    named = F.create_map(*[F.lit(x) for pair in names for x in pair])
     hexadecimal = F.regexp_extract(entity, "^&#[xX]([0-9a-fA-F]+);", 1)
     decimal = F.regexp_extract(entity, "^&#([0-9]+);", 1)
     point = F.when(hexadecimal != "", F.conv(hexadecimal, 16, 10)).when(decimal != "", decimal).cast("long")
     valid = ((point > 0) & (point < 0xD800)) | point.between(0xE000, 0x10FFFF)
     numeric = F.when(point == 160, F.lit(" ")).when(
         valid, F.decode(F.unhex(F.lpad(F.hex(point), 8, "0")), "UTF-32"))
-    return F.coalesce(numeric, F.try_element_at(named, entity), entity)
+    return F.coalesce(numeric, F.try_element_at(F.expr(NAMED), entity), entity)
 
 
 def unescape(value: Column) -> Column:
