@@ -39,9 +39,11 @@ LENGTH = 100
 GRAM = 32
 WINDOW = LENGTH - GRAM + 1
 LONGEST = WINDOW - 1 + LENGTH  # of a segment
-BLOCK = 1 << 19
+BLOCK = 1 << 18
+# Rows of bytes are gathered so many at a time.
+SLICE = 2_000
 _PLACE_BITS = 21
-CHUNK_ROWS = 512
+CHUNK_ROWS = 256
 # A document without an id comes after all others.
 NO_ID = 2**63 - 1
 
@@ -177,7 +179,8 @@ class Block:
         self.at = chosen[first]
         self.low = windows[first]
         self.high = windows[np.append(first[1:], len(windows)) - 1]
-        self.hash = hashes[self.at]
+        # Anchors have small hashes, so buckets go by another one.
+        self.hash = mix64(hashes[self.at] ^ np.uint64(0x5851F42D4C957F2D))
 
     def digest(self, low: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Hashes of the bytes ``low..end``."""
@@ -185,9 +188,12 @@ class Block:
 
     def segments(self, low: np.ndarray, length: np.ndarray) -> np.ndarray:
         """Their bytes as rows, zero after the end."""
-        place = np.arange(LONGEST)
-        out = self.data[np.minimum(low[:, None] + place, len(self.data) - 1)]
-        out[place >= length[:, None]] = 0
+        place = np.arange(LONGEST, dtype=np.int32)
+        out = np.empty((len(low), LONGEST), np.uint8)
+        for a in range(0, len(low), SLICE):
+            part = slice(a, a + SLICE)
+            out[part] = self.data[np.minimum(low[part, None].astype(np.int32) + place, len(self.data) - 1)]
+            out[part][place >= length[part, None]] = 0
         return out
 
 
@@ -315,10 +321,10 @@ def _segments(bits: int):
             new = np.append(True, key[by][1:] != key[by][:-1])
             leader = by[np.flatnonzero(new)[np.cumsum(new) - 1]]
             same = np.zeros(len(by), bool)
-            for a in range(0, len(by), 20_000):
-                i, j = by[a:a + 20_000], leader[a:a + 20_000]
-                same[a:a + 20_000] = (
-                    ~new[a:a + 20_000] & (ids[i] == ids[j]) & (length[i] == length[j]) & (at[i] - low[i] == at[j] - low[j])
+            for a in range(0, len(by), SLICE):
+                i, j = by[a:a + SLICE], leader[a:a + SLICE]
+                same[a:a + SLICE] = (
+                    ~new[a:a + SLICE] & (ids[i] == ids[j]) & (length[i] == length[j]) & (at[i] - low[i] == at[j] - low[j])
                     & (block.segments(low[i], length[i]) == block.segments(low[j], length[j])).all(axis=1))
             repeat, send = by[same], np.sort(by[~same])
             if len(repeat):
@@ -359,9 +365,14 @@ def repeats(records: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         has = np.flatnonzero((offset >= 0) & (offset <= length - LENGTH))
         if len(has) < 2:
             continue
-        own = records[first[has]]
-        windows = own["bytes"][np.arange(len(has))[:, None], offset[has][:, None] + np.arange(LENGTH)]
-        later = not_first(deep_shallow(as_words(windows, tags[has])), own["doc"], own["row"], own["pos"])
+        number = first[has]
+        windows = np.empty((len(has), LENGTH), np.uint8)
+        for a in range(0, len(has), SLICE):
+            part = slice(a, a + SLICE)
+            rows = records["bytes"][number[part]]
+            windows[part] = np.take_along_axis(rows, offset[has][part, None] + np.arange(LENGTH), axis=1)
+        later = not_first(
+            deep_shallow(as_words(windows, tags[has])), records["doc"][number], records["row"][number], records["pos"][number])
         found[has[later], offset[has[later]]] = True
     edges = np.diff(np.concatenate([np.zeros((len(first), 1), np.int8), found.astype(np.int8)], axis=1), axis=1)
     r0, start = np.nonzero(edges == 1)
@@ -415,7 +426,7 @@ def _remove(with_text: bool):
     return run
 
 
-def remove_repeats(docs: DataFrame, bucket_anchors: int = 200_000, with_text: bool = True) -> DataFrame:
+def remove_repeats(docs: DataFrame, bucket_anchors: int = 100_000, with_text: bool = True) -> DataFrame:
     """Texts as UTF-8 bytes without each byte of a 100-byte string that also starts earlier.
 
     ``docs`` needs ``doc_id`` and ``text``; other columns are ignored. Earlier means a smaller id (null
