@@ -45,6 +45,7 @@ REPEATS = ((0.5, 0.5), (6.0, 3.5))
 _EDGE = "".join(c for c in string.punctuation if c not in "@$+|") + "«»“”„‘’…–—"
 _TRIPLE = re.compile(r"(.)\1\1")
 _DOUBLE = re.compile(r"(.)\1")
+_hash = xxhash.xxh32_intdigest
 _LETTERS = "\0" + string.ascii_lowercase
 
 
@@ -188,10 +189,14 @@ class Restorer(dict):
         return found
 
 
+def stems_of(word: str) -> list[int]:
+    """What is scored of a word, as 32-bit hashes: itself, and its beginnings of three to seven letters."""
+    return [_hash(word), *[_hash(word[:k] + "*") for k in range(3, min(8, len(word)))]]
+
+
 def stems(words: set[str]) -> np.ndarray:
-    """What is scored, as sorted 32-bit hashes: words, and their beginnings of three to seven letters."""
-    own = words | {w[:k] + "*" for w in words for k in range(3, 8) if len(w) > k}
-    return np.unique(np.fromiter(map(xxhash.xxh32_intdigest, own), np.uint32, len(own)))
+    """The sorted distinct stems of some words."""
+    return np.array(sorted({h for w in words for h in stems_of(w)}), np.uint32)
 
 
 def _restore(model):
@@ -250,13 +255,13 @@ class Weights(dict):
         super().__init__()
         self.restorer, self.weights = restorer, weights
 
-    def known(self, words: set[str]) -> set[int]:
-        return set(stems(words).tolist()) & self.weights.keys()
+    def known(self, words) -> set[int]:
+        return {h for w in words for h in stems_of(w) if h in self.weights}
 
     def __missing__(self, token: str):
         if len(self) >= HELD_WORDS:
             self.clear()
-        found = self[token] = tuple(sorted(self.known(set(self.restorer.read(token))))) or None
+        found = self[token] = tuple(sorted(self.known(self.restorer.read(token)))) or None
         return found
 
 
