@@ -62,3 +62,23 @@ def test_dimensions_are_not_hinted(spark):
     """Broadcasts come from Spark's own size estimate."""
     root = pathlib.Path(__file__).resolve().parent.parent / "rosterline"
     assert not [p for p in root.rglob("*.py") if "llm" not in p.parts and "broadcast(" in p.read_text()]
+
+
+def test_written_tables_can_be_removed(tmp_path):
+    """One folder for each session, gone when asked; in a process of its own."""
+    import subprocess
+    import sys
+
+    code = f"""
+from rosterline.session import build_session, cut_lineage, remove_written, shared_folder
+import pathlib
+spark = build_session("t", "local[1]", spark__ui__enabled="false", spark__checkpoint__dir={str(tmp_path)!r})
+folder = pathlib.Path(shared_folder(spark))
+assert cut_lineage(spark.range(3)).count() == 3 and len(list(folder.iterdir())) == 1
+remove_written(spark)
+assert not folder.exists()
+print("removed")
+"""
+    root = pathlib.Path(__file__).resolve().parent.parent
+    done = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True)
+    assert "removed" in done.stdout, done.stderr[-2000:]
