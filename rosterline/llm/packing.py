@@ -3,9 +3,10 @@
 Harmonic packing sorts lengths into the classes capacity/k and fills a class's bins with k pieces each,
 so a bin needs no knowledge of any other. Documents may be cut freely here, which allows the pieces to
 be made exactly as long as their class: whole capacities first, then the powers of two that sum to the
-rest. k pieces of capacity/k fill a bin without padding. Workers (shards) fill the bins of each class
-on their own; the last bin of a class and shard is split into sequences of power-of-two counts of
-pieces, whose lengths are powers of two and need no padding either.
+rest. k pieces of capacity/k fill a bin without padding. Every task fills the bins of each class on its
+own while it reads, so nothing is shuffled and ids are moved once. What is left of a class at the end
+of a task goes to sequences of power-of-two counts of pieces, whose lengths are powers of two and need no
+padding either.
 """
 
 from __future__ import annotations
@@ -17,9 +18,10 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 
-from rosterline.llm.common import column, long_id, rows_of, slices, written
+from rosterline.llm.common import column, long_id, rows_of, slices
 
 END = 1
 HELD_WORDS = 100_000
@@ -32,7 +34,8 @@ _PART = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|[^\s{_LET
 _RARE = re.compile("[\x1c-\x1fİɐ-\U0010ffff]|<\\|")
 _PIECES = pa.schema([
     ("doc_id", pa.int64()), ("_row", pa.int64()), ("start", pa.int64()), ("length", pa.int64()),
-    ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("ids", pa.binary()),
+    ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("ids", pa.binary()), ("sequence_id", pa.int64()),
+    ("offset", pa.int64()), ("sequence_length", pa.int64()),
 ])
 
 
@@ -99,30 +102,53 @@ def cuts(n: int, capacity: int) -> list[int]:
     return [capacity] * full + [1 << b for b in range(rest.bit_length() - 1, -1, -1) if rest >> b & 1]
 
 
-def _pieces(tokenizer: str, capacity: int, with_ids: bool):
+def _packed(tokenizer: str, capacity: int, with_ids: bool):
     end = array("I", [END]).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _words(tokenizer)
+        sequence = TaskContext.get().partitionId() << 33
+        # Per class the pieces of its open bin: fewer than capacity / length of them.
+        bins: dict[int, list[tuple]] = {}
+        out: list[tuple] = []
+
+        def close(pieces: list[tuple], length: int):
+            nonlocal sequence
+            whole = length * len(pieces)
+            out.extend((*piece, sequence, i * length, whole) for i, piece in enumerate(pieces))
+            sequence += 1
+
+        def rows():
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*out), _PIECES)], schema=_PIECES)
+            out.clear()
+
         for batch in slices(batches, 500):
-            out: list[tuple] = []
             for doc_id, row, text in zip(*(column(batch, c).to_pylist() for c in ("doc_id", "_row", "text"))):
                 ids = memoryview(words.encode(text or "") + end)
                 start, n = 0, len(ids) // 4
                 for length in cuts(n, capacity):
                     own = ids[4 * start:4 * (start + length)]
-                    out.append((doc_id, row, start, length, zlib.crc32(own), n, bytes(own) if with_ids else None))
+                    bin_ = bins.setdefault(length, [])
+                    bin_.append((doc_id, row, start, length, zlib.crc32(own), n, bytes(own) if with_ids else None))
+                    if len(bin_) * length == capacity:
+                        close(bin_, length)
+                        bin_.clear()
                     start += length
             if out:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(list(c), f.type) for c, f in zip(zip(*out), _PIECES)], schema=_PIECES)
+                yield from rows()
+        for length, bin_ in sorted(bins.items()):
+            while bin_:
+                count = 1 << (len(bin_).bit_length() - 1)
+                close(bin_[:count], length)
+                del bin_[:count]
+        if out:
+            yield from rows()
 
     return run
 
 
 def pack(
-    docs: DataFrame, capacity: int = 2048, tokenizer: str = "word_bpe_49k.json", shard_pieces: int = 50_000,
-    with_ids: bool = True,
+    docs: DataFrame, capacity: int = 2048, tokenizer: str = "word_bpe_49k.json", with_ids: bool = True,
 ) -> DataFrame:
     """Every id of every document at its place in a sequence.
 
@@ -133,32 +159,8 @@ def pack(
     1; null text is empty and has that id only. Rows with equal or null ids are packed each on its own,
     told apart by ``_row``. An empty table gives an empty result.
     """
-    rows = rows_of(docs, long_id(), "text")
-    pieces = written(rows.mapInArrow(
-        _pieces(tokenizer, capacity, with_ids),
-        "doc_id long, _row long, start long, length long, ids_crc32 long, doc_tokens long, ids binary"))
-    shards = max(1, -(-pieces.count() // shard_pieces))
-    pieces = pieces.withColumn("shard", F.pmod(F.xxhash64("_row"), F.lit(shards)).cast("long"))
-    group = Window.partitionBy("length", "shard")
-    k = F.expr(f"{capacity} div length")
-    rank = F.row_number().over(group.orderBy("doc_id", "_row", "start")) - 1
-    placed = (
-        pieces.withColumn("rank", rank).withColumn("n", F.count("*").over(group))
-        .withColumn("bin", F.expr(f"rank div ({capacity} div length)")).withColumn("slot", F.col("rank") % k)
-        # Pieces in this bin: k, or in the last one what is left.
-        .withColumn("filled", F.least(k, F.col("n") - F.col("bin") * k))
-        # The last bin's pieces go to one sequence for each bit of their count: a piece belongs to the
-        # highest bit in which its slot and the count differ.
-        .withColumn("bit", F.when(F.col("filled") == k, F.lit(-1)).otherwise(
-            F.floor(F.log2(F.col("slot").bitwiseXOR(F.col("filled")).cast("double"))).cast("int")))
-        .withColumn("base", F.when(F.col("bit") < 0, F.lit(0)).otherwise(
-            F.expr("shiftleft(shiftright(filled, bit + 1), bit + 1)"))))
-    classes = capacity.bit_length()
-    class_ = F.log2(F.col("length").cast("double")).cast("long")
-    return placed.select(
-        "doc_id", "_row", "start", "length", "ids_crc32", "doc_tokens",
-        # Unique by shard, class, bin and bit.
-        (((F.col("bin") * shards + F.col("shard")) * classes + class_) * 64 + F.col("bit") + 1).alias("sequence_id"),
-        ((F.col("slot") - F.col("base")) * F.col("length")).cast("long").alias("offset"),
-        F.when(F.col("bit") < 0, F.lit(capacity)).otherwise(F.expr("shiftleft(length, bit)")).cast("long").alias("sequence_length"),
-        *(["ids"] if with_ids else []))
+    pieces = rows_of(docs, long_id(), "text").mapInArrow(
+        _packed(tokenizer, capacity, with_ids),
+        "doc_id long, _row long, start long, length long, ids_crc32 long, doc_tokens long, ids binary, "
+        "sequence_id long, offset long, sequence_length long")
+    return pieces if with_ids else pieces.drop("ids")

@@ -99,7 +99,7 @@ def check_pieces(pieces, rows, capacity=2048):
 
 
 def test_packing_odd_rows(make, odd_rows):
-    assert check_pieces(packing.pack(make(odd_rows), shard_pieces=7).collect(), odd_rows) == 0
+    assert check_pieces(packing.pack(make(odd_rows)).collect(), odd_rows) == 0
     assert packing.pack(make([])).collect() == []
 
 
