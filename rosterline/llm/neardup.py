@@ -7,8 +7,10 @@
    member, so pairs grow with the members, not with their square.
 3. Proposed pairs are confirmed on full shingle sets; confirmed pairs give components.
 4. A star leaves pairs of its outer members untested. Buckets whose members are still in different
-   components propose again around another centre, until a whole round confirms no new link. Pairs are
-   not tested twice.
+   components propose again: small ones (up to ``SMALL`` members) each pair between components, larger
+   ones stars around other centres, and they are split by a second band, which similar members mostly
+   share and others mostly do not. This ends when a whole round confirms no new link. Pairs are not tested
+   twice, and pairs whose signatures agree far too little for the limit are not read in full.
 """
 
 from __future__ import annotations
@@ -27,6 +29,12 @@ from rosterline.llm.graph import components
 BIN_BITS = 7
 BANDS, ROWS = 25, 5
 HELD_WORDS = 100_000
+# In a bucket of so many members, a member is proposed with at most SMALL - 1 others.
+SMALL = 24
+# Centres of a larger bucket in each round.
+CENTRES = 8
+# How many standard deviations a signature may fall short of the limit.
+SLACK = 6.0
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
 
@@ -103,16 +111,18 @@ def band_keys(values: np.ndarray) -> np.ndarray:
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     shingler = Shingler()
     for batch in slices(batches, 500):
-        sizes, digests, bands = [], [], []
+        sizes, digests, bands, short = [], [], [], []
         for text in column(batch, "text").to_pylist():
             hashes = shingler.of(text)
             sizes.append(len(hashes))
             digests.append(xxhash.xxh3_128_digest(hashes.tobytes()) if len(hashes) else None)
-            bands.append(band_keys(signature(hashes)).view(np.int64) if len(hashes) else None)
+            values = signature(hashes) if len(hashes) else None
+            bands.append(None if values is None else band_keys(values).view(np.int64))
+            short.append(None if values is None else mix64(values).astype("<u2").tobytes())
         yield pa.RecordBatch.from_arrays([
             column(batch, "doc_id"), column(batch, "_row"), pa.array(sizes, pa.int64()),
-            pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64())),
-        ], names=["doc_id", "_row", "n", "digest", "bands"])
+            pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(short, pa.binary()),
+        ], names=["doc_id", "_row", "n", "digest", "bands", "short"])
 
 
 def _compare(percent: int):
@@ -131,11 +141,44 @@ def _compare(percent: int):
     return run
 
 
-def _confirm(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """``a, b, linked`` of pairs of rows, from their full shingle sets; ``a`` may repeat without bound."""
+def _likely(percent: int):
+    """Pairs whose signatures do not rule the limit out; a signature of few shingles says less."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        limit = percent / 100
+        for batch in slices(batches, 5_000):
+            if not batch.num_rows:
+                continue
+            x, y = (np.frombuffer(b"".join(column(batch, c).to_pylist()), "<u2").reshape(batch.num_rows, -1) for c in ("short_a", "short_b"))
+            drawn = np.minimum(column(batch, "n_min").to_numpy(), 1 << BIN_BITS)
+            keep = (x == y).mean(axis=1) >= limit - SLACK * np.sqrt(limit * (1 - limit) / drawn)
+            yield pa.RecordBatch.from_arrays([column(batch, "a"), column(batch, "b"), pa.array(keep)], names=["a", "b", "likely"])
+
+    return run
+
+
+def _confirm(pairs: DataFrame, classes: DataFrame, texts: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The pairs that are tested, and those that are linked by their full shingle sets.
+
+    ``a`` may repeat without bound; both joins have a unique right side.
+    """
+    short = classes.select("class", "short", "n")
+    b = short.select(F.col("class").alias("b"), F.col("short").alias("short_b"), F.col("n").alias("n_b"))
+    a = short.select(F.col("class").alias("a"), F.col("short").alias("short_a"), F.col("n").alias("n_a"))
+    signed = pairs.join(b, "b").join(a, "a").select("a", "b", "short_a", "short_b", F.least("n_a", "n_b").alias("n_min"))
+    tested = written(signed.mapInArrow(_likely(percent), "a long, b long, likely boolean"))
     b = texts.select(F.col("_row").alias("b"), F.col("text").alias("text_b"))
     a = texts.select(F.col("_row").alias("a"), F.col("text").alias("text_a"))
-    return written(pairs.select("a", "b").join(b, "b").join(a, "a").mapInArrow(_compare(percent), "a long, b long, linked boolean"))
+    read = tested.filter("likely").select("a", "b").join(b, "b").join(a, "a")
+    linked = written(read.mapInArrow(_compare(percent), "a long, b long, linked boolean"))
+    return tested.select("a", "b"), linked.filter("linked").select("a", "b")
+
+
+def _pairs(members: DataFrame, others: DataFrame, percent: int) -> DataFrame:
+    """Pairs of members of a bucket and its ``others`` (a struct), from different components and of like size."""
+    like = F.expr(f"100 * least(n, other.n) >= {percent} * greatest(n, other.n)")
+    return members.join(others, "bucket").filter((F.col("root") != F.col("other.root")) & like).select(
+        F.least("class", "other.class").alias("a"), F.greatest("class", "other.class").alias("b"))
 
 
 def group_near(docs: DataFrame, percent: int = 85, row: str | None = None) -> DataFrame:
@@ -148,44 +191,56 @@ def group_near(docs: DataFrame, percent: int = 85, row: str | None = None) -> Da
     An empty table gives an empty result.
     """
     rows = rows_of(docs, long_id(), "text", row=row)
-    signed = written(rows.mapInArrow(_sign, "doc_id long, _row long, n long, digest binary, bands array<long>"))
-    classes = signed.filter("n > 0").groupBy("digest").agg(F.min(F.struct("_row", "bands", "n")).alias("c")).select(
-        "digest", F.col("c._row").alias("class"), "c.bands", "c.n")
-    classes = written(classes)
+    signed = written(rows.mapInArrow(_sign, "doc_id long, _row long, n long, digest binary, bands array<long>, short binary"))
+    classes = written(
+        signed.filter("n > 0").groupBy("digest").agg(F.min(F.struct("_row", "bands", "n", "short")).alias("c"))
+        .select("digest", F.col("c._row").alias("class"), "c.bands", "c.n", "c.short"))
     exploded = classes.select("class", "n", F.explode("bands").alias("bucket"))
-    shared = exploded.groupBy("bucket").agg(F.count("*").alias("members")).filter("members > 1")
-    open_ = written(exploded.join(shared, "bucket").select("bucket", "class", "n"))
-    members = open_.select(F.col("class").alias("_row")).distinct()
-    texts = written(rows.select("_row", "text").join(members, "_row", "left_semi"))
+    shared = exploded.groupBy("bucket").agg(F.count("*").alias("members")).filter("members > 1").select("bucket")
+    open_ = written(exploded.join(shared, "bucket").select("bucket", "class", "n", F.lit(0).alias("depth")))
+    texts = written(rows.select("_row", "text").join(open_.select(F.col("class").alias("_row")).distinct(), "_row", "left_semi"))
 
-    similar = F.expr(f"100 * least(n, centre.n) >= {percent} * greatest(n, centre.n)")
     links = tested = roots = None
-    turn = 0
-    while True:
+    turn, searching = 0, not open_.isEmpty()
+    while searching:
+        if roots is None:
+            members = open_.withColumn("root", F.col("class"))
+        else:
+            members = open_.join(roots, open_["class"] == roots["node"], "left").select(
+                "bucket", "class", "n", "depth", F.coalesce("root", "class").alias("root"))
+        if turn:
+            mixed = members.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("members")).filter("x != y")
+            members = written(members.join(mixed.select("bucket", "members"), "bucket"))
         # The first star has the least row as its centre, which most buckets of a group share.
-        rank = F.lit(0) if turn == 0 else F.xxhash64("class", F.lit(turn))
-        label = open_ if roots is None else open_.join(roots, open_["class"] == roots["node"], "left")
-        label = label.select("bucket", "class", "n", (F.col("class") if roots is None else F.coalesce("root", "class")).alias("root"))
-        if roots is not None:
-            label = written(label)
-            mixed = label.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x != y").select("bucket")
-            label = written(label.join(mixed, "bucket", "left_semi"))
-            open_ = label.select("bucket", "class", "n")
-        centres = label.groupBy("bucket").agg(F.min(F.struct(rank.alias("rank"), "class", "n", "root")).alias("centre"))
-        pairs = label.join(centres, "bucket").filter((F.col("root") != F.col("centre.root")) & similar).select(
-            F.least("class", "centre.class").alias("a"), F.greatest("class", "centre.class").alias("b")).distinct()
+        large = members if turn == 0 else members.filter(F.col("members") > SMALL)
+        ranks = [F.lit(0).cast("long")] if turn == 0 else [F.xxhash64("class", F.lit(turn), F.lit(k)) for k in range(CENTRES)]
+        centres = large.groupBy("bucket").agg(*[
+            F.min(F.struct(rank.alias("rank"), "class", "n", "root")).alias(f"c{k}") for k, rank in enumerate(ranks)])
+        pairs = _pairs(large, centres.select("bucket", F.explode(F.array(*[f"c{k}" for k in range(len(ranks))])).alias("other")), percent)
+        if turn:
+            few = members.filter(F.col("members") <= SMALL)
+            pairs = pairs.union(_pairs(few, few.select("bucket", F.struct("class", "n", "root").alias("other")), percent))
+        pairs = pairs.distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        done = _confirm(written(pairs), texts, percent)
-        found = done.filter("linked").select("a", "b")
-        tested = done.select("a", "b") if tested is None else tested.union(done.select("a", "b"))
+        done, found = _confirm(written(pairs), classes, texts, percent)
+        tested = done if tested is None else tested.union(done)
+        if not found.isEmpty():
+            links = found if links is None else links.union(found)
+            roots = written(components(links))
+            searching = True
+        else:
+            searching = turn == 0
+        if turn:
+            # Small buckets are settled. Large ones stay, and are split once by each other band.
+            split = large.filter("depth = 0").join(classes.select("class", "bands"), "class").select(
+                "bucket", "class", "n", F.explode("bands").alias("band")).filter("band != bucket")
+            split = split.select(F.xxhash64("bucket", "band").alias("bucket"), "class", "n", F.lit(1).alias("depth"))
+            again = split.groupBy("bucket").agg(F.count("*").alias("members")).filter("members > 1").select("bucket")
+            split = written(split.join(again, "bucket").select("bucket", "class", "n", "depth"))
+            searching = searching or not split.isEmpty()
+            open_ = written(large.select("bucket", "class", "n", F.lit(1).alias("depth")).union(split))
         turn += 1
-        if found.isEmpty():
-            if turn > 1 or done.isEmpty():
-                break
-            continue
-        links = found if links is None else links.union(found)
-        roots = written(components(links))
 
     own = signed.join(classes.select("digest", "class"), "digest", "left").select("doc_id", "_row", "n", F.coalesce("class", "_row").alias("class"))
     if roots is not None:
