@@ -21,6 +21,8 @@ DIMENSIONS = 512
 # Symbols: 0 between words, 1 to 26 for a to z, and further letters dealt to the rest by code point.
 ALPHABET = 48
 N = 3
+# Rejection: a text of up to FEW distinct n-grams is too short to judge; from ENOUGH on the whole limit holds.
+FEW, ENOUGH = 20, 200
 
 
 @lru_cache(maxsize=1)
@@ -77,8 +79,13 @@ def _bundles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             [pa.array([lang]), pa.array([bundle.tolist()], pa.list_(pa.int64()))], names=["lang", "bundle"])
 
 
-def learn(docs: DataFrame) -> tuple[list[str], np.ndarray]:
-    """Languages in order and their centred unit prototypes, from ``lang`` and ``text`` of all rows.
+def _units(vectors: np.ndarray) -> np.ndarray:
+    norms = np.linalg.norm(vectors, axis=1, keepdims=True)
+    return vectors / np.where(norms == 0, 1, norms)
+
+
+def profiles(docs: DataFrame) -> tuple[list[str], np.ndarray]:
+    """Languages in order and the unit vectors of their bundles, from ``lang`` and ``text`` of all rows.
 
     What reaches the driver is one vector per language. Rows without a language teach nothing.
     """
@@ -88,12 +95,13 @@ def learn(docs: DataFrame) -> tuple[list[str], np.ndarray]:
         .select("lang", F.posexplode("bundle").alias("i", "v")).groupBy("lang", "i").agg(F.sum("v").alias("v"))
         .groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("i", "v"))).alias("b")).orderBy("lang").collect())
     vectors = np.array([[x["v"] for x in r["b"]] for r in sums], float).reshape(len(sums), DIMENSIONS)
-    norms = np.linalg.norm(vectors, axis=1, keepdims=True)
-    vectors = vectors / np.where(norms == 0, 1, norms)
-    if len(sums) > 1:
-        vectors = vectors - vectors.mean(axis=0)
-    norms = np.linalg.norm(vectors, axis=1, keepdims=True)
-    return [r["lang"] for r in sums], vectors / np.where(norms == 0, 1, norms)
+    return [r["lang"] for r in sums], _units(vectors)
+
+
+def learn(docs: DataFrame) -> tuple[list[str], np.ndarray]:
+    """Languages in order and their centred unit prototypes (see ``profiles``)."""
+    names, vectors = profiles(docs)
+    return names, _units(vectors - vectors.mean(axis=0)) if len(names) > 1 else vectors
 
 
 def predict(text: str | None, names: list[str], prototypes: np.ndarray) -> tuple[str, float]:
@@ -118,15 +126,25 @@ def _predict(model):
     return run
 
 
+def resembles(text: str | None, vectors: np.ndarray, least: float) -> bool:
+    """Whether a text has a letter and is near enough to one of the languages' ``profiles``.
+
+    The cosine is that of the square roots of the text's n-gram counts with the uncentred profile, so a
+    text of no learned language falls short of all of them. A short text resembles its own language
+    less, so the limit grows with the number of distinct n-grams.
+    """
+    found, times = np.unique(codes(text or ""), return_counts=True)
+    if len(found) <= FEW or not len(vectors):
+        return bool(len(found))
+    bundle = np.sqrt(times.astype(np.float32)) @ grams()[found].astype(np.float32)
+    best = float(np.max(vectors @ bundle)) / max(float(np.linalg.norm(bundle)), 1e-9)
+    return best >= least * min(1.0, (len(found) - FEW) / (ENOUGH - FEW))
+
+
 def _reject(model, least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, prototypes = model.value
         for batch in slices(batches, 500):
-            texts = column(batch, "text").to_pylist()
-            if names:
-                keep = [predict(text, names, prototypes)[1] >= least for text in texts]
-            else:
-                keep = [bool(len(codes(text or ""))) for text in texts]
+            keep = [resembles(text, model.value, least) for text in column(batch, "text").to_pylist()]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return run
@@ -147,12 +165,13 @@ def identify(docs: DataFrame, folds: int = 3) -> DataFrame:
     return rows.mapInArrow(_predict(model), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
-def drop_unknown(docs: DataFrame, least: float = 0.5) -> DataFrame:
+def drop_unknown(docs: DataFrame, least: float = 0.35) -> DataFrame:
     """``docs`` with all its columns, without texts of no language.
 
-    Rejected are texts without a letter and texts whose best score is under ``least`` (at 0.5 they have
-    nothing in common with any prototype). Where no row has a language to learn from, texts with a
-    letter stay.
+    Rejected are texts without a letter and texts that resemble no language of the table (see
+    ``resembles``); ``least`` is the limit for texts of ``ENOUGH`` distinct n-grams or more. Texts of up to
+    ``FEW`` distinct n-grams stay if they have a letter. Where no row has a language to learn from,
+    texts with a letter stay.
     """
-    model = docs.sparkSession.sparkContext.broadcast(learn(docs))
+    model = docs.sparkSession.sparkContext.broadcast(profiles(docs)[1])
     return docs.mapInArrow(_reject(model, least), docs.schema)

@@ -32,6 +32,22 @@ def test_language_odd_rows(make, odd_rows):
     assert {r.doc_id for r in kept.collect()} >= {1, 2, 6, 7} and {3, 4, 5, 8}.isdisjoint(r.doc_id for r in kept.collect())
 
 
+def test_language_rejects_what_no_row_teaches(spark, make):
+    rng = np.random.default_rng(4)
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = [tuple(r) for r in docs.select("doc_id", "text", "lang", "source", "n_chars").collect()]
+    clean = {r[0] for r in rows if r[2] != "fr" and len(r[1]) > 600}
+    unlearned = {r[0] for r in rows if r[2] == "fr" and len(r[1]) > 600}
+    gibberish = {10**6 + k for k in range(50)}
+    planted = [(k, " ".join("".join(map(chr, rng.integers(97, 123, n))) for n in rng.integers(2, 10, 80)), None, "x", 1) for k in gibberish]
+    script = [(10**7, "Вчера вечером мы долго гуляли по берегу реки и говорили о том, что будет завтра с нашим городом. " * 3, None, "x", 1)]
+    rows = [(*r[:2], None if r[2] == "fr" else r[2], *r[3:]) for r in rows]
+    kept = {r.doc_id for r in language.drop_unknown(make([*rows, *planted, *script])).select("doc_id").collect()}
+    assert not kept & gibberish and 10**7 not in kept
+    assert len(kept & unlearned) <= 0.05 * len(unlearned) and len(unlearned) > 50
+    assert len(kept & clean) >= 0.995 * len(clean)
+
+
 def test_language_without_labels(make):
     docs = make([(1, "some text", None, "a", 1), (2, "12", None, "a", 1)])
     assert {r.lang_pred for r in language.identify(docs).collect()} == {"und"}
