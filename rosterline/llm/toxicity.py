@@ -41,10 +41,11 @@ SUBSTITUTE, DELETE, DROP, BOUNDARY = 1.0, 0.5, 12.0, 6.0
 # For leaving out the second letter of a pair, and of a longer run. A writer who doubles letters and a
 # word that has a double letter look alike, so both prices are tried and both readings kept.
 REPEATS = ((0.5, 0.5), (6.0, 3.5))
+# Words split by spaces: pieces of so many characters, joined to so many.
+PIECE, JOINED = 3, 16
 
 _EDGE = "".join(c for c in string.punctuation if c not in "@$+|") + "«»“”„‘’…–—"
-_TRIPLE = re.compile(r"(.)\1\1")
-_DOUBLE = re.compile(r"(.)\1")
+_DOUBLE = re.compile(r"(.)\1+")
 _hash = xxhash.xxh32_intdigest
 _LETTERS = "\0" + string.ascii_lowercase
 
@@ -158,9 +159,12 @@ class Restorer(dict):
         core = core.lstrip(_EDGE) if not (core[:1] == "!" and core[1:2].isalnum()) else core
         if core.endswith("$$$"):
             core = core.rstrip("$").rstrip(_EDGE)
-        if core.isalpha() and not _TRIPLE.search(core) and len(_DOUBLE.findall(core)) < 2 and (
-                core.isascii() or not any(c in LOOKALIKES for c in core)):
-            return (core,)
+        if core.isalpha() and (core.isascii() or not any(c in LOOKALIKES for c in core)):
+            doubled = [len(m[0]) for m in _DOUBLE.finditer(core)]
+            if not doubled:
+                return (core,)
+            if doubled == [2]:
+                return tuple(sorted({core, *self.readings(core)}))
         if not any(c.isalpha() for c in core):
             return ()
         return tuple(sorted(self.readings(core)))
@@ -170,12 +174,17 @@ class Restorer(dict):
 
     def words(self, text: str) -> set[str]:
         """The distinct restored words of a whole text."""
+        return self.taught(text) | self.joined(text.lower().split())
+
+    def taught(self, text: str) -> set[str]:
+        """Those that a training text teaches: all but joined pieces."""
         tokens = text.lower().split()
         return {w for t in set(tokens) for w in self[t]} | self.spelled(tokens)
 
     def spelled(self, tokens: list[str]) -> set[str]:
-        """What runs of three or more one-character tokens spell."""
+        """What runs of three or more tokens of one character, besides separators, spell."""
         found: set[str] = set()
+        tokens = [t if len(t) == 1 else t.strip(_EDGE) for t in tokens]
         single = [i for i, t in enumerate(tokens) if len(t) == 1]
         start = 0
         while start < len(single):
@@ -188,6 +197,24 @@ class Restorer(dict):
             start = end + 1
         return found
 
+    def joined(self, tokens: list[str]) -> set[str]:
+        """What two or more neighbouring tokens of up to ``PIECE`` characters give in one.
+
+        Most are no words, so only whole ones count, not their beginnings.
+        """
+        found: set[str] = set()
+        run: list[str] = []
+        for token in tokens:
+            piece = token.strip(_EDGE)
+            if not 0 < len(piece) <= PIECE:
+                run = []
+                continue
+            run = [r + piece for r in run if len(r) + len(piece) <= JOINED]
+            found.update(run)
+            run.append(piece)
+        plain = {w for w in found if w.isascii() and w.isalpha()}
+        return plain | {w for t in found - plain if any(map(str.isalpha, t)) for w in self[t]}
+
 
 def stems_of(word: str) -> list[int]:
     """What is scored of a word, as 32-bit hashes: itself, and its beginnings of three to seven letters."""
@@ -205,7 +232,7 @@ def _restore(model):
         for batch in slices(batches, 500):
             yield pa.RecordBatch.from_arrays([
                 column(batch, "doc_id"), column(batch, "y"),
-                pa.array([stems(restorer.words(t or "")).tobytes() for t in column(batch, "text").to_pylist()], pa.binary()),
+                pa.array([stems(restorer.taught(t or "")).tobytes() for t in column(batch, "text").to_pylist()], pa.binary()),
             ], names=["doc_id", "y", "stems"])
 
     return run
@@ -275,8 +302,8 @@ def _score(model, learned):
             for text in column(batch, "text").to_pylist():
                 tokens = (text or "").lower().split()
                 words = {w for found in set(map(known.__getitem__, tokens)) if found for w in found}
-                if sum(len(t) == 1 for t in tokens) > 2:
-                    words |= known.known(restorer.spelled(tokens))
+                words |= known.known(restorer.spelled(tokens))
+                words |= {h for h in map(_hash, restorer.joined(tokens)) if h in weights}
                 z = bias + sum(weights[w] for w in sorted(words))
                 scores.append(float(1 / (1 + np.exp(-np.clip(z, -35, 35)))))
             yield pa.RecordBatch.from_arrays(

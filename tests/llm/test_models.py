@@ -84,6 +84,14 @@ def test_restores(model, hidden, word):
     assert word in toxicity.Restorer(model).words(f"Of the {hidden} and that")
 
 
+@pytest.mark.parametrize("hidden, word", [
+    ("iddiot", "idiot"), ("sstupid", "stupid"), ("trassh", "trash"), ("id iot", "idiot"), ("stu pid", "stupid"), ("i. d. i. o. t.", "idiot"),
+    ("1d 10t", "idiot"), ("worthless", "worthless")])
+def test_restores_one_repeat_and_pieces(model, hidden, word):
+    assert word in toxicity.Restorer(model).words(f"Therefore {hidden} notwithstanding")
+    assert word in toxicity.Restorer(model).words(f"Of the {hidden} and that")
+
+
 def test_viterbi_finds_the_best_path(model):
     """Against all paths of a small lattice."""
     import itertools
