@@ -151,8 +151,8 @@ def judge(
     ``docs`` needs ``doc_id, text, lang, source``; other columns are ignored. Returns one row per input
     row: ``doc_id, _row, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
     kept, distance2``. Estimates use the documents that pass the plain limits; a null language or
-    source is a value of its own. Groups under ``least_group`` documents are pooled by language, and
-    where the pool is smaller still, its documents have no estimate and stay (``distance2`` null).
+    source is a value of its own. Documents of a group under ``least_group`` are held against all documents of
+    their language; where the language is smaller still, they have no estimate and stay (``distance2`` null).
     ``limit`` bounds the squared distance, in units in which each statistic's floor (``FLOOR``) is part
     of its variance.
     """
@@ -161,19 +161,25 @@ def judge(
     name = F.to_json(F.struct(F.coalesce("lang", F.lit("\0")).alias("l"), F.coalesce("source", F.lit("\0")).alias("s")))
     pool = F.to_json(F.struct(F.coalesce("lang", F.lit("\0")).alias("l")))
     sizes = passed.groupBy("lang", "source").agg(F.count("*").alias("n")).withColumn(
-        "grp", F.when(F.col("n") >= least_group, name).otherwise(pool))
-    sizes = written(sizes.withColumn("n", F.sum("n").over(Window.partitionBy("grp"))).filter(F.col("n") >= least_group))
-    named = sizes.select(F.col("lang").alias("_l"), F.col("source").alias("_s"), "grp")
-    rows = written(passed.join(
-        named, F.col("lang").eqNullSafe(F.col("_l")) & F.col("source").eqNullSafe(F.col("_s"))
-    ).select("_row", "grp", *STATISTICS))
+        "all", F.sum("n").over(Window.partitionBy("lang"))).filter(F.col("all") >= least_group)
+    small = F.col("n") < least_group
+    # A language with a small group has an estimate of its own, from the rows of all its groups.
+    sizes = written(sizes.select(
+        F.col("lang").alias("_l"), F.col("source").alias("_s"), F.when(small, pool).otherwise(name).alias("grp"),
+        F.when(F.max(small).over(Window.partitionBy("lang")), pool).alias("pool"), small.alias("small")))
+    placed = written(passed.join(
+        sizes, F.col("lang").eqNullSafe(F.col("_l")) & F.col("source").eqNullSafe(F.col("_s"))
+    ).select("_row", "grp", "pool", "small", *STATISTICS))
+    judged = placed.select("_row", "grp", *STATISTICS)
+    rows = written(placed.filter("not small").select("_row", "grp", *STATISTICS).union(
+        placed.filter("pool is not null").select("_row", F.col("pool").alias("grp"), *STATISTICS)))
     bin_ = SCALE // 64
     fit = written(_start(rows, bin_))
     for _ in range(steps):
         far = _distance(rows, fit).withColumn("value", F.floor(F.log2(F.col("distance2") + 1e-3) * 32).cast("long"))
         near = _quantile(far.select("grp", F.lit(0).alias("dim"), "value"), core).select("grp", F.col("value").alias("most"))
         fit = _fit(far.join(near, "grp").filter("value <= most"))
-    verdict = _distance(rows, fit).select("_row", "distance2")
+    verdict = _distance(judged, fit).select("_row", "distance2")
     return measured.join(verdict, "_row", "left").select(
         "doc_id", "_row", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         (~F.col("base_failed") & F.coalesce(F.col("distance2") <= limit, F.lit(True))).alias("kept"), "distance2")

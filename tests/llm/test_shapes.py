@@ -176,6 +176,21 @@ def test_outliers_equal_numpy_and_reject_junk(make):
     assert np.allclose([got[r.doc_id].distance2 for r in moved], want, rtol=1e-6, atol=1e-6)
 
 
+def test_outliers_of_a_lone_small_source(make):
+    """A source under the least group size is held against its whole language, and changes no other's estimate."""
+    rows = [(i, prose(i, 60 + i % 90), "en", "large", 1) for i in range(300)]
+    junk = " ".join(w + "###" for w in prose(7, 80).split())
+    rare = [(1000 + i, prose(500 + i, 70), "en", "rare", 1) for i in range(9)] + [(2000, junk, "en", "rare", 1)]
+    alone = {r.doc_id: r.distance2 for r in outliers.judge(make(rows)).collect()}
+    docs = make([*rows, *rare])
+    got = {r.doc_id: r for r in outliers.judge(docs).collect()}
+    assert not got[2000].kept and all(got[1000 + i].kept for i in range(9)) and all(got[i].kept for i in range(300))
+    assert all(np.isclose(got[i].distance2, alone[i]) for i in range(300))
+    moved = outliers.transformed(outliers.measure(docs)).filter("not base_failed").collect()
+    want = plain_distances(np.array([[r[c] for c in outliers.STATISTICS] for r in moved], float))
+    assert all(np.isclose(got[r.doc_id].distance2, d) for r, d in zip(moved, want) if r.source == "rare")
+
+
 def test_native_operators_run_no_python(spark):
     for name in ("op8_chat_format", "op10_quality_rules"):
         plan = QUERIES[name](spark, SF)._jdf.queryExecution().toString()
