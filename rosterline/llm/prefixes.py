@@ -190,8 +190,10 @@ def _node_at(j: Column, block: int) -> Column:
 
 def _nodes(chained: DataFrame, block: int) -> DataFrame:
     """``node, parent, depth, words, n_convs, conv_id`` of all nodes but the root."""
-    blocks = chained.groupBy("before", "after").agg(
-        F.count("*").alias("n_convs"), F.min("conv_id").alias("conv_id"), F.any_value("turns").alias("turns"))
+    # Written, so that the join below gets its rows from an exchange of its own, which can split a prefix that
+    # very many blocks follow.
+    blocks = written(chained.groupBy("before", "after").agg(
+        F.count("*").alias("n_convs"), F.min("conv_id").alias("conv_id"), F.any_value("turns").alias("turns")))
     siblings = chained.groupBy("before").agg((F.min("after") < F.max("after")).alias("forked"))
     seen = blocks.join(siblings, "before")
     steps = F.transform(F.sequence(F.lit(1), F.size("turns")), lambda j: F.struct(
