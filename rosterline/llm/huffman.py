@@ -95,17 +95,19 @@ def _to_ids(tokenizer: str, end: int):
         encoder = text_ids(tokenizer)
         counts = np.zeros(max(encoder.size, end + 1), np.int64)
         for batch in slices(batches, 200):
-            out = []
+            out, sizes = [], []
             for text in column(batch, "text").to_pylist():
                 ids = np.array([*encoder.encode(text or ""), end], "<u4")
                 counts += np.bincount(ids, minlength=len(counts))[:len(counts)] if len(ids) * 20 > len(counts) else 0
                 if len(ids) * 20 <= len(counts):
                     np.add.at(counts, ids, 1)
-                out.append(ids.tobytes())
+                # Two bytes an id where they do; the number of ids tells the width.
+                out.append(ids.astype("<u2").tobytes() if ids.max() < 1 << 16 else ids.tobytes())
+                sizes.append(len(ids))
             size = batch.num_rows
             yield pa.RecordBatch.from_arrays([
                 column(batch, "doc_id"), column(batch, "_row"), pa.array(out, pa.binary()),
-                pa.nulls(size, pa.int32()), pa.nulls(size, pa.int64())], schema=_ROW)
+                pa.nulls(size, pa.int32()), pa.array(sizes, pa.int64())], schema=_ROW)
         used = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([
             *(pa.nulls(len(used), f.type) for f in list(_ROW)[:3]), pa.array(used, pa.int32()), pa.array(counts[used])],
@@ -216,16 +218,16 @@ def _encode(ids: np.ndarray, lengths: np.ndarray):
 
         def close():
             nonlocal size, first, block
-            payload, points = book.encode(np.frombuffer(b"".join(h[2] for h in held), "<u4"))
-            row = [part, block, first, size, payload, points, [h[0] for h in held], [h[1] for h in held], [len(h[2]) // 4 for h in held]]
+            payload, points = book.encode(np.concatenate([np.frombuffer(h[2], f"<u{len(h[2]) // h[3]}") for h in held]))
+            row = [part, block, first, size, payload, points, [h[0] for h in held], [h[1] for h in held], [h[3] for h in held]]
             first, block, size = first + size, block + 1, 0
             held.clear()
             return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, _BLOCK)], schema=_BLOCK)
 
         for batch in slices(batches, 500):
-            for row in zip(*(column(batch, c).to_pylist() for c in ("doc_id", "row", "ids"))):
+            for row in zip(*(column(batch, c).to_pylist() for c in ("doc_id", "row", "ids", "n"))):
                 held.append(row)
-                size += len(row[2]) // 4
+                size += row[3]
                 if size >= BLOCK:
                     yield close()
         if held:
@@ -272,7 +274,7 @@ def write_ids(
     spark = docs.sparkSession
     spark.createDataFrame(list(zip(ids.tolist(), lengths.tolist())), "id int, length int").coalesce(1).write.parquet(f"{path}/lengths")
     # The row's number keeps a hot or missing id from being one range.
-    placed = read.filter("id is null").select("doc_id", "row", "ids").repartitionByRange(
+    placed = read.filter("id is null").select("doc_id", "row", "ids", "n").repartitionByRange(
         F.col("doc_id").asc_nulls_last(), "row").sortWithinPartitions(F.col("doc_id").asc_nulls_last(), "row")
     placed.mapInArrow(_encode(ids, lengths), _BLOCKS).write.parquet(f"{path}/blocks")
     per_part = spark.read.parquet(f"{path}/blocks").groupBy("part").agg(F.sum("n_ids").alias("n"))
