@@ -33,8 +33,8 @@ STEP = 512
 BLOCK = 1 << 16
 LIMIT = 18
 
-# The spelling of special tokens, and runs of white space that overflow the merging engine's stack.
-_WHOLE = re.compile(r"<\||\s{400}")
+# Runs of white space that overflow the merging engine's stack; each holds two neighbours of every 200th character.
+_LONG_SPACE, _PROBE = re.compile(r"\s{400}"), re.compile(r"\s\s")
 # Fixed value: the vocabulary's splitting rule.
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _ROWS = "doc_id long, row long, ids binary, id int, n long"
@@ -77,10 +77,11 @@ class TextIds:
         self.merge = tiktoken.Encoding("bytes", pat_str=_SPLIT, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.size = self.tokenizer.get_vocab_size()
 
-    def encode(self, text: str) -> list[int]:
-        if _WHOLE.search(text):
-            return self.tokenizer.encode(text, add_special_tokens=False).ids
-        return self.merge(text)
+    def encode(self, text: str) -> np.ndarray:
+        # Special tokens are spelled with the same two characters.
+        if "<|" in text or _PROBE.search(text[::200]) and _LONG_SPACE.search(text):
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+        return np.array(self.merge(text), np.uint32)
 
 
 @lru_cache(maxsize=2)
@@ -92,18 +93,16 @@ def text_ids(tokenizer: str) -> TextIds:
 
 def _to_ids(tokenizer: str, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = text_ids(tokenizer)
+        encoder, last = text_ids(tokenizer), np.uint32(end)
         counts = np.zeros(max(encoder.size, end + 1), np.int64)
         for batch in slices(batches, 200):
-            out, sizes = [], []
-            for text in column(batch, "text").to_pylist():
-                ids = np.array([*encoder.encode(text or ""), end], "<u4")
-                counts += np.bincount(ids, minlength=len(counts))[:len(counts)] if len(ids) * 20 > len(counts) else 0
-                if len(ids) * 20 <= len(counts):
-                    np.add.at(counts, ids, 1)
-                # Two bytes an id where they do; the number of ids tells the width.
-                out.append(ids.astype("<u2").tobytes() if ids.max() < 1 << 16 else ids.tobytes())
-                sizes.append(len(ids))
+            texts = [encoder.encode(text or "") for text in column(batch, "text").to_pylist()]
+            ids = [np.append(found, last) for found in texts]
+            seen = np.concatenate(ids)
+            counts += np.bincount(seen, minlength=len(counts))
+            # Two bytes an id where they do; the number of ids tells the width.
+            kind = "<u2" if seen.max() < 1 << 16 else "<u4"
+            out, sizes = [own.astype(kind).tobytes() for own in ids], [len(own) for own in ids]
             size = batch.num_rows
             yield pa.RecordBatch.from_arrays([
                 column(batch, "doc_id"), column(batch, "_row"), pa.array(out, pa.binary()),
