@@ -3,4 +3,4 @@
 from rosterline.catalog import (  # noqa: F401
     cleaning, landing, merging, resolving, scoring, selection, storing, summaries, viewing,
 )
-from rosterline.catalog.registry import QUERIES, SQL  # noqa: F401
+from rosterline.catalog.registry import PYTHON, QUERIES, SQL  # noqa: F401

@@ -9,13 +9,17 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
+# Queries whose last plan has Python workers.
+PYTHON: set[str] = set()
 
 
-def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
-    """Register a query, with the SQL that gives the same result where SQL can."""
+def query(name: str, sql: str | None = None, python: bool = False) -> Callable[[Query], Query]:
+    """Register a query, with the SQL that gives the same result where SQL can; ``python``: see ``PYTHON``."""
 
     def register(run: Query) -> Query:
         QUERIES[name] = run
+        if python:
+            PYTHON.add(name)
         if sql is not None:
             SQL[name] = sql
         return run

@@ -144,12 +144,12 @@ def clustered_sql(rows: str) -> str:
     return f"(SELECT r.*, coalesce(cluster, r._ord) AS cluster FROM {rows} r LEFT JOIN walk ON walk._ord = r._ord)"
 
 
-@query("merge_fuzzy", over_orgs(merged_sql(clustered_sql("orgs"), "cluster"), walk_sql("orgs")))
+@query("merge_fuzzy", over_orgs(merged_sql(clustered_sql("orgs"), "cluster"), walk_sql("orgs")), python=True)
 def merge_fuzzy(spark, sf_dir):
     return resolve.merge_fuzzy(organizations(spark, sf_dir).select("_ord", *RECORD, "data_sources"))
 
 
-# --- blocks for the search by shared pieces ------------------------------------------------------------
+# --- blocks for the search by shared grams ------------------------------------------------------------
 
 def _titled(spark, sf_dir):
     """Documents as organisations: the first three words as name, the source as place."""
@@ -166,15 +166,15 @@ _TITLED_MERGED = (
     f"{lineage_sql()} FROM {clustered_sql('titled')} GROUP BY cluster")
 
 
-@query("merge_fuzzy_blocks", _TITLED_MERGED)
+@query("merge_fuzzy_blocks", _TITLED_MERGED, python=True)
 def merge_fuzzy_blocks(spark, sf_dir):
     """Blocks as the data have them, each in one task where it is small."""
     return resolve.merge_fuzzy(_titled(spark, sf_dir))
 
 
-@query("merge_fuzzy_pieces", _TITLED_MERGED)
+@query("merge_fuzzy_pieces", _TITLED_MERGED, python=True)
 def merge_fuzzy_pieces(spark, sf_dir):
-    """The same result from the search by shared pieces, in slices, with a budget that makes it halve."""
+    """The same result from the search by rare grams, in slices, with a budget that makes it halve."""
     return resolve.merge_fuzzy(_titled(spark, sf_dir), small_block=4, slice_rows=100, max_candidates=5e4, finish_below=20)
 
 
@@ -185,7 +185,7 @@ fuzzy AS ({merged_sql(clustered_sql('exact'), 'cluster')}),
 final AS ({merged_sql('fuzzy', own_row_sql(_DOMAIN))})"""
 
 
-@query("deduplicate", over_orgs("SELECT * FROM final", _TIERS))
+@query("deduplicate", over_orgs("SELECT * FROM final", _TIERS), python=True)
 def deduplicate(spark, sf_dir):
     """All three tiers over organisations from two sources."""
     return resolve.deduplicate(_stacked(spark, sf_dir))
@@ -193,7 +193,7 @@ def deduplicate(spark, sf_dir):
 
 @query("tier_counts", over_orgs(" UNION ALL ".join(
     f"SELECT '{tier}' AS tier, count(*) AS rows FROM {rows}"
-    for tier, rows in (("start", "stacked"), ("exact", "exact"), ("fuzzy", "fuzzy"), ("domain", "final"))), _TIERS))
+    for tier, rows in (("start", "stacked"), ("exact", "exact"), ("fuzzy", "fuzzy"), ("domain", "final"))), _TIERS), python=True)
 def tier_counts(spark, sf_dir):
     return resolve.tier_counts(_stacked(spark, sf_dir))
 
@@ -204,7 +204,7 @@ distinct_pairs AS (SELECT DISTINCT x, y FROM pairs), grid AS {lcs_sql('distinct_
 
 
 @query("name_similarity", over_orgs("""
-SELECT _ord, round_even(200 * lcs / (length(x) + length(y)), 4) AS score FROM pairs JOIN grid USING (x, y)""", _PAIRS))
+SELECT _ord, round_even(200 * lcs / (length(x) + length(y)), 4) AS score FROM pairs JOIN grid USING (x, y)""", _PAIRS), python=True)
 def name_similarity(spark, sf_dir):
     """Each organisation's name against its category and city."""
     other = F.concat("services_offered", F.lit(" "), F.lower("city"))

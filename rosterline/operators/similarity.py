@@ -5,17 +5,24 @@ sorted. Clusters follow the row order: the first free name is an anchor and take
 name that is similar to it. That is not the transitive closure of similarity.
 
 Small blocks are settled inside one task each; their size is checked first. Larger blocks never
-pair everything with everything: names meet only through a shared piece at a matching place,
-which every similar pair must have (the pigeonhole argument of partition-based string joins, Li et
-al., VLDB 2011), and anchors of earlier slices remove rows before the next slice is paired.
+pair everything with everything: grams are counted once, every name is indexed under its rarest
+grams without a common letter, as many as similar names must share one of (the argument of pivotal
+prefixes, Deng et al., SIGMOD 2014), and names meet only there, at matching places. Anchors of earlier
+slices remove rows before the next slice is paired.
 """
 
 from __future__ import annotations
 
+import math
 import sys
+import zlib
+from collections.abc import Iterator
 from fractions import Fraction
+from functools import reduce
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
@@ -109,74 +116,196 @@ def _greedy_block(threshold: float):
 
 
 def _allowance(total_length: str, threshold: float) -> str:
-    """Edits two similar names may differ by, from the sum of their lengths."""
+    """Letters two similar names may differ by (added and removed), from the sum of their lengths."""
     return f"cast(floor({100 - threshold} * ({total_length}) / 100 + 1e-9) as int)"
 
 
-# Piece i of k + 1 even pieces of a text of length n; the longer pieces come last.
-PIECE_START = "cast(i * (n div (k + 1)) + greatest(0, i - (k + 1 - n % (k + 1))) as int)"
-PIECE_LENGTH = "cast((n div (k + 1)) + if(i >= k + 1 - n % (k + 1), 1, 0) as int)"
+# Grams have up to so many letters; their counts are kept in so many buckets.
+LONGEST_GRAM = 4
+BUCKETS = 1 << 16
+# Lengths and places meet in classes of so many; the exact limits are looked at afterwards.
+CLASS = 4
+# Names beyond this length choose their grams stretch by stretch.
+STRETCH = 48
 
 
-def index_pieces(names: DataFrame, threshold: float) -> DataFrame:
-    """Each name cut into ``k + 1`` pieces, for each allowance ``k`` a not shorter partner can have."""
-    longest = f"cast(floor(n * {200 - threshold} / {threshold} + 1e-9) as int)"
-    lo, hi = _allowance("n + n", threshold), _allowance(f"n + {longest}", threshold)
-    return (
-        names.withColumn("n", F.length("name"))
-        .withColumn("k", F.explode(F.expr(f"sequence({lo}, {hi})")))
-        .withColumn("i", F.explode(F.expr("sequence(0, k)")))
-        .select(
-            F.col("block_id").alias("s_block"), F.col("ord").alias("s_ord"), F.col("name").alias("s_name"),
-            F.expr(f"xxhash64(block_id, n, k, i, substring(name, {PIECE_START} + 1, {PIECE_LENGTH}))")
-            .alias("piece"),
-        )
-    )
+def picks_needed(length: int, threshold: float) -> int:
+    """One more than the letters a name may differ by from a similar name that is not shorter."""
+    longest = int(length * (200 - threshold) / threshold + 1e-9)
+    return int((100 - threshold) * (length + longest) / 100 + 1e-9) + 1
+
+
+def _with_bag(names: DataFrame) -> DataFrame:
+    """The names with ``bag``: one bit per occurrence of a letter (8 at most), in 32 groups of letters."""
+    bits = (
+        "transform(array(transform(split(name, ''), x -> ascii(x) % 32)), letters -> transform(sequence(0, 3), w -> "
+        "aggregate(sequence(0, 7), cast(0 as bigint), (bits, i) -> bits | shiftleft("
+        "shiftleft(cast(1 as bigint), least(8, size(filter(letters, x -> x = 8 * w + i)))) - 1, 8 * i))))[0]")
+    return names.select("block_id", "ord", "name", F.expr(bits).alias("bag"))
+
 
+def _missing(bag: str, other: str) -> str:
+    """How many letters of one bag the other lacks, as far as the groups can tell."""
+    return " + ".join(f"bit_count({bag}[{w}] & ~{other}[{w}])" for w in range(4))
 
-def probe_pieces(names: DataFrame, threshold: float) -> DataFrame:
-    """For each possible shorter length, the pieces of each name at the places a match can put them."""
-    shortest = f"cast(ceil(r * {threshold} / {200 - threshold} - 1e-9) as int)"
+
+def _grams(names: DataFrame, threshold: float) -> DataFrame:
+    """``block_id, ord, n`` and each gram of a name with its place ``at``.
+
+    Single letters are left out where no similar name is short enough to need them.
+    """
+    shortest = f"cast(ceil(n * {threshold} / {200 - threshold} - 1e-9) as int)"
+    needed = _allowance(f"a + cast(floor(a * {200 - threshold} / {threshold} + 1e-9) as int)", threshold)
     return (
-        names.withColumn("r", F.length("name"))
-        .withColumn("n", F.explode(F.expr(f"sequence({shortest}, r)")))
-        .withColumn("k", F.expr(_allowance("n + r", threshold)))
-        .withColumn("i", F.explode(F.expr("sequence(0, k)")))
-        .withColumn("p", F.expr(PIECE_START))
-        .withColumn("z", F.expr(PIECE_LENGTH))
-        .withColumn("first", F.expr("greatest(0, p - i, p + (r - n) - (k - i))"))
-        .withColumn("last", F.expr("least(r - z, p + i, p + (r - n) + (k - i))"))
-        .filter("first <= last")
-        .withColumn("at", F.explode(F.expr("sequence(first, last)")))
-        .select(
-            F.col("block_id").alias("r_block"), F.col("ord").alias("r_ord"), F.col("name").alias("r_name"),
-            F.expr("xxhash64(block_id, n, k, i, substring(name, at + 1, z))").alias("piece"),
-        )
+        names.withColumn("n", F.length("name")).filter("n > 0")
+        .withColumn("least", F.expr(f"if(exists(sequence({shortest}, n), a -> a < 2 * ({needed} + 1)), 1, 2)"))
+        .withColumn("z", F.explode(F.expr(f"sequence(least, {LONGEST_GRAM})"))).filter("z <= n")
+        .withColumn("at", F.explode(F.expr("sequence(0, n - z)")))
+        .withColumn("gram", F.expr("substring(name, at + 1, z)")).drop("name", "least", "z")
     )
 
 
-def similar_pairs(index: DataFrame, probe: DataFrame, threshold: float) -> DataFrame:
+def gram_counts(names: DataFrame, threshold: float) -> np.ndarray:
+    """How often grams occur, by hash: the order from rare to common. Its size does not depend on the names.
+
+    Grams that share a bucket look more common than they are, which costs speed and changes no result.
+    """
+    bucket = F.crc32(F.col("gram").cast("binary")) % BUCKETS
+    found = _grams(names, threshold).groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n")).toPandas()
+    counts = np.ones(BUCKETS)
+    counts[found["bucket"].to_numpy(np.int64)] += found["n"].to_numpy(np.float64)
+    return counts
+
+
+def rare_grams(name: str, picks: int, cost) -> list[tuple[int, int]]:
+    """``(place, length)`` of ``picks`` grams without a common letter, rarest first, of the least total count.
+
+    ``cost(gram)`` is the count. Single letters are used only where longer grams leave no room.
+    """
+    found: list[tuple[float, int, int]] = []
+    pieces = range(0, len(name), STRETCH) if len(name) > 64 else [0]
+    size = STRETCH if len(name) > 64 else len(name)
+    for start in pieces:
+        part = name[start:start + size]
+        end = min(start + size, len(name))
+        want = picks * end // len(name) - picks * start // len(name)
+        shortest = 1 if len(part) < 2 * want else 2
+        # best[j]: least total for j grams among the letters so far; ways[i][j]: length of the gram that ends at i.
+        rows, ways = [[0.0] + [math.inf] * want], [[0] * (want + 1)]
+        costs = [[cost(part[i:i + z]) if z >= shortest else math.inf for z in range(1, LONGEST_GRAM + 1)] for i in range(len(part))]
+        for i in range(1, len(part) + 1):
+            best, way = list(rows[-1]), [0] * (want + 1)
+            for z in range(shortest, min(LONGEST_GRAM, i) + 1):
+                own, before = costs[i - z][z - 1], rows[i - z]
+                for j in range(1, want + 1):
+                    if before[j - 1] + own < best[j]:
+                        best[j], way[j] = before[j - 1] + own, z
+            rows.append(best)
+            ways.append(way)
+        i, j = len(part), want
+        while j:
+            z = ways[i][j]
+            if z:
+                found.append((costs[i - z][z - 1], start + i - z, z))
+                i, j = i - z, j - 1
+            else:
+                i -= 1
+    return [(at, z) for _, at, z in sorted(found)]
+
+
+def _picked(threshold: float, counts: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, float] = {}
+
+        def cost(gram: str) -> float:
+            if gram not in known:
+                if len(known) > 1_000_000:
+                    known.clear()
+                known[gram] = float(counts[zlib.crc32(gram.encode()) % BUCKETS])
+            return known[gram]
+
+        for batch in batches:
+            out = []
+            for block, order, name, bag in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                grams = rare_grams(name, picks_needed(len(name), threshold), cost) if name else []
+                out.extend((block, order, len(name), rank, name[at:at + z], at, bag) for rank, (at, z) in enumerate(grams))
+            if out:
+                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(list(c), k) for c, k in zip(zip(*out), kinds)],
+                    names=["block_id", "ord", "n", "rank", "gram", "at", "bag"])
+
+    return run
+
+
+def index_grams(names: DataFrame, threshold: float, counts: np.ndarray) -> DataFrame:
+    """The grams under which a name is found by names that are not shorter."""
+    return _with_bag(names).mapInArrow(
+        _picked(threshold, counts), "block_id long, ord long, n int, rank int, gram string, at int, bag array<long>"
+    ).select(F.expr(f"xxhash64(block_id, gram, n div {CLASS}, at div {CLASS})").alias("key"),
+             F.col("ord").alias("s"), F.col("n").alias("a"), "rank", F.col("at").alias("p"), F.col("bag").alias("s_bag"))
+
+
+def probe_grams(names: DataFrame, threshold: float) -> DataFrame:
+    """The grams of each name with the classes of length and place a name that is not longer can have them in."""
+    shortest = f"cast(ceil(n * {threshold} / {200 - threshold} - 1e-9) as int)"
+    # A gram of a name of length n - x moves left by up to (k + x) / 2 letters and right by up to (k - x) / 2;
+    # within a class of lengths the shortest moves furthest left, the longest furthest right.
+    low, high = f"greatest({shortest}, {CLASS} * c)", f"least(n, {CLASS} * c + {CLASS - 1})"
+    first = f"greatest(0, at - cast(({_allowance(f'{low} + n', threshold)} + n - {low}) div 2 as int)) div {CLASS}"
+    last = f"(at + cast(({_allowance(f'{high} + n', threshold)} - n + {high}) div 2 as int)) div {CLASS}"
+    places = f"if({first} > {last}, cast(array() as array<bigint>), sequence({first}, {last}))"
+    classes = F.expr(
+        f"flatten(transform(sequence({shortest} div {CLASS}, n div {CLASS}), c -> "
+        f"transform({places}, p -> named_struct('n', c, 'at', p))))")
+    return _grams(_with_bag(names), threshold).withColumn("c", F.explode(classes)).select(
+        F.expr("xxhash64(block_id, gram, c.n, c.at)").alias("key"),
+        F.col("ord").alias("r"), F.col("n").alias("b"), F.col("at").alias("q"), F.col("bag").alias("r_bag"))
+
+
+def candidates(index: DataFrame, probe: DataFrame, threshold: float, counts: np.ndarray | None = None) -> DataFrame:
+    """Distinct ``(s, r)`` that may be similar: row numbers only, ``s`` not the longer name.
+
+    Two similar names differ by at most k letters, added or removed, and each of these spoils at most one of
+    the grams of ``s`` that have no letter in common. So of any k + 1 such grams one is whole in ``r``,
+    and no further from its old place than the letters added or removed before it. The k + 1 rarest
+    are looked up. Names meet where gram, lengths and places allow it, and where neither lacks more of the
+    other's letters, wherever they stand, than may be removed from ``s`` or added to it.
+    """
+    if counts is None:
+        counts = gram_counts(index.unionByName(probe), threshold)
+    tasks = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # A name becomes dozens of grams, so the small tables are spread over all tasks first, and the join is told
+    # to shuffle: by their size on disk Spark would broadcast one and leave the work to few tasks.
+    met = index_grams(index.repartition(tasks), threshold, counts).hint("merge").join(
+        probe_grams(probe.repartition(tasks), threshold), "key")
+    allowed = F.expr(_allowance("a + b", threshold))
+    shift, longer = F.col("q") - F.col("p"), F.col("b") - F.col("a")
+    return met.filter(
+        ((longer > 0) | ((longer == 0) & (F.col("s") < F.col("r")))) & (F.col("rank") <= allowed)
+        & (F.abs(shift) + F.abs(longer - shift) <= allowed)
+        & (F.expr(_missing("s_bag", "r_bag")) * 2 <= allowed - longer) & (F.expr(_missing("r_bag", "s_bag")) * 2 <= allowed + longer)
+    ).select("s", "r").distinct()
+
+
+def similar_pairs(index: DataFrame, probe: DataFrame, threshold: float, counts: np.ndarray | None = None) -> DataFrame:
     """Pairs ``(i, j)``, i before j, whose index name is not longer than the probe name.
 
-    Inputs have ``block_id, ord, name``. Edit distance bounds the measure from below, so it
-    discards most candidates inside the JVM; only the rest goes through Arrow. A name becomes
-    hundreds of pieces, so the small tables are spread over all tasks first, and the join is told to
-    shuffle: by their size on disk Spark would broadcast one and leave the work to few tasks.
+    Inputs have ``block_id, ord, name``. Names join their row numbers once a pair is distinct. Edit
+    distance bounds the measure from below, so it discards most candidates inside the JVM; only the
+    rest goes through Arrow.
     """
     if threshold <= 67:
-        raise ValueError("pieces would be empty at thresholds of two thirds and less")
+        raise ValueError("grams would be empty at thresholds of two thirds and less")
     limit = _allowance("length(s_name) + length(r_name)", threshold)
-    tasks = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    side = lambda names, x: names.select(
+        F.col("ord").alias(x), F.col("block_id").alias(f"{x}_block"), F.col("name").alias(f"{x}_name"))
     near = (
-        index_pieces(index.repartition(tasks), threshold).hint("merge")
-        .join(probe_pieces(probe.repartition(tasks), threshold), "piece")
-        .filter((F.col("s_ord") != F.col("r_ord")) & (F.col("s_block") == F.col("r_block")))
-        .filter(F.expr(f"levenshtein(s_name, r_name, {limit}) >= 0"))
-        .select(F.least("s_ord", "r_ord").alias("i"), F.greatest("s_ord", "r_ord").alias("j"),
-                "s_name", "r_name")
-        .dropDuplicates(["i", "j"])
+        candidates(index, probe, threshold, counts).join(side(index, "s"), "s").join(side(probe, "r"), "r")
+        .filter(F.col("s_block") == F.col("r_block")).filter(F.expr(f"levenshtein(s_name, r_name, {limit}) >= 0"))
     )
-    return near.filter(_similar_batch(threshold)("s_name", "r_name")).select("i", "j")
+    return near.filter(_similar_batch(threshold)("s_name", "r_name")).select(
+        F.least("s", "r").alias("i"), F.greatest("s", "r").alias("j"))
 
 
 def dominated_rows(edges: DataFrame, finish_below: int = 200_000) -> DataFrame:
@@ -208,11 +337,11 @@ def _settle_edges(edges: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"ord": sorted(taken)}, dtype="int64")
 
 
-def candidate_count(names: DataFrame, threshold: float) -> float:
-    """How many pairs would meet in a piece, from counts per piece alone."""
-    left = index_pieces(names, threshold).groupBy("piece").agg(F.count(F.lit(1)).cast("double").alias("a"))
-    right = probe_pieces(names, threshold).groupBy("piece").agg(F.count(F.lit(1)).cast("double").alias("b"))
-    return left.join(right, "piece").agg(F.sum(F.col("a") * F.col("b"))).first()[0] or 0.0
+def candidate_count(index: DataFrame, probe: DataFrame, threshold: float, counts: np.ndarray) -> float:
+    """How many pairs would meet in a gram and class, from counts alone."""
+    left = index_grams(index, threshold, counts).groupBy("key").agg(F.count(F.lit(1)).cast("double").alias("x"))
+    right = probe_grams(probe, threshold).groupBy("key").agg(F.count(F.lit(1)).cast("double").alias("y"))
+    return left.join(right, "key").agg(F.sum(F.col("x") * F.col("y"))).first()[0] or 0.0
 
 
 def _cuts(names: DataFrame, shares: list[float]) -> list[int]:
@@ -227,10 +356,13 @@ def _between(names: DataFrame, low: int | None, high: int | None) -> DataFrame:
     return names if high is None else names.filter(F.col("ord") <= high)
 
 
-def _too_dense(part: DataFrame, threshold: float, max_candidates: float) -> bool:
-    """Whether pairing a slice with itself would go beyond the budget; few names never do."""
-    rows = part.count()
-    return rows > 1 and 10.0 * rows * rows > max_candidates and candidate_count(part, threshold) > max_candidates
+def _too_dense(part: DataFrame, others: DataFrame, threshold: float, max_candidates: float, counts: np.ndarray) -> bool:
+    """Whether pairing a slice with others goes beyond the budget; few names never do."""
+    rows, beside = part.count(), others.count()
+    if rows < 2 or 10.0 * rows * beside <= max_candidates:
+        return False
+    met = candidate_count(part, others, threshold, counts)
+    return met > max_candidates or (others is not part and met + candidate_count(others, part, threshold, counts) > max_candidates)
 
 
 def cluster_large(
@@ -240,43 +372,51 @@ def cluster_large(
 
     The rows are settled in slices of their order, the first of about ``slice_rows`` rows and each
     four times the one before. Anchors found so far take their rows out of a slice before the rest
-    is paired, and a slice that would still meet in too many pairs is halved. So many names that
-    are all alike cost a few anchors, not all their pairs.
+    is paired, and a slice that would meet the anchors or itself in too many pairs is halved. So many
+    names that are all alike cost a few anchors, not all their pairs.
     """
     names = cut_lineage(names)
+    counts = gram_counts(names, threshold)
     total = names.count()
     shares, reach = [], slice_rows
     while reach < total:
         shares.append(reach / total)
         reach *= 4
     cuts = _cuts(names, shares)
+    # A slice, and how many sets of anchors it has met.
     waiting = [(_between(names, a, b), 0) for a, b in zip([None, *cuts], [*cuts, None])][::-1]
     anchors: list[DataFrame] = []
     result: list[DataFrame] = []
+
+    def halve(part: DataFrame, seen: int) -> bool:
+        middle = _cuts(part, [0.5])[0]
+        halves = [_between(part, None, middle), _between(part, middle, None)]
+        if halves[1].isEmpty():
+            return False
+        waiting.extend((half, seen) for half in halves[::-1])
+        return True
+
     while waiting:
         part, seen = waiting.pop()
-        for earlier in anchors[seen:]:
-            hits = similar_pairs(earlier, part, threshold).unionByName(similar_pairs(part, earlier, threshold))
+        if seen < len(anchors):
+            earlier = reduce(DataFrame.unionByName, anchors[seen:])
+            # Halving bounds what one job holds, not the work; small slices are not worth more jobs.
+            if part.count() > slice_rows and _too_dense(part, earlier, threshold, max_candidates, counts) and halve(part, seen):
+                continue
+            hits = similar_pairs(earlier, part, threshold, counts).unionByName(similar_pairs(part, earlier, threshold, counts))
             early = cut_lineage(hits.groupBy(F.col("j").alias("ord")).agg(F.min("i").alias("anchor")))
             result.append(early)
             part = cut_lineage(part.join(early.select("ord"), "ord", "left_anti"))
-        if _too_dense(part, threshold, max_candidates):
-            middle = _cuts(part, [0.5])[0]
-            halves = [_between(part, None, middle), _between(part, middle, None)]
-            if not halves[1].isEmpty():
-                waiting += [(half, len(anchors)) for half in halves[::-1]]
-                continue
-        edges = cut_lineage(similar_pairs(part, part, threshold))
+        if _too_dense(part, part, threshold, max_candidates, counts) and halve(part, len(anchors)):
+            continue
+        edges = cut_lineage(similar_pairs(part, part, threshold, counts))
         taken = dominated_rows(edges, finish_below)
         result.append(cut_lineage(
             edges.join(taken.select(F.col("ord").alias("i")), "i", "left_anti")
             .groupBy(F.col("j").alias("ord")).agg(F.min("i").alias("anchor"))
         ))
         anchors.append(cut_lineage(part.join(taken, "ord", "left_anti")))
-    found = result[0]
-    for more in result[1:]:
-        found = found.unionByName(more)
-    return found
+    return reduce(DataFrame.unionByName, result)
 
 
 def cluster_names(
@@ -291,7 +431,7 @@ def cluster_names(
 
     Names are distinct within a block. Blocks of up to ``small_block`` names go to one task each. The
     limits choose how the work is done, never the result. Thresholds up to two thirds are refused for
-    blocks of every size: similar names would not need to share a piece.
+    blocks of every size: similar names would not need to share a gram.
     """
     if not 67 < threshold <= 100:
         raise ValueError("thresholds must be above 67 and at most 100")

@@ -5,11 +5,9 @@ import re
 
 import pytest
 
-from rosterline.catalog import QUERIES, SQL
+from rosterline.catalog import PYTHON, QUERIES, SQL
 from tests.compare import database, difference
 
-# Fuzzy scoring and cluster resolution are the only work outside the JVM.
-PYTHON = {"merge_fuzzy", "deduplicate", "tier_counts", "name_similarity"}
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 

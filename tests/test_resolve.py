@@ -83,7 +83,7 @@ def test_clusters_are_the_plain_loop(spark, threshold, limits):
     assert {r.ord: r.cluster for r in got if r.ord != r.cluster} == brute_clusters(rows, threshold)
 
 
-def test_pieces_find_every_similar_pair(spark):
+def test_grams_find_every_similar_pair(spark):
     rnd = random.Random(2)
     names = list({"".join(rnd.choice("abc") for _ in range(rnd.randint(0, 16))) for _ in range(150)})
     df = spark.createDataFrame([(0, i, n) for i, n in enumerate(names)], "block_id long, ord long, name string")
@@ -95,6 +95,67 @@ def test_pieces_find_every_similar_pair(spark):
     assert got == want and len(want) > 50
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.text("abc ", min_size=1, max_size=150), st.sampled_from([68, 72.5, 80, 85, 90.5, 100]))
+def test_rare_grams_have_no_letter_in_common_and_are_the_rarest(name, threshold):
+    cost = lambda gram: sum(map(ord, gram)) % 50 + 1.0
+    picks = sim.picks_needed(len(name), threshold)
+    found = sim.rare_grams(name, picks, cost)
+    used = [i for at, z in found for i in range(at, at + z)]
+    assert len(found) == picks and len(used) == len(set(used)) and max(used) < len(name)
+    counts = [cost(name[at:at + z]) for at, z in found]
+    assert counts == sorted(counts)
+    if len(name) <= 9:
+        shortest = 1 if len(name) < 2 * picks else 2
+
+        def best(start, left):
+            if not left:
+                return 0
+            ways = [cost(name[i:i + z]) + best(i + z, left - 1) for i in range(start, len(name))
+                    for z in range(shortest, 5) if i + z <= len(name)]
+            return min(ways, default=float("inf"))
+
+        assert sum(counts) == best(0, picks)
+
+
+@pytest.mark.parametrize("threshold", [68.0, 75.0, 85.0, 92.0])
+def test_rare_grams_find_names_that_differ_everywhere(spark, threshold):
+    """Names with letters added, removed and replaced at any place, up to the limit, among common words."""
+    rnd = random.Random(int(threshold))
+    names = set()
+    for _ in range(60):
+        base = " ".join(sorted(rnd.choice(WORDS) for _ in range(rnd.randint(1, 5))))
+        for _ in range(4):
+            text = list(base)
+            for _ in range(rnd.randint(0, 6)):
+                at = rnd.randrange(len(text) + 1)
+                text[at:at + rnd.randint(0, 1)] = rnd.choice(["", "a", "e", "xq", " ", "é", "漢"])
+            names.add("".join(text))
+    names = sorted(names) + ["x" * 200, "x" * 190 + "yy", "ab" * 90, "ab" * 88 + "c"]
+    df = spark.createDataFrame([(0, i, n) for i, n in enumerate(names)], "block_id long, ord long, name string")
+    got = {(r.i, r.j) for r in sim.similar_pairs(df, df, threshold).collect()}
+    want = {(i, j) for j, b in enumerate(names) for i, a in enumerate(names[:j]) if sim.Matcher(a).similar(b, threshold)}
+    assert got == want and len(want) > 25
+
+
+def titled(n, seed=3):
+    """Names as they come: common words, and rarer ones the more names there are."""
+    rnd = random.Random(seed)
+    rare = ["".join(rnd.choice("abcdefghiklmnoprstuvw") for _ in range(rnd.randint(4, 9))) for _ in range(int(40 * n**0.6))]
+    names = set()
+    while len(names) < n:
+        names.add(" ".join(sorted([*rnd.sample(WORDS, 2), rnd.choice(rare), rnd.choice(rare)])))
+    return sorted(names)
+
+
+def test_few_pairs_meet_and_fewer_are_looked_at(spark):
+    for n in (400, 4000):
+        df = spark.createDataFrame([(0, i, x) for i, x in enumerate(titled(n))], "block_id long, ord long, name string")
+        pairs = n * (n - 1) / 2
+        assert sim.candidates(df, df, 85.0).count() < pairs / 1000
+        assert sim.candidate_count(df, df, 85.0, sim.gram_counts(df, 85.0)) < pairs / 2
+
+
 def test_clusters_are_not_transitive(spark):
     """The second is like the first, the third like the second only: the third stays alone."""
     rows = [(0, "abcdefghijklmnopqrst"), (1, "abcdefghijklmnopqrXY"), (2, "abcdefghijklmnoWVrXY")]
@@ -113,7 +174,7 @@ def test_alike_names_never_meet_in_all_pairs(spark, monkeypatch):
     """Numbered names in one place, all alike: the slices shrink until few anchors take the rest."""
     paired = []
     plain = sim.similar_pairs
-    monkeypatch.setattr(sim, "similar_pairs", lambda a, b, t: (paired.append(plain(a, b, t)), paired[-1])[1])
+    monkeypatch.setattr(sim, "similar_pairs", lambda a, b, t, c: (paired.append(plain(a, b, t, c)), paired[-1])[1])
     rows = [(i, "KY", "c", f"Member Club Number {i:05d}") for i in range(1500)]
     df = spark.createDataFrame(rows, "_ord long, state string, city string, org_name string")
     got = resolve.fuzzy_clusters(df, small_block=10, slice_rows=16, max_candidates=20_000).collect()
