@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -20,14 +22,14 @@ def digits(value: Column) -> Column:
 def first_rows(df: DataFrame, key: str | Sequence[str], order: str = "_ord") -> DataFrame:
     """The first row of each key in ``order``; null is a key of its own.
 
-    An aggregate, so each task sends one row per key on and a hot key costs no more than others.
+    ``order`` tells the rows of a key apart. The least order per key is found on those columns alone, in a
+    hash aggregate that combines before its shuffle; rows then meet it by key and order together, so
+    a hot key is spread by its orders.
     """
     keys = [key] if isinstance(key, str) else list(key)
-    rest = [c for c in df.columns if c not in keys]
-    first = F.min_by(F.struct(*rest), F.col(order)).alias("_first")
-    return df.groupBy(*keys).agg(first).select(
-        *[F.col(c) if c in keys else F.col(f"_first.{c}").alias(c) for c in df.columns]
-    )
+    first = df.groupBy(*keys).agg(F.min(order).alias("_least")).select(*[F.col(k).alias(f"_key_{i}") for i, k in enumerate(keys)], "_least")
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_key_{i}")) for i, k in enumerate(keys)], F.col(order) == F.col("_least"))
+    return df.join(first, same, "left_semi")
 
 
 def lineage_union(*lists: Column) -> Column:
@@ -99,7 +101,9 @@ def _fill(left: DataFrame, source: DataFrame, key, order, columns, lineage, line
         source.select(as_key(F.col(key)).cast("string").alias("_k"), order, *columns)
         .filter(F.col("_k").isNotNull())
     )
-    right = first_rows(right, "_k", order).select("_k", *[F.col(c).alias(f"_src_{c}") for c in columns])
+    # These rows meet the base by the same key, so one exchange serves both; an aggregate thins them out before it.
+    first = F.min_by(F.struct(*columns), order).alias("_first")
+    right = right.groupBy("_k").agg(first).select("_k", *[F.col(f"_first.{c}").alias(f"_src_{c}") for c in columns])
     joined = left.join(right, "_k", "left")
 
     def merged(name: str) -> Column:

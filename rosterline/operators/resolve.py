@@ -8,11 +8,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from rosterline.functions.blanks import none_if_empty
 from rosterline.functions.clean import web_domain
+from rosterline.operators.merge import spread_null_key
 from rosterline.operators.similarity import cluster_names, sorted_words
 from rosterline.session import cut_lineage
 
-ALONE = "\u0000row "
-
 
 def merge_group(
     df: DataFrame, by: str, order: str = "_ord", lineage: str | None = "data_sources"
@@ -38,14 +37,30 @@ def merge_group(
     return merged.select(*[c for c in df.columns])
 
 
+def merge_members(
+    df: DataFrame, by: str, members: DataFrame, on: str, order: str = "_ord", lineage: str | None = "data_sources"
+) -> DataFrame:
+    """Merge the rows whose ``on`` is in ``members`` by their ``by``; all others pass through untouched.
+
+    ``members`` is narrow and written, so Spark knows its size. Where it is small it goes to the rows and
+    only rows that have a duplicate are shuffled; else each row is shuffled once, by ``on``. A row whose
+    ``on`` is null has no duplicate and gets a spread key, so that such rows are not dealt to one task.
+    """
+    columns = [c for c in df.columns if c not in (by, on) or c == order]
+    rows = df.withColumn(on, spread_null_key(F.col(on), F.col(order))) if on == by else df
+    marked = rows.join(members.withColumn("_many", F.lit(True)), on, "left")
+    many = merge_group(marked.filter("_many").select(by, *columns), by, order, lineage)
+    return marked.filter("_many is null").select(*columns).unionByName(many.select(*columns))
+
+
 def merge_on(df: DataFrame, key: Column, order: str = "_ord", **options) -> DataFrame:
     """Merge rows with the same key; rows whose key is null or empty stay as they are.
 
-    Such rows get a key of their own instead of a second pass over the table.
+    Keys with two or more rows are found first, on the key alone.
     """
-    own = F.concat(F.lit(ALONE), F.col(order).cast("string"))
-    keyed = df.withColumn("_group", F.coalesce(none_if_empty(key.cast("string")), own))
-    return merge_group(keyed, "_group", order, **options).drop("_group")
+    keyed = df.withColumn("_group", none_if_empty(key.cast("string")))
+    shared = keyed.select("_group").filter("_group is not null").groupBy("_group").agg(F.count("*").alias("n")).filter("n > 1")
+    return merge_members(keyed, "_group", cut_lineage(shared.select("_group")), "_group", order, **options).select(*df.columns)
 
 
 def merge_exact(df: DataFrame, key: str = "ein", key_normalizer=None, **options) -> DataFrame:
@@ -95,9 +110,9 @@ def merge_fuzzy(
 ) -> DataFrame:
     """Tier 2: similar names within a place. Rows without name or place stay as they are."""
     clusters = fuzzy_clusters(df, name, block, threshold, order, **limits)
-    placed = df.join(clusters.withColumnRenamed("ord", order), order, "left")
-    grouped = placed.withColumn("cluster", F.coalesce("cluster", order)).select(*df.columns, "cluster")
-    return merge_group(grouped, "cluster", order, lineage).drop("cluster")
+    # A cluster's first row is named by the others only.
+    members = clusters.union(clusters.select("cluster", "cluster")).distinct().withColumnRenamed("ord", order)
+    return merge_members(df, "cluster", cut_lineage(members), order, order, lineage).select(*df.columns)
 
 
 def merge_domain(

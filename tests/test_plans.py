@@ -40,8 +40,36 @@ def test_merged_sources_share_one_shuffle_of_the_base(spark):
 
 def test_groups_combine_before_their_shuffle(spark):
     df = organizations(spark, SF_DIR).select("_ord", "ein", "org_name", "data_sources")
-    for text in (plan(resolve.merge_exact(df)), plan(merge.first_rows(df, "ein"))):
-        assert "partial_min_by" in text and "Window" not in text
+    assert "partial_min_by" in plan(resolve.merge_exact(df))
+    first = plan(merge.first_rows(df, "ein"))
+    assert "partial_min" in first and "SortAggregate" not in first and "Window" not in first
+
+
+def exchanges(text):
+    """What each shuffle of a plan carries, as the output of the line below it."""
+    return [line for line in text.splitlines() if "Exchange hashpartitioning" in line]
+
+
+def test_rows_without_a_duplicate_are_not_shuffled(spark):
+    """One shuffle in each tier: of the rows that have a duplicate, after their aggregate began."""
+    df = spark.range(3000).selectExpr(
+        "id as _ord", "string(id - int(id % 100 = 1)) as ein", "concat('Post ', id * 7919, ' ', md5(string(id))) as org_name",
+        "'KY' as state", "string(id % 50) as city", "concat('https://h', id - int(id % 90 = 1), '.org') as website", "'s' as data_sources")
+    for merged, rows in ((resolve.merge_exact(df), 2970), (resolve.merge_fuzzy(df), 3000), (resolve.merge_domain(df), 2966)):
+        text = plan(merged)
+        assert len(exchanges(text)) == 1 and "SortMergeJoin" not in text
+        assert merged.count() == rows
+
+
+def test_merges_hold_where_the_duplicates_are_not_broadcast(spark):
+    df = spark.range(400).selectExpr(
+        "id as _ord", "if(id % 3 = 0, null, string(id div 4)) as ein", "if(id % 2 = 0, null, string(id)) as org_name", "concat('s', id % 5) as data_sources")
+    want = sorted(map(str, resolve.merge_exact(df).collect()))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert sorted(map(str, resolve.merge_exact(df).collect())) == want
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
 def test_small_tables_have_a_known_size(spark):
