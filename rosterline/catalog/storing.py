@@ -39,15 +39,27 @@ def master_rows(spark, sf_dir):
 
 
 def master_files(spark, sf_dir) -> list[str]:
-    """Two files with other columns in another order; the second repeats some keys."""
+    """Two folders with other columns in another order; the second repeats some keys."""
     folder = new_folder(spark)
     rows = master_rows(spark, sf_dir)
-    rows.coalesce(1).write.option("header", True).option("escape", '"').csv(f"{folder}/a")
+    rows.repartition(4, "EIN").write.option("header", True).option("escape", '"').csv(f"{folder}/a")
     again = rows.filter("EIN % 3 = 0").select("NAME", "EIN", F.lit("second").alias(" sort_name "), "SUBSECTION")
-    again.coalesce(1).write.option("header", True).option("escape", '"').csv(f"{folder}/b")
+    again.repartition(3, "EIN").write.option("header", True).option("escape", '"').csv(f"{folder}/b")
     return [f"{folder}/a", f"{folder}/b"]
 
 
+def many_files(spark, sf_dir, files: int = 200) -> str:
+    """A folder of up to ``files`` files in as many folders, of different sizes and with three headers in turn."""
+    folder = new_folder(spark)
+    number = F.col("EIN").cast("int")
+    rows = master_rows(spark, sf_dir).withColumn("part", F.format_string("%03d", number * number % files))
+    sorted_ = rows.repartition(8, "part").sortWithinPartitions("part", "EIN")
+    for turn, columns in enumerate((("EIN", "NAME", "NTEE_CD"), ("NTEE_CD", "EIN", "CITY"), ("NAME", "NTEE_CD", "ZIP", "EIN"))):
+        sorted_.filter(F.col("part").cast("int") % 3 == turn).select("part", *columns).write.mode("append").partitionBy(
+            "part").option("header", True).option("escape", '"').csv(folder)
+    return folder
+
+
 _MASTER_SQL = """SELECT lpad(CAST(c_custkey AS VARCHAR), 9, '0') AS ein,
   array_to_string(list_transform(string_split(c_name, '#'), lambda w: upper(w[1]) || lower(w[2:])), '#') AS org_name,
   {alt} AS org_name_alt, {city} AS city, {state} AS state, {zip} AS zip_code,
@@ -76,6 +88,17 @@ def master_first_rows(spark, sf_dir):
     return map_master(first_rows(read_text_csv(spark, master_files(spark, sf_dir)), "EIN")).select(*_MASTER)
 
 
+@query("master_many_files", """
+SELECT 'W' || c_nationkey AS ntee_code, lpad(CAST(c_custkey AS VARCHAR), 9, '0') AS ein, part % 3 <> 1 AS has_name
+FROM (SELECT *, c_custkey * c_custkey % 200 AS part FROM customer)
+QUALIFY row_number() OVER (PARTITION BY c_nationkey ORDER BY part, c_custkey) = 1""")
+def master_many_files(spark, sf_dir):
+    """The first row of each category in the order of 200 files."""
+    rows = read_text_csv(spark, [many_files(spark, sf_dir)])
+    return first_rows(rows, "NTEE_CD").select(
+        F.col("NTEE_CD").alias("ntee_code"), F.col("EIN").alias("ein"), F.col("NAME").isNotNull().alias("has_name"))
+
+
 @query("filing_extract", """
 SELECT lpad(CAST(o_custkey AS VARCHAR), 9, '0') AS ein, o_orderpriority AS mission_statement, CAST(o_orderkey AS VARCHAR) AS num_employees
 FROM orders""")

@@ -17,8 +17,8 @@ SCHEMA = T.StructType(
 # A scan's row numbers stay below 2**PLACE_BITS with up to 2**(PLACE_BITS - 33) splits (16 million).
 PLACE_BITS = 57
 PLACES = 1 << (63 - PLACE_BITS)
-# Stacked sources come after the files of the base.
-AFTER_BASE = PLACES // 2
+# Stacked sources come after the base, whose files share one place.
+AFTER_BASE = 1
 
 
 def placed(number: Column, place: int) -> Column:

@@ -37,7 +37,7 @@ def source_records(df: DataFrame, name: str, run_date: str) -> DataFrame:
 
 
 def after_base(df: DataFrame, place: int) -> DataFrame:
-    """Row numbers behind those of all base files."""
+    """Row numbers behind those of the base."""
     return df.withColumn("_ord", placed(F.col("_ord"), AFTER_BASE + place))
 
 

@@ -2,24 +2,60 @@
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from rosterline import fixed
 from rosterline.functions.blanks import strip, to_number
 from rosterline.functions.clean import code_label, title_case
-from rosterline.operators.coerce import numbers_from_text, rename_first_alias, row_order
-
-
-def files_of(spark: SparkSession, path: str) -> list[str]:
-    """The files of a folder by name, without hidden ones; a file is itself."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    system = where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
-    if not system.getFileStatus(where).isDirectory():
-        return [path]
-    names = [f.getPath().toString() for f in system.listStatus(where) if f.isFile()]
-    return sorted(n for n in names if n.rsplit("/", 1)[-1][0] not in "._")
+from rosterline.operators.coerce import PLACE_BITS, numbers_from_text, rename_first_alias
+
+
+def files_of(spark: SparkSession, paths: Sequence[str]) -> list[tuple[str, int]]:
+    """``(file, bytes)`` below each path in turn, by name, without hidden and empty files; a file is itself."""
+    conf = spark._jsparkSession.sessionState().newHadoopConf()
+    out: list[tuple[str, int]] = []
+    for path in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        system = where.getFileSystem(conf)
+        if not system.getFileStatus(where).isDirectory():
+            out.append((path, system.getFileStatus(where).getLen()))
+            continue
+        found, below, top = [], system.listFiles(where, True), system.makeQualified(where).toString().rstrip("/")
+        while below.hasNext():
+            status = below.next()
+            name = status.getPath().toString()
+            if not any(part[:1] in ("_", ".") for part in name[len(top) + 1:].split("/")):
+                found.append((name, status.getLen()))
+        out += sorted(found)
+    return [(name, size) for name, size in out if size]
+
+
+def _header(spark: SparkSession, path: str, encoding: str) -> tuple[str, ...] | None:
+    """The names in a file's first line that is not blank, trimmed and in upper case."""
+    java = spark._jvm
+    where = java.org.apache.hadoop.fs.Path(path)
+    conf = spark._jsparkSession.sessionState().newHadoopConf()
+    stream = where.getFileSystem(conf).open(where)
+    codec = java.org.apache.hadoop.io.compress.CompressionCodecFactory(conf).getCodec(where)
+    lines = java.java.io.BufferedReader(java.java.io.InputStreamReader(codec.createInputStream(stream) if codec else stream, encoding))
+    try:
+        line = lines.readLine()
+        while line is not None and not line.strip("\ufeff \t"):
+            line = lines.readLine()
+    finally:
+        lines.close()
+    return None if line is None else tuple(c.strip().upper() for c in next(csv.reader([line.lstrip("\ufeff")])))
+
+
+# The scan's own file path and the listed one differ in the slashes after the scheme and in escapes.
+def _plain_path(path: Column) -> Column:
+    return F.regexp_replace(path, "^([a-zA-Z0-9+.-]+):/+", "$1:/")
 
 
 def read_text_csv(
@@ -27,22 +63,45 @@ def read_text_csv(
 ) -> DataFrame:
     """CSV files with headers, every column as text, stacked by trimmed upper-case column name.
 
-    Each file keeps its own header, so files may differ in columns and their order. ``_ord`` numbers
-    the rows file by file; the files of a folder come in order of their names, since Spark itself deals
-    a folder's files out by size.
+    Files may differ in columns and their order; those with the same header are one scan, so any number
+    of files makes as many scans as there are headers. ``_ord`` numbers the rows file by file, in the
+    order of ``paths`` and of the names below a folder, since Spark itself deals files out by size. It holds
+    the number of the row's block among all blocks of all files, and the row's place in its task.
     """
+    files = files_of(spark, paths)
+    with ThreadPoolExecutor(16) as pool:
+        headers = list(pool.map(lambda f: _header(spark, f[0], encoding), files))
+    # No split is smaller than this, so two splits of a file never share a block number.
+    least = min(_bytes(spark, "spark.sql.files.maxPartitionBytes"), _bytes(spark, "spark.sql.files.openCostInBytes"))
+    before, places, groups = 0, [], {}
+    for (path, size), header in zip(files, headers):
+        if header is not None:
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            full = where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).makeQualified(where).toUri().toString()
+            places.append((full, before))
+            groups.setdefault(header, []).append(path)
+            before += size // least + 1
+    if not groups:
+        raise ValueError(f"no rows and no header in {list(paths)}")
+    room = PLACE_BITS - before.bit_length()
+    listed = spark.createDataFrame(places, "_file string, _before long").select(_plain_path(F.col("_file")).alias("_file"), "_before")
     parts = []
-    for place, path in enumerate(f for p in paths for f in files_of(spark, p)):
-        df = (
-            spark.read.option("header", True).option("encoding", encoding).option("escape", '"')
-            .option("multiLine", multi_line).option("inferSchema", False).csv(path)
-        )
-        df = df.toDF(*[c.strip().upper() for c in df.columns])
-        parts.append(df.withColumn("_ord", row_order(place)))
-    result = parts[0]
-    for part in parts[1:]:
-        result = result.unionByName(part, allowMissingColumns=True)
-    return result
+    for header, own in groups.items():
+        scan = (
+            spark.read.schema(StructType([StructField(c, StringType()) for c in header])).option("header", True)
+            .option("encoding", encoding).option("escape", '"').option("multiLine", multi_line).csv(own))
+        rows = scan.select(
+            *[F.col(f"`{c}`") for c in header], _plain_path(F.col("_metadata.file_path")).alias("_file"),
+            F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("_row"))
+        row = F.when(F.col("_row") < (1 << room), F.col("_row")).otherwise(F.raise_error(F.lit("too many rows in one task")).cast("long"))
+        block = F.col("_before") + F.floor(F.col("_start") / least)
+        # The files' table is given in code, so Spark knows its size.
+        parts.append(rows.join(listed, "_file").select(*[F.col(f"`{c}`") for c in header], (block * (1 << room) + row).alias("_ord")))
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
+def _bytes(spark: SparkSession, setting: str) -> int:
+    return spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(setting))
 
 
 def map_master(df: DataFrame, zip_length: int | None = None) -> DataFrame:

@@ -29,6 +29,49 @@ def test_master_files(spark, tmp_path):
     assert (second.org_name, second.org_name_alt, second.org_type) == ('A, "B"', "Alt", "501(c)(7)")
 
 
+def test_many_files_keep_their_order(spark, tmp_path):
+    """120 files of three headers and any size, an empty one and hidden ones; two paths; splits within a file."""
+    want = []
+    for i in range(120):
+        folder = tmp_path / "rows" / f"sub {i % 7}"
+        folder.mkdir(parents=True, exist_ok=True)
+        header, n = (["a", "b"], ["B ", "a"], ["a", "c", "b"])[i % 3], (i * 37) % 90
+        lines = [",".join({"a": f"{i}", "b": f"{k}", "c": "x"}[c.strip().lower()] for c in header) for k in range(n)]
+        (folder / f"f{i:03d}.csv").write_text("\n".join([",".join(header), *lines]))
+    (tmp_path / "rows" / "_hidden.csv").write_text("a\n1\n")
+    (tmp_path / "rows" / "empty.csv").write_text("")
+    (tmp_path / "big+1.csv").write_text("a,b\n" + "".join(f"big,{k}\n" for k in range(60_000)))
+    for folder in sorted((tmp_path / "rows").iterdir()):
+        if folder.is_dir():
+            for path in sorted(folder.iterdir()):
+                i = int(path.stem[1:])
+                want += [(str(i), str(k)) for k in range((i * 37) % 90)]
+    want = [("big", str(k)) for k in range(60_000)] + want
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "40000")
+    try:
+        df = tabular.read_text_csv(spark, [str(tmp_path / "big+1.csv"), str(tmp_path / "rows")])
+        assert sorted(df.columns) == ["A", "B", "C", "_ord"] and df.rdd.getNumPartitions() > 10
+        got = df.collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert len({r._ord for r in got}) == len(got)
+    assert [(r.A, r.B) for r in sorted(got, key=lambda r: r._ord)] == want
+    with pytest.raises(ValueError):
+        tabular.read_text_csv(spark, [str(tmp_path / "rows" / "empty.csv")])
+
+
+def test_stacked_sources_of_several_files_follow_the_base(spark, tmp_path):
+    from rosterline.plans.directory import after_base
+
+    for name in ("base", "more"):
+        (tmp_path / name).mkdir()
+        for i in range(70):
+            (tmp_path / name / f"{i:02d}.csv").write_text(f"a\n{name}{i:02d}\n")
+    base, more = (tabular.read_text_csv(spark, [str(tmp_path / n)]) for n in ("base", "more"))
+    rows = base.unionByName(after_base(more, 0)).orderBy("_ord").collect()
+    assert [r.A for r in rows] == [f"{n}{i:02d}" for n in ("base", "more") for i in range(70)]
+
+
 def test_filing_extract(spark):
     df = spark.createDataFrame([(0, "1", "m", "9")], "_ord int, ORG_EIN string, MISSION_DESC string, EMPLOYEECNT string")
     out = coerce_schema(tabular.map_filings(df), keep=("_ord",)).first()
