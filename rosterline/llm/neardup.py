@@ -4,13 +4,14 @@
    bin keeps its least hash. Empty bins borrow from filled ones along a fixed random sequence
    (optimal densification). Texts with equal shingle sets become one class.
 2. Bands of the signature are bucket keys. A bucket proposes a star: its centre against each other
-   member, so pairs grow with the members, not with their square.
-3. Proposed pairs are confirmed on full shingle sets; confirmed pairs give components.
-4. A star leaves pairs of its outer members untested. Buckets whose members are still in different
-   components propose again: small ones (up to ``SMALL`` members) each pair between components, larger
-   ones stars around other centres, and they are split by a second band, which similar members mostly
-   share and others mostly do not. This ends when a whole round confirms no new link. Pairs are not tested
-   twice, and pairs whose signatures agree far too little for the limit are not read in full.
+   member. Of the centres of all its buckets a text is held against one in each round, so a round has no
+   more pairs than texts.
+3. Proposed pairs whose signatures do not rule it out are confirmed on full shingle sets; confirmed pairs
+   give components. Buckets whose members are still in different components propose again, around other
+   centres, in up to ``TURNS`` rounds.
+4. A star leaves pairs of its outer members untested. All texts of buckets that still hold several components
+   therefore go to an exact join on their rarest shingles (``prefix_pairs``), whose pairs are confirmed
+   too. It sees every pair that shares a band, whatever the stars and the signatures said.
 """
 
 from __future__ import annotations
@@ -29,11 +30,11 @@ from rosterline.llm.graph import components
 BIN_BITS = 7
 BANDS, ROWS = 25, 5
 HELD_WORDS = 100_000
-# In a bucket of so many members, a member is proposed with at most SMALL - 1 others.
-SMALL = 24
-# Centres of a larger bucket in each round.
-CENTRES = 8
-# How many standard deviations a signature may fall short of the limit.
+# Rounds of stars before the rest is settled by rare shingles.
+TURNS = 3
+# Pairs of one centre that share a copy of its text.
+PART = 500
+# How many standard deviations a signature may fall short of the limit in a star.
 SLACK = 6.0
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
@@ -126,17 +127,23 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _compare(percent: int):
+    """Walk rows sorted by group: the text of a centre, then the texts it is held against."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, at, centre = Shingler(), None, None
+        shingler, centre = Shingler(), None
         for batch in slices(batches, 200):
-            linked = []
-            for a, x, y in zip(*(column(batch, c).to_pylist() for c in ("a", "text_a", "text_b"))):
-                if a != at:
-                    at, centre = a, shingler.of(x)
-                other = shingler.of(y)
-                both = len(np.intersect1d(centre, other, assume_unique=True))
-                linked.append(100 * both >= percent * (len(centre) + len(other) - both))
-            yield pa.RecordBatch.from_arrays([column(batch, "a"), column(batch, "b"), pa.array(linked)], names=["a", "b", "linked"])
+            out = []
+            for a, b, text in zip(*(column(batch, c).to_pylist() for c in ("a", "b", "text"))):
+                own = shingler.of(text)
+                if b is None:
+                    centre = own
+                else:
+                    both = len(np.intersect1d(centre, own, assume_unique=True))
+                    out.append((a, b, 100 * both >= percent * (len(centre) + len(own) - both)))
+            if out:
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] for o in out])],
+                    names=["a", "b", "linked"])
 
     return run
 
@@ -157,28 +164,74 @@ def _likely(percent: int):
     return run
 
 
-def _confirm(pairs: DataFrame, classes: DataFrame, texts: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """The pairs that are tested, and those that are linked by their full shingle sets.
-
-    ``a`` may repeat without bound; both joins have a unique right side.
-    """
+def _promising(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Pairs whose signatures come near enough to the limit. ``a`` may repeat without bound."""
     short = classes.select("class", "short", "n")
     b = short.select(F.col("class").alias("b"), F.col("short").alias("short_b"), F.col("n").alias("n_b"))
     a = short.select(F.col("class").alias("a"), F.col("short").alias("short_a"), F.col("n").alias("n_a"))
     signed = pairs.join(b, "b").join(a, "a").select("a", "b", "short_a", "short_b", F.least("n_a", "n_b").alias("n_min"))
-    tested = written(signed.mapInArrow(_likely(percent), "a long, b long, likely boolean"))
-    b = texts.select(F.col("_row").alias("b"), F.col("text").alias("text_b"))
-    a = texts.select(F.col("_row").alias("a"), F.col("text").alias("text_a"))
-    read = tested.filter("likely").select("a", "b").join(b, "b").join(a, "a")
-    linked = written(read.mapInArrow(_compare(percent), "a long, b long, linked boolean"))
-    return tested.select("a", "b"), linked.filter("linked").select("a", "b")
+    return signed.mapInArrow(_likely(percent), "a long, b long, likely boolean").filter("likely").select("a", "b")
+
 
+def _confirm(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """``a, b, linked`` of pairs, by their full shingle sets.
 
-def _pairs(members: DataFrame, others: DataFrame, percent: int) -> DataFrame:
-    """Pairs of members of a bucket and its ``others`` (a struct), from different components and of like size."""
-    like = F.expr(f"100 * least(n, other.n) >= {percent} * greatest(n, other.n)")
-    return members.join(others, "bucket").filter((F.col("root") != F.col("other.root")) & like).select(
-        F.least("class", "other.class").alias("a"), F.greatest("class", "other.class").alias("b"))
+    A text goes to its centre ``a`` once; the centre's own text goes once to each part of ``PART`` or so of
+    its pairs, so a centre may have any number of them.
+    """
+    parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / PART).cast("long").alias("parts"))
+    dealt = pairs.join(parts, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).alias("part"))
+    text = lambda name: texts.select(F.col("_row").alias(name), "text")
+    members = dealt.join(text("b"), "b").select("a", "part", "b", "text")
+    centres = dealt.select("a", "part").distinct().join(text("a"), "a").select("a", "part", F.lit(None).cast("long").alias("b"), "text")
+    rows = members.unionByName(centres).repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
+    return written(rows.mapInArrow(_compare(percent), "a long, b long, linked boolean"))
+
+
+def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    shingler = Shingler()
+    for batch in slices(batches, 200):
+        tokens = [shingler.of(text).view(np.int64) for text in column(batch, "text").to_pylist()]
+        yield pa.RecordBatch.from_arrays(
+            [column(batch, "class"), column(batch, "root"), pa.array(tokens, pa.list_(pa.int64()))], names=["class", "root", "tokens"])
+
+
+def _like(n: str, other: str, percent: int):
+    return F.expr(f"100 * least({n}, {other}) >= {percent} * greatest({n}, {other})")
+
+
+def prefix_pairs(mixed: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """``a, b``: every pair of ``mixed`` (``class, root``) of different roots that may be linked.
+
+    Shingles are ordered from rare to common among these texts. Two linked sets share a shingle among the
+    first ``n - ceil(limit * n) + 1`` of each, and from their first shared one on both must have enough
+    left. So texts meet in their rare shingles only; what a whole family has in common comes last.
+    """
+    read = written(texts.join(mixed, texts["_row"] == mixed["class"]).select("class", "root", "text").mapInArrow(
+        _tokens, "class long, root long, tokens array<long>"))
+    flat = read.select("class", F.explode("tokens").alias("token"))
+    common = flat.groupBy("token").agg(F.count("*").alias("count"))
+    # One cell holds the shingles of one text.
+    sorted_ = flat.join(common, "token").groupBy("class").agg(F.sort_array(F.collect_list(F.struct("count", "token"))).alias("order"))
+    sets = written(read.select("class", "root", F.size("tokens").cast("long").alias("n")).join(sorted_, "class").select(
+        "class", "root", "n", F.transform("order", lambda x: x["token"]).alias("order")))
+    first = F.expr(f"cast(n - ceil({percent} * n / 100) + 1 as int)")
+    rows = sets.select("class", "root", "n", F.posexplode(F.slice("order", 1, first)).alias("at", "token"))
+    met = rows.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x != y").select("token")
+    rows = written(rows.join(met, "token"))
+    other = rows.select("token", F.col("class").alias("b"), F.col("root").alias("root_b"), F.col("n").alias("n_b"), F.col("at").alias("at_b"))
+    # At the first shared shingle, what follows in both sets must suffice.
+    room = F.expr(f"least(n - at, n_b - at_b) * {100 + percent} >= {percent} * (n + n_b)")
+    return rows.join(other, "token").filter(
+        (F.col("class") < F.col("b")) & (F.col("root") != F.col("root_b")) & _like("n", "n_b", percent) & room
+    ).select(F.col("class").alias("a"), "b").distinct()
+
+
+def _rooted(rows: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """``rows`` with the component of their ``class`` so far."""
+    if roots is None:
+        return rows.withColumn("root", F.col("class"))
+    return rows.join(roots, rows["class"] == roots["node"], "left").withColumn("root", F.coalesce("root", "class")).drop("node")
 
 
 def group_near(docs: DataFrame, percent: int = 85, row: str | None = None) -> DataFrame:
@@ -197,50 +250,38 @@ def group_near(docs: DataFrame, percent: int = 85, row: str | None = None) -> Da
         .select("digest", F.col("c._row").alias("class"), "c.bands", "c.n", "c.short"))
     exploded = classes.select("class", "n", F.explode("bands").alias("bucket"))
     shared = exploded.groupBy("bucket").agg(F.count("*").alias("members")).filter("members > 1").select("bucket")
-    open_ = written(exploded.join(shared, "bucket").select("bucket", "class", "n", F.lit(0).alias("depth")))
-    texts = written(rows.select("_row", "text").join(open_.select(F.col("class").alias("_row")).distinct(), "_row", "left_semi"))
+    members = written(exploded.join(shared, "bucket").select("bucket", "class", "n"))
+    texts = written(rows.select("_row", "text").join(members.select(F.col("class").alias("_row")).distinct(), "_row", "left_semi"))
 
     links = tested = roots = None
-    turn, searching = 0, not open_.isEmpty()
-    while searching:
-        if roots is None:
-            members = open_.withColumn("root", F.col("class"))
-        else:
-            members = open_.join(roots, open_["class"] == roots["node"], "left").select(
-                "bucket", "class", "n", "depth", F.coalesce("root", "class").alias("root"))
-        if turn:
-            mixed = members.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("members")).filter("x != y")
-            members = written(members.join(mixed.select("bucket", "members"), "bucket"))
-        # The first star has the least row as its centre, which most buckets of a group share.
-        large = members if turn == 0 else members.filter(F.col("members") > SMALL)
-        ranks = [F.lit(0).cast("long")] if turn == 0 else [F.xxhash64("class", F.lit(turn), F.lit(k)) for k in range(CENTRES)]
-        centres = large.groupBy("bucket").agg(*[
-            F.min(F.struct(rank.alias("rank"), "class", "n", "root")).alias(f"c{k}") for k, rank in enumerate(ranks)])
-        pairs = _pairs(large, centres.select("bucket", F.explode(F.array(*[f"c{k}" for k in range(len(ranks))])).alias("other")), percent)
-        if turn:
-            few = members.filter(F.col("members") <= SMALL)
-            pairs = pairs.union(_pairs(few, few.select("bucket", F.struct("class", "n", "root").alias("other")), percent))
-        pairs = pairs.distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        done, found = _confirm(written(pairs), classes, texts, percent)
-        tested = done if tested is None else tested.union(done)
-        if not found.isEmpty():
-            links = found if links is None else links.union(found)
-            roots = written(components(links))
-            searching = True
-        else:
-            searching = turn == 0
-        if turn:
-            # Small buckets are settled. Large ones stay, and are split once by each other band.
-            split = large.filter("depth = 0").join(classes.select("class", "bands"), "class").select(
-                "bucket", "class", "n", F.explode("bands").alias("band")).filter("band != bucket")
-            split = split.select(F.xxhash64("bucket", "band").alias("bucket"), "class", "n", F.lit(1).alias("depth"))
-            again = split.groupBy("bucket").agg(F.count("*").alias("members")).filter("members > 1").select("bucket")
-            split = written(split.join(again, "bucket").select("bucket", "class", "n", "depth"))
-            searching = searching or not split.isEmpty()
-            open_ = written(large.select("bucket", "class", "n", F.lit(1).alias("depth")).union(split))
-        turn += 1
+    for turn in range(TURNS):
+        # Another order of the rows each time, so that buckets get other centres.
+        order = F.lit(0 if turn == 0 else int(mix64(np.array([turn], np.uint64))[0] >> np.uint64(1)))
+        placed = _rooted(members, roots)
+        stars = placed.groupBy("bucket").agg(
+            F.min(F.col("class").bitwiseXOR(order)).alias("rank"), F.min("root").alias("x"), F.max("root").alias("y")).filter("x != y")
+        centre = _rooted(classes.select(F.col("class"), "n"), roots).select(
+            F.col("class").alias("a"), F.col("root").alias("root_a"), F.col("n").alias("n_a"))
+        # One centre per class and round, the first of all its buckets: no more pairs than classes.
+        met = placed.join(stars.select("bucket", F.col("rank").bitwiseXOR(order).alias("a")), "bucket").filter("class != a")
+        pairs = met.select("class", "root", "n", "a").distinct().join(centre, "a").filter(
+            (F.col("root") != F.col("root_a")) & _like("n", "n_a", percent))
+        pairs = pairs.groupBy(F.col("class").alias("b")).agg(F.min(F.col("a").bitwiseXOR(order)).bitwiseXOR(order).alias("a"))
+        found = _confirm(written(_promising(pairs, classes, percent)), texts, percent)
+        tested = found if tested is None else tested.union(found)
+        if found.filter("linked").isEmpty():
+            break
+        links = tested.filter("linked").select("a", "b")
+        roots = written(components(links))
+    placed = _rooted(members, roots)
+    open_ = placed.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x != y").select("bucket")
+    mixed = written(placed.join(open_, "bucket").select("class", "root").distinct())
+    if not mixed.isEmpty():
+        done = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        left = prefix_pairs(mixed, texts, percent).join(done, ["a", "b"], "left_anti")
+        found = _confirm(written(left), texts, percent)
+        if not found.filter("linked").isEmpty():
+            roots = written(components(tested.union(found).filter("linked").select("a", "b")))
 
     own = signed.join(classes.select("digest", "class"), "digest", "left").select("doc_id", "_row", "n", F.coalesce("class", "_row").alias("class"))
     if roots is not None:

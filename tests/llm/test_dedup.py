@@ -167,3 +167,51 @@ def test_deep_shallow_orders_like_sorted():
 
 def test_repeats_empty_table(make):
     assert suffixes.remove_repeats(make([], SCHEMA)).collect() == []
+
+
+def family(seed, members, shared, own, planted):
+    """Texts that share ``shared`` shingles or so and have ``own`` words of their own; ``planted`` pairs differ by few."""
+    base = [f"t{seed}x{i}" for i in range(shared)]
+    texts = [base + [f"o{seed}x{m}x{i}" for i in range(own)] for m in range(members)]
+    for k in range(planted):
+        a, b = 2 * k, 2 * k + 1
+        texts[b] = texts[a][:-planted_words(k)] + [f"p{seed}x{k}x{i}" for i in range(planted_words(k))]
+    return [" ".join(words) for words in texts]
+
+
+def planted_words(k):
+    return 4 + k % 8
+
+
+def test_near_family_just_below_the_limit(make):
+    """All of a family resemble each other at 0.80; only planted pairs are linked, and none is lost."""
+    texts = family(1, 260, 200, 25, 20) + family(2, 40, 60, 30, 5)
+    rows = [(i, t, "en", "a", 1) for i, t in enumerate(texts)]
+    check_near(make(rows), rows)
+
+
+def test_near_large_family(make):
+    texts = family(3, 3000, 200, 25, 300)
+    rows = [(i, t, "en", "a", 1) for i, t in enumerate(texts)]
+    got = {r.doc_id: r.component_id for r in neardup.group_near(make(rows)).collect()}
+    sets = [plain.shingles(t) for t in texts[:600]]
+    want = {i: i for i in range(3000)}
+    for k in range(300):
+        a, b = sets[2 * k], sets[2 * k + 1]
+        if 100 * len(a & b) >= 85 * len(a | b):
+            want[2 * k + 1] = 2 * k
+    assert got == want and sum(a != b for a, b in want.items()) > 100
+
+
+def test_rare_shingles_find_all_pairs(make):
+    """Texts made of few passages, where even the rarest shingles are in many of them."""
+    r = random.Random(8)
+    passages = [prose(500 + i, 12) for i in range(14)]
+    rows = [(i, " ".join(r.sample(passages, 8)), "en", "a", 1) for i in range(60)]
+    rows += [(100 + i, rows[i][1] + " " + prose(900 + i, 3), "en", "a", 1) for i in range(0, 60, 3)]
+    texts = make(rows).selectExpr("doc_id as _row", "text").cache()
+    mixed = texts.selectExpr("_row as class", "_row as root")
+    got = {(x.a, x.b) for x in neardup.prefix_pairs(mixed, texts, 60).collect()}
+    sets = {i: plain.shingles(t) for i, t, *_ in rows}
+    want = {(i, j) for i in sets for j in sets if i < j and 100 * len(sets[i] & sets[j]) >= 60 * len(sets[i] | sets[j])}
+    assert want <= got and len(want) > 15
