@@ -295,6 +295,6 @@ def group_near(docs: DataFrame, percent: int = 85, row: str | None = None) -> Da
         F.col("doc_id").eqNullSafe(F.col("least.doc_id")).alias("kept"), (F.col("_row") == F.col("least._row")).alias("first"))
 
 
-def drop_near(docs: DataFrame, percent: int = 85) -> DataFrame:
+def drop_near(docs: DataFrame, percent: int = 80) -> DataFrame:
     """``docs`` with all its columns and one row of each group of near-duplicates."""
     return keep_rows(docs, lambda rows, row: group_near(rows, percent, row).filter("first"))

@@ -1,5 +1,6 @@
 """Mixing, packing, chats and quality rules; the pipeline and the SQL counterparts."""
 
+import inspect
 import os
 import zlib
 
@@ -202,12 +203,13 @@ def plain_pipeline(spark, sf_dir):
     from rosterline.llm import language
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    names, prototypes = language.learn(docs)
+    vectors = language.profiles(docs)[1]
+    least = inspect.signature(language.drop_unknown).parameters["least"].default
     rows = [tuple(r) for r in docs.orderBy("doc_id").collect()]
-    rows = [r for r in rows if language.predict(r[1], names, prototypes)[1] >= 0.5]
+    rows = [r for r in rows if language.resembles(r[1], vectors, least)]
     best = {min(m)[3] for m in plain.equal_groups([r[:2] for r in rows]).values()}
     rows = [r for k, r in enumerate(rows) if k in best]
-    part, _ = plain.near_components([r[:2] for r in rows])
+    part, _ = plain.near_components([r[:2] for r in rows], 80)
     least = {}
     for k, p in enumerate(part):
         least.setdefault(p, k)
