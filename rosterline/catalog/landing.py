@@ -6,6 +6,7 @@ each page's own address.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, functions as F
@@ -16,6 +17,7 @@ from rosterline.catalog.frame import ORGS, organizations
 from rosterline.catalog.registry import query, table
 from rosterline.functions import contact
 from rosterline.operators import enrich
+from rosterline.session import shared_folder
 from rosterline.sources import documents as docs
 from rosterline.sources import web
 
@@ -383,6 +385,13 @@ def as_documents(df, schema: str, *keys: str):
     )
 
 
+def landed(spark, df, schema: str):
+    """Rows as files of JSON documents, read as such."""
+    folder = f"{shared_folder(spark)}/landed-{uuid.uuid4().hex}"
+    df.write.json(folder)
+    return docs.read_json(spark, folder, schema)
+
+
 def financial_sql(officers: str) -> str:
     return f"""
 WITH o AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders)
@@ -487,13 +496,50 @@ def facility_documents(spark, sf_dir):
         attributes.alias("attributes"),
     )
     pages = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list(facility).alias("data"))
-    documents = as_documents(pages.select(F.lit("vet_center").alias("facility_type"), "data"), docs.FACILITIES)
+    documents = landed(spark, pages.select(F.lit("vet_center").alias("facility_type"), "data"), docs.FACILITIES)
     return docs.flatten_facilities(documents).select(
         "facility_id", "facility_type", "org_name", "street_address", "city", "state", "zip_code", "phone",
         "services_offered", "va_accredited", "accreditation_details", "lat", "lng",
     )
 
 
+@query("facility_order", """
+SELECT l_orderkey || '-' || l_linenumber AS facility_id, row_number() OVER (ORDER BY l_orderkey, l_linenumber) - 1 AS place
+FROM lineitem""")
+def facility_order(spark, sf_dir):
+    """Pages in another order than their numbers: facilities still follow the pages and their places there."""
+    c = F.col
+    facility = F.struct(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("id"))
+    pages = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(
+        F.sort_array(F.collect_list(F.struct("l_linenumber", facility.alias("f")))).alias("listed"))
+    rows = pages.select(
+        c("l_orderkey").alias("_ord"), F.lit("vet_center").alias("facility_type"), F.transform("listed", lambda x: x["f"]).alias("data"))
+    text = rows.select("_ord", F.to_json(F.struct("facility_type", "data")).alias("doc")).repartition(7, F.hash("_ord"))
+    read = text.select("_ord", F.from_json("doc", docs.FACILITIES).alias("d")).select("_ord", "d.*")
+    return docs.flatten_facilities(read).select("facility_id", c("_ord").alias("place"))
+
+
+@query("resource_order", """
+SELECT name, row_number() OVER (ORDER BY n_nationkey, spot) - 1 AS place
+FROM (SELECT n_nationkey, 0 AS spot, n_name AS name FROM nation
+      UNION ALL SELECT s_nationkey, s_suppkey, s_name FROM supplier JOIN nation ON s_nationkey = n_nationkey)""")
+def resource_order(spark, sf_dir):
+    """A list per nation: itself at the top, its suppliers in two folders, one of them without a name."""
+    c = F.col
+    listed = table(spark, sf_dir, "supplier").groupBy("s_nationkey").agg(
+        F.sort_array(F.collect_list(F.struct("s_suppkey", F.struct(c("s_name").alias("name")).alias("r")))).alias("all"))
+    some = F.transform("all", lambda x: x["r"])
+    half = F.floor(F.size("all") / 2).cast("int")
+    folder = lambda name, rows: F.struct(name.cast("string").alias("name"), rows.alias("resources"))
+    rows = table(spark, sf_dir, "nation").join(listed, c("n_nationkey") == c("s_nationkey"), "left").select(
+        c("n_nationkey").cast("long").alias("_ord"), F.array(F.struct(c("n_name").alias("title"))).alias("resources"),
+        F.array(folder(F.lit("first"), F.slice(some, F.lit(1), half)),
+                folder(F.lit(None), F.slice(some, half + 1, F.size("all")))).alias("folders"))
+    text = rows.select("_ord", F.to_json(F.struct("resources", "folders")).alias("doc")).repartition(5, F.hash("_ord"))
+    read = text.select("_ord", F.from_json("doc", docs.RESOURCES).alias("d")).select("_ord", "d.*")
+    return docs.flatten_resources(read).select(c("org_name").alias("name"), c("_ord").alias("place"))
+
+
 def resource_sql(text: str) -> str:
     return rf"""
 WITH r AS (

@@ -168,6 +168,31 @@ def stage_resumed(spark, sf_dir):
     return Stages(spark, first.folder, resume=True).stage("customers", never)
 
 
+@query("stage_renewed", "SELECT c_custkey, upper(c_name) AS c_name FROM customer WHERE c_custkey % 2 = 0")
+def stage_renewed(spark, sf_dir):
+    """Two stages whose input changes between two runs: both are computed again; an unchanged third run reads them."""
+    source = new_folder(spark)
+    customers = table(spark, sf_dir, "customer").select("c_custkey", "c_name")
+    folder = new_folder(spark)
+    calls = []
+
+    def run():
+        rows = spark.read.parquet(source)
+        stages = Stages(spark, folder, resume=True)
+        first = stages.stage("copied", lambda: calls.append("copied") or rows, inputs=[rows])
+        upper = lambda: calls.append("upper") or first.withColumn("c_name", F.upper("c_name"))
+        return stages.stage("upper", upper, inputs=[first], rule="upper case")
+
+    customers.filter("c_custkey % 3 = 0").write.parquet(source)
+    run()
+    customers.filter("c_custkey % 2 = 0").write.mode("overwrite").parquet(source)
+    run()
+    renewed = run()
+    if calls != ["copied", "upper"] * 2:
+        raise AssertionError(f"stages computed: {calls}")
+    return renewed
+
+
 @query("stage_skipped", "SELECT c_custkey, c_name FROM customer")
 def stage_skipped(spark, sf_dir):
     """A skipped transform passes its input on."""

@@ -146,3 +146,26 @@ def top_rows(spark, sf_dir):
 @query("sort_rows", over_orgs("SELECT _ord, org_name, total_revenue FROM orgs"))
 def sort_rows(spark, sf_dir):
     return agg.sort_rows(organizations(spark, sf_dir).select("_ord", "org_name", "total_revenue"), "total_revenue")
+
+
+_MEDIANS = (("lineitem", "l_extendedprice"), ("lineitem", "l_quantity"), ("orders", "o_totalprice"), ("customer", "c_acctbal"))
+
+
+@query("exact_medians", " UNION ALL ".join(f"SELECT '{c}' AS field, median({c}) AS median FROM {t}" for t, c in _MEDIANS))
+def exact_medians(spark, sf_dir):
+    """Columns of many values, of few values, and of few rows."""
+    found = [(c, agg.exact_median(table(spark, sf_dir, t), c)) for t, c in _MEDIANS]
+    return agg.small_table(spark, found, "field string, median double")
+
+
+@query("distinct_keys", """
+SELECT 'l_partkey' AS field, count(DISTINCT l_partkey) AS n FROM lineitem
+UNION ALL SELECT 'l_suppkey', count(DISTINCT l_suppkey) FROM lineitem
+UNION ALL SELECT 'l_shipdate', count(DISTINCT l_shipdate) FROM lineitem""")
+def distinct_keys(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem")
+    one, *others = [
+        agg.distinct_count(rows, c, "n").select(F.lit(c).alias("field"), "n") for c in ("l_partkey", "l_suppkey", "l_shipdate")]
+    for other in others:
+        one = one.unionByName(other)
+    return one

@@ -177,8 +177,12 @@ PERSON = "array<struct<name:string,title:string,compensation:double>>"
 
 
 def people_list(value: Column, limit: int | None = None) -> Column:
-    """JSON array of people to structs, all or the first ``limit``; null when the text is not such JSON."""
-    people = F.from_json(value, PERSON)
+    """JSON array of people to structs, all or the first ``limit``; null for blank text.
+
+    Text that is no such JSON is one person of that name.
+    """
+    named = F.struct(value.alias("name"), F.lit(None).cast("string").alias("title"), F.lit(None).cast("double").alias("compensation"))
+    people = F.coalesce(F.from_json(value, PERSON), F.when(strip(value) != "", F.array(named)))
     return people if limit is None else F.slice(people, 1, limit)
 
 

@@ -9,7 +9,7 @@ from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, functions as F
 
-from rosterline.functions.blanks import is_true, let
+from rosterline.functions.blanks import is_true
 
 
 def shortest_words(words: Iterable[str]) -> list[str]:
@@ -21,6 +21,25 @@ def shortest_words(words: Iterable[str]) -> list[str]:
     return kept
 
 
+def one_pattern(words: Iterable[str]) -> str:
+    """The words as one pattern with common beginnings factored out, so a text is passed over once."""
+    tree: dict = {}
+    for word in words:
+        node = tree
+        for letter in word:
+            node = node.setdefault(letter, {})
+        node[""] = {}
+
+    def pattern(node: dict) -> str:
+        ways = [re.escape(letter) + pattern(below) for letter, below in sorted(node.items()) if letter]
+        if not ways:
+            return ""
+        found = ways[0] if len(ways) == 1 and "" not in node else f"(?:{'|'.join(ways)})"
+        return found + "?" if "" in node else found
+
+    return pattern(tree)
+
+
 def any_of(conditions: Sequence[Column]) -> Column:
     return functools.reduce(operator.or_, conditions) if conditions else F.lit(False)
 
@@ -35,12 +54,16 @@ def matches_any(
     """
     if not words:
         return F.lit(False)
-    if regex or word_boundary:
-        parts = list(words) if regex else [rf"\b{re.escape(w.strip())}\b" for w in words]
-        return is_true(value.rlike("(?i)" + "|".join(parts)))
-    # Inside a filter Spark would lower-case the text again for every word.
+    if regex:
+        return is_true(value.rlike("(?i)" + "|".join(words)))
+    if word_boundary:
+        return is_true(value.rlike(rf"(?i)\b{one_pattern(w.strip() for w in words)}\b"))
     shortest = shortest_words(words)
-    return is_true(let(F.lower(value), lambda text: any_of([F.contains(text, F.lit(w)) for w in shortest])))
+    if len(shortest) == 1:
+        return is_true(F.contains(F.lower(value), F.lit(shortest[0])))
+    # Most places of a text begin no word; the class turns them away before the branches are tried.
+    begins = "".join(sorted({re.escape(w[0]) for w in shortest}))
+    return is_true(F.lower(value).rlike(f"(?=[{begins}])" + one_pattern(shortest)))
 
 
 def any_column_matches(columns: Sequence[Column], words: Sequence[str], **options) -> Column:

@@ -108,6 +108,56 @@ def score_bands(df: DataFrame, score: str = "confidence_score") -> DataFrame:
     )
 
 
+def distinct_count(df: DataFrame, column: str, out: str) -> DataFrame:
+    """Distinct non-null values, one row: values combine in each task, then across tasks.
+
+    Several such counts in one aggregate would send every row on once per column.
+    """
+    return df.groupBy(column).agg(F.lit(1).alias("_one")).agg(F.count(column).alias(out))
+
+
+def exact_median(df: DataFrame, column: str, few: int = 10_000, accuracy: int = 10_000) -> float | None:
+    """The exact median of a numeric column without nulls and NaN, of any number of values; null for none.
+
+    Each pass brackets the wanted ranks by a quantile sketch of bounded size, counts the rows below, at
+    and between the brackets, and goes on with those between, about one in a thousand. At most ``few``
+    values reach the driver. Values tied with a bracket are settled by their count.
+    """
+    rows = df.select(F.col(column).cast("double").alias("v")).filter(F.col("v").isNotNull() & ~F.isnan("v"))
+    value, n = F.col("v"), rows.count()
+    # Ranks within ``rows``, and what was found for ranks of the whole column.
+    open_ = {r: r for r in {(n - 1) // 2, n // 2}} if n else {}
+    found: dict[int, float] = {}
+    while open_:
+        if n <= few:
+            values = [r["v"] for r in rows.sort("v").collect()]
+            found |= {r: values[k] for r, k in open_.items()}
+            break
+        slack = 4 / accuracy
+        shares = [max(0.0, min(open_.values()) / n - slack), min(1.0, (max(open_.values()) + 1) / n + slack)]
+        low, high = rows.agg(F.percentile_approx("v", shares, accuracy).alias("b")).first()["b"]
+        counts = rows.agg(
+            F.count_if(value < low), F.count_if(value == low), F.count_if((value > low) & (value < high)),
+            F.count_if((value == high) & (value > low))).first()
+        ends = [sum(counts[:k + 1]) for k in range(4)]
+        parts = [value < low, None, (value > low) & (value < high), None, value > high]
+        places: dict[int, dict[int, int]] = {}
+        for r, k in open_.items():
+            part = sum(k >= e for e in ends)
+            if part in (1, 3):
+                found[r] = low if part == 1 else high
+            else:
+                places.setdefault(part, {})[r] = k - (ends[part - 1] if part else 0)
+        if not places:
+            break
+        if len(places) > 1:
+            raise ArithmeticError("a quantile sketch missed its bound")
+        (part, open_), = places.items()
+        n = (n - ends[3]) if part == 4 else counts[part]
+        rows = rows.filter(parts[part])
+    return sum(found.values()) / len(found) if found else None
+
+
 def token_counts(df: DataFrame, column: str, delimiter: str = ";") -> DataFrame:
     """Entries of a list column with their number of occurrences."""
     entries = df.select(F.explode(split_list(F.col(column), delimiter)).alias("token"))

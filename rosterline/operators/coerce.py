@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from rosterline import fixed
 from rosterline.functions.blanks import NUMBER, to_number
@@ -37,6 +37,27 @@ def row_order(place: int = 0) -> Column:
     return placed(F.monotonically_increasing_id(), place)
 
 
+def with_room(docs: DataFrame, room: Column) -> DataFrame:
+    """``docs`` with ``_start``: the room of all documents before it by ``_ord``.
+
+    An element's place in its document plus ``_start`` numbers the elements of all documents in order,
+    however the rows lie in partitions, when no document has more elements than ``room``. Sums run
+    within a split of the scan that numbered the documents (a range of 2**33 numbers) and over the splits,
+    on two narrow columns. ``_ord`` must be the same in every evaluation, as it is for scans of written
+    files; a document whose number has changed fails.
+    """
+    narrow = docs.select("_ord", F.coalesce(room, F.lit(0)).cast("long").alias("_room")).withColumn(
+        "_split", F.shiftright("_ord", 33))
+    before = Window.orderBy("_split").rowsBetween(Window.unboundedPreceding, -1)
+    splits = narrow.groupBy("_split").agg(F.sum("_room").alias("_sum")).select(
+        "_split", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_base"))
+    within = Window.partitionBy("_split").orderBy("_ord").rowsBetween(Window.unboundedPreceding, -1)
+    starts = narrow.withColumn("_inner", F.coalesce(F.sum("_room").over(within), F.lit(0))).join(splits, "_split").select(
+        "_ord", (F.col("_base") + F.col("_inner")).alias("_start"))
+    lost = F.raise_error(F.lit("documents were numbered anew between two readings; write them first")).cast("long")
+    return docs.join(starts, "_ord", "left").withColumn("_start", F.coalesce("_start", lost))
+
+
 def empty_records(spark: SparkSession, schema: T.StructType = SCHEMA) -> DataFrame:
     """A source that delivered nothing, still typed."""
     return spark.createDataFrame([], schema)

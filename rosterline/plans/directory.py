@@ -69,18 +69,26 @@ def build_directory(
     each step is written and can be resumed from. A skipped source adds nothing; a skipped merge,
     resolution or enrichment passes on what came before it.
     """
-    def step(name: str, compute, required: bool = False, otherwise=None) -> DataFrame:
-        return compute() if stages is None else stages.stage(name, compute, required, otherwise)
-
-    base = step("base", lambda: base_records(inputs.master, run_date, rule), required=True)
-    keyed = {n: step(n, lambda n=n, d=d: source_records(d, n, run_date)) for n, d in inputs.keyed.items()}
+    def step(name: str, compute, made_from, rule="", required: bool = False, otherwise=None) -> DataFrame:
+        if stages is None:
+            return compute()
+        return stages.stage(name, compute, required, otherwise, inputs=made_from, rule=f"{name} {rule}")
+
+    base = step("base", lambda: base_records(inputs.master, run_date, rule), [inputs.master], f"{run_date} {rule}", required=True)
+    keyed = {
+        n: step(n, lambda n=n, d=d: source_records(d, n, run_date), [d], run_date) for n, d in inputs.keyed.items()}
     others = {
-        n: step(n, lambda n=n, d=d, i=i: after_base(source_records(d, n, run_date), i))
+        n: step(n, lambda n=n, d=d, i=i: after_base(source_records(d, n, run_date), i), [d], f"{run_date} {i}")
         for i, (n, d) in enumerate(inputs.unkeyed.items())
     }
-    merged = step("merged", lambda: merge_sources(base, keyed, others, key_normalizer=digits), otherwise=lambda: base)
-    resolved = step("resolved", lambda: deduplicate(merged, key_normalizer=digits), otherwise=lambda: merged)
+    merged = step(
+        "merged", lambda: merge_sources(base, keyed, others, key_normalizer=digits),
+        [base, *keyed.values(), *others.values()], f"{[*keyed]} {[*others]}", otherwise=lambda: base)
+    resolved = step(
+        "resolved", lambda: deduplicate(merged, key_normalizer=digits), [merged], otherwise=lambda: merged)
     if inputs.pages is not None and not skip_enrichment:
         unfilled = resolved
-        resolved = step("enriched", lambda: enrich_stage(unfilled, inputs.pages, state), otherwise=lambda: unfilled)
+        resolved = step(
+            "enriched", lambda: enrich_stage(unfilled, inputs.pages, state), [unfilled, inputs.pages], f"{state}",
+            otherwise=lambda: unfilled)
     return finish(normalize_records(resolved), updated_at)

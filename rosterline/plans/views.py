@@ -180,10 +180,11 @@ def _facts(df: DataFrame, section: str, facts: dict[str, Column]) -> DataFrame:
     )
 
 
-def _rows(df: DataFrame, section: str, metric: str, rank: Column, label: str, value: str) -> DataFrame:
+def _rows(df: DataFrame, section: str, metric: str, rank: Column, label: str | None, value: str) -> DataFrame:
+    name = F.lit(None) if label is None else F.col(label)
     return df.select(
         F.lit(section).alias("section"), F.lit(metric).alias("metric"), rank.alias("rank"),
-        F.col(label).cast("string").alias("label"), F.col(value).cast("double").alias("value"),
+        name.cast("string").alias("label"), F.col(value).cast("double").alias("value"),
     )
 
 
@@ -223,9 +224,8 @@ def directory_report(df: DataFrame) -> DataFrame:
     ))
     score = F.round(F.col("confidence_score"), 3)
     facts = _facts(df, "directory", {
-        "organizations": F.count(F.lit(1)), "distinct_keys": F.count_distinct("ein"),
-        "with_key": F.count("ein"), "without_key": F.count_if(F.col("ein").isNull()),
-        "states": F.count_distinct("state"), "with_phone": present("phone"),
+        "organizations": F.count(F.lit(1)), "with_key": F.count("ein"), "without_key": F.count_if(F.col("ein").isNull()),
+        "with_phone": present("phone"),
         "with_email": present("email"), "with_website": present("website"),
         "with_mission": present("mission_statement"), "with_financials": present("total_revenue"),
         "with_rating": present("charity_navigator_rating"),
@@ -234,6 +234,9 @@ def directory_report(df: DataFrame) -> DataFrame:
         "high_score": F.count_if(score > 0.7), "medium_score": F.count_if(score.between(0.4, 0.7)),
         "low_score": F.count_if(score < 0.4),
     })
+    distinct = [
+        _rows(agg.distinct_count(df, c, "n"), "directory", metric, F.lit(0), None, "n")
+        for metric, c in (("distinct_keys", "ein"), ("states", "state"))]
     grades = agg.small_table(
         df.sparkSession, [(f"{g} ({label})", g) for g, label in fixed.GRADE_LABELS.items()],
         "label string, grade string",
@@ -241,6 +244,7 @@ def directory_report(df: DataFrame) -> DataFrame:
     sources = agg.token_counts(df, "data_sources")
     return _stack([
         facts,
+        *distinct,
         _rows(agg.zero_filled_counts(df, "confidence_grade", grades, "grade"), "grades", "rows",
               F.lit(0), "label", "count"),
         _counted(df, "states", "rows", "state", 15),

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from rosterline.functions.blanks import none_if_empty, strip, to_number
 from rosterline.functions.clean import PERSON, people_json, title_case
 from rosterline.functions.contact import visible_text
-from rosterline.operators.coerce import row_order
+from rosterline.operators.coerce import row_order, with_room
 
 FINANCIALS = (
     "ein string, status int, organization struct<name:string,city:string,state:string,"
@@ -91,6 +91,20 @@ def flatten_ratings(docs: DataFrame) -> DataFrame:
     )
 
 
+def elements(docs: DataFrame, listed: Column) -> tuple[DataFrame, Column]:
+    """One row per element ``e`` of a list, with the columns of its document, and the element's number.
+
+    Numbers follow the documents' ``_ord`` and the places in the list, also after a repartition. Documents
+    without ``_ord`` give numbers in the order of the scan.
+    """
+    docs = docs.withColumn("_list", listed)
+    if "_ord" not in docs.columns:
+        return docs.select(*docs.columns, F.explode("_list").alias("e")).drop("_list"), row_order()
+    rows = with_room(docs, F.greatest(F.size("_list"), F.lit(0)))
+    rows = rows.select(*rows.columns, F.posexplode("_list").alias("_place", "e")).drop("_list")
+    return rows, F.col("_start") + F.col("_place")
+
+
 def service_name(entry: Column) -> Column:
     """A service is an object with a name, or the name itself."""
     return F.when(F.startswith(entry, F.lit("{")), F.coalesce(F.get_json_object(entry, "$.name"), F.lit(""))
@@ -98,15 +112,15 @@ def service_name(entry: Column) -> Column:
 
 
 def flatten_facilities(pages: DataFrame) -> DataFrame:
-    """One row per facility of each answer page, with its services as one text."""
-    rows = pages.select("facility_type", F.explode("data").alias("f"))
-    a = F.col("f.attributes")
+    """One row per facility of each answer page, in page order, with its services as one text."""
+    rows, number = elements(pages, F.col("data"))
+    a = F.col("e.attributes")
     place = a["address"]["physical"]
     kind = title_case(F.replace(F.col("facility_type"), F.lit("_"), F.lit(" ")))
     empty = lambda c: F.coalesce(c, F.lit(""))
     return rows.select(
-        row_order().alias("_ord"),
-        F.col("f.id").alias("facility_id"), "facility_type",
+        number.alias("_ord"),
+        F.col("e.id").alias("facility_id"), "facility_type",
         strip(empty(a["name"])).alias("org_name"),
         strip(empty(place["address_1"])).alias("street_address"),
         empty(place["address_2"]).alias("street_address_2"),
@@ -131,24 +145,23 @@ def first_text(*fields: Column) -> Column:
 
 
 def flatten_resources(docs: DataFrame, text_limit: int | None = None) -> DataFrame:
-    """Resources at the top and in folders, the folder's name as category; the unnamed go.
+    """Resources at the top and then in folders, the folder's name as category; the unnamed go.
 
     ``text_limit`` keeps only so many characters of a description.
     """
-    top = docs.select(F.lit("").alias("category"), F.explode("resources").alias("r"))
-    folders = docs.select(F.explode("folders").alias("f")).select(
-        F.coalesce("f.name", F.lit("")).alias("category"), F.col("f.resources").alias("_list")
-    )
-    foldered = folders.select("category", F.explode("_list").alias("r"))
-    r = lambda *names: first_text(*[F.col(f"r.{n}") for n in names])
+    def filed(category: Column, listed: Column) -> Column:
+        return F.coalesce(F.transform(listed, lambda r: F.struct(category.alias("category"), r.alias("r"))), F.array())
+
+    foldered = F.flatten(F.transform("folders", lambda f: filed(F.coalesce(f["name"], F.lit("")), f["resources"])))
+    rows, number = elements(docs, F.concat(filed(F.lit(""), F.col("resources")), F.coalesce(foldered, F.array())))
+    r = lambda *names: first_text(*[F.col(f"e.r.{n}") for n in names])
     about = r("description", "summary")
     about = F.when(F.contains(about, F.lit("<")), visible_text(about)).otherwise(about)
-    named = top.unionByName(foldered).filter(r("title", "name") != "")
-    return named.select(
-        row_order().alias("_ord"),
+    return rows.filter(r("title", "name") != "").select(
+        number.alias("_ord"),
         strip(r("title", "name")).alias("org_name"),
         strip(r("url", "website", "link")).alias("website"),
         strip(r("phone", "phoneNumber")).alias("phone"),
         (about if text_limit is None else F.substring(about, 1, text_limit)).alias("services_offered"),
-        F.col("category").alias("service_categories"),
+        F.col("e.category").alias("service_categories"),
     )

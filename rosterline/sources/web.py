@@ -10,7 +10,7 @@ from rosterline.functions.blanks import none_if_empty, strip
 from rosterline.functions.clean import slug_to_name, title_case
 from rosterline.functions.contact import cell_text
 from rosterline.operators.aggregate import attach, group_people
-from rosterline.operators.coerce import row_order
+from rosterline.operators.coerce import row_order, with_room
 
 DETAIL_URL = r"/resource/detail/(\d+)/(.+?)$"
 
@@ -57,12 +57,23 @@ def cell(name: str, position: int) -> Column:
     return F.coalesce(none_if_empty(named), none_if_empty(F.get(F.col("cells"), F.lit(position))), F.lit(""))
 
 
+def _ordered_rows(pages: DataFrame, keep: Sequence[str]) -> tuple[DataFrame, Column]:
+    """Table rows and their numbers: by the pages' ``_ord`` and the place in the table, also after a
+    repartition; in the order of the scan when pages have no ``_ord``."""
+    if "_ord" not in pages.columns:
+        return table_rows(pages, keep), row_order()
+    # A page has no more rows than characters; counting them would search every page twice.
+    roomy = with_room(pages.select("_ord", "html", *(c for c in keep if c not in ("_ord", "html"))), F.length("html"))
+    rows = table_rows(roomy, ["_start", *(c for c in keep if c != "_ord")])
+    return rows, F.col("_start") + F.col("row_no")
+
+
 def accredited_organizations(pages: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """The accreditation table: one row per organisation and representative."""
-    rows = table_rows(pages, keep)
+    rows, number = _ordered_rows(pages, keep)
     rep = cell("representative", 5)
     out = rows.select(
-        row_order().alias("_ord"), *keep,
+        number.alias("_ord"), *(c for c in keep if c != "_ord"),
         cell("organization_name", 0).alias("org_name"),
         cell("org_city", 3).alias("city"), cell("org_state", 4).alias("state"),
         F.lit("").alias("zip_code"), cell("org_phone", 2).alias("phone"),
@@ -75,10 +86,10 @@ def accredited_organizations(pages: DataFrame, keep: Sequence[str] = ()) -> Data
 
 def searched_organizations(pages: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """The fallback listing: name, city, state, ZIP, phone by position; it knows no representatives."""
-    rows = table_rows(pages, keep)
+    rows, number = _ordered_rows(pages, keep)
     at = lambda i: F.coalesce(F.get(F.col("cells"), F.lit(i)), F.lit(""))
     out = rows.select(
-        row_order().alias("_ord"), *keep, at(0).alias("org_name"), at(1).alias("city"), at(2).alias("state"),
+        number.alias("_ord"), *(c for c in keep if c != "_ord"), at(0).alias("org_name"), at(1).alias("city"), at(2).alias("state"),
         at(3).alias("zip_code"), at(4).alias("phone"), F.lit(None).cast("string").alias("representative_name"),
         F.lit("VA-Accredited VSO").alias("accreditation_details"),
     )

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from rosterline import fixed
 from rosterline.functions import clean
 from rosterline.functions.blanks import is_blank, is_filled, to_number
-from rosterline.functions.keywords import matches_any, shortest_words
+from rosterline.functions.keywords import matches_any, one_pattern, shortest_words
 
 
 def run(spark, column, values):
@@ -144,8 +144,9 @@ def test_currency(spark, value, text):
 
 def test_people(spark):
     many = "[" + ",".join(f'{{"name":"n{i}","title":"t"}}' for i in range(20)) + "]"
-    got = run(spark, clean.people_list, ['[{"name":"A","title":"B","compensation":1.5}]', "[]", many, "oops", None])
-    assert [None if p is None else len(p) for p in got] == [1, 0, 20, None, None]
+    got = run(spark, clean.people_list, ['[{"name":"A","title":"B","compensation":1.5}]', "[]", many, "oops", None, " "])
+    assert [None if p is None else len(p) for p in got] == [1, 0, 20, 1, None, None]
+    assert got[3][0].asDict() == {"name": "oops", "title": None, "compensation": None}
     assert len(run(spark, lambda c: clean.people_list(c, 15), [many])[0]) == 15
     assert got[0][0].asDict() == {"name": "A", "title": "B", "compensation": 1.5}
 
@@ -159,6 +160,27 @@ def test_people_json_writes_nulls(spark):
     assert df.select(clean.people_json(F.col("p"))).first()[0] == '[{"name":"A","title":"","compensation":null}]'
 
 
+def test_one_pattern_is_any_of_the_words():
+    words = ["vet", "veteran", "v.f.w", "usa", "us army", "a+b", "(x)", "é t", "vet"]
+    pattern = re.compile(one_pattern(words))
+    assert all(pattern.fullmatch(w) for w in words)
+    for text in ("ve", "veter", "vxfxw", "us", "us arm", "aab", "x", ""):
+        assert not pattern.fullmatch(text)
+    assert one_pattern([]) == "" and one_pattern(["", "a"]) == "(?:a)?" and one_pattern(["ab", "abc"]) == "ab(?:c)?"
+
+
+def test_keywords_equal_a_plain_search(spark):
+    words = ["Vet", "legion", "v.f.w", "us army", "a+b", "$5", "[x]", "café", "^top"]
+    texts = ["VETERAN", "le gion", "V.F.W. post", "vxfxw", "US Army", "us  army", "aa+b", "costs $5", "[X]", "x", "CAFÉ noir", "the ^TOP", "", None,
+             "long " * 2000 + "legion", "line\nlegion\n"]
+    got = run(spark, lambda c: matches_any(c, words), texts)
+    assert got == [t is not None and any(w.lower() in t.lower() for w in words) for t in texts]
+    assert run(spark, lambda c: matches_any(c, ["", "b"]), ["", "x", None]) == [True, True, False]
+    whole = run(spark, lambda c: matches_any(c, ["vet", " us army ", "vet clinic"], word_boundary=True), [
+        "a vet.", "veteran", "US ARMY", "us armys", "Vet Clinic", "vet clinics", None])
+    assert whole == [True, False, True, False, True, True, False]
+
+
 def test_keywords(spark):
     names = ["David's Shop", "DAV chapter", "Miami Power", "shoe store", None, "Vet clinic", "heroes"]
     assert run(spark, lambda c: matches_any(c, fixed.INCLUDE_KEYWORDS), names) == [

@@ -3,8 +3,11 @@
 import pathlib
 import re
 
+from pyspark.sql import functions as F
+
 from rosterline.catalog.frame import directory, organizations
-from rosterline.operators import aggregate, filters, merge, resolve
+from rosterline.operators import aggregate, coerce, filters, merge, resolve
+from rosterline.plans import views
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -110,3 +113,17 @@ print("removed")
     root = pathlib.Path(__file__).resolve().parent.parent
     done = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True)
     assert "removed" in done.stdout, done.stderr[-2000:]
+
+
+def test_report_counts_distinct_values_without_expand(spark):
+    text = plan(views.directory_report(directory(spark, SF_DIR)))
+    assert "gid#" not in text and "count(distinct" not in text
+
+
+def test_elements_are_numbered_on_two_columns(spark):
+    """Only the documents themselves carry their lists through a shuffle, once."""
+    pages = spark.read.parquet(f"{SF_DIR}/lineitem.parquet").selectExpr(
+        "l_orderkey * 8 + l_linenumber as _ord", "'x' as facility_type", "array(named_struct('id', l_returnflag)) as data")
+    text = plan(coerce.with_room(pages, F.size("data")))
+    wide = [line for line in exchanges(text) if "_ord" in line]
+    assert "CartesianProduct" not in text and len(wide) <= 3

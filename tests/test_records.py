@@ -2,11 +2,13 @@
 
 import itertools
 import json
+import statistics
 
 import pytest
 
 from rosterline import fixed
 from rosterline.operators import filters
+from rosterline.operators.aggregate import distinct_count, exact_median
 from rosterline.operators.classify import classify, classify_counts
 from rosterline.operators.coerce import SCHEMA, coerce_schema, empty_records, rename_first_alias, tag_source
 from rosterline.operators.score import completeness, detail_json, display_tier, finish, grade, group_rows
@@ -149,3 +151,20 @@ def test_lookup_takes_the_first(spark):
 def test_needs_enrichment(spark):
     df = records(spark, [{"website": "w"}, {"website": "w", "email": "e", "facebook_url": "f", "twitter_url": "t"}, {}])
     assert [r._ord for r in df.filter(filters.needs_enrichment()).collect()] == [0]
+
+
+@pytest.mark.parametrize("values", [
+    [], [None, float("nan")], [3.0], [3.0, 1.0], [1.0] * 500, [1.0] * 300 + [2.0] * 300, [1.0] * 299 + [2.0] * 301,
+    [float(i * i % 977) for i in range(3001)], [1e300, -1e300, 1e-300, 0.0] * 400 + [5.0], [float(2 ** (i % 900)) for i in range(2000)],
+    [1.0] * 900 + [float("inf")] * 1100, [-float("inf")] * 1000 + [7.0, 8.0] + [9.0] * 1000])
+def test_exact_median(spark, values):
+    df = spark.createDataFrame([(v,) for v in values] + [(None,)], "x double").repartition(3)
+    known = sorted(v for v in values if v is not None and v == v)
+    want = statistics.median(known) if known else None
+    for few, accuracy in ((10_000, 10_000), (20, 50), (1, 40)):
+        assert exact_median(df, "x", few, accuracy) == want
+
+
+def test_distinct_count(spark):
+    df = spark.createDataFrame([(1, "a"), (2, None), (3, "a"), (4, "b"), (5, "")], "i int, x string")
+    assert distinct_count(df, "x", "n").collect() == [(3,)] and distinct_count(df.filter("i = 0"), "x", "n").collect() == [(0,)]

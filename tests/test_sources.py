@@ -138,6 +138,35 @@ def test_resources(spark, tmp_path):
         ("One", "w", "", "Hi & you", ""), ("Two", "l", "5", "", "Jobs")]
 
 
+def test_elements_keep_their_order(spark, tmp_path):
+    """However the documents lie in partitions, and also beyond one split of numbers."""
+    facility = lambda i, k: {"id": f"{i}-{k}", "attributes": {"name": f"n{k}"}}
+    pages = [{"facility_type": "x", "data": [facility(i, k) for k in range(i % 4)] if i % 5 else None} for i in range(40)]
+    path = written(tmp_path, "many.json", *pages)
+    read = docs.read_json(spark, path, docs.FACILITIES).withColumn("_ord", F.col("_ord") * 2**30)
+    want = [f"{i}-{k}" for i in range(40) if i % 5 for k in range(i % 4)]
+    for parts in (1, 3, 8):
+        rows = docs.flatten_facilities(read.repartition(parts, F.hash("_ord"))).orderBy("_ord").collect()
+        assert [r.facility_id for r in rows] == want and [r._ord for r in rows] == list(range(len(want)))
+    assert docs.flatten_facilities(read.filter("false")).count() == 0
+    lists = [{"resources": [{"title": f"{i}a"}, {"url": "nameless"}, {"name": f"{i}b"}] if i % 3 else None,
+              "folders": [{"name": "f", "resources": [{"name": f"{i}c"}]}, {"resources": None}, {"resources": [{"name": f"{i}d"}]}] if i % 2 else None}
+             for i in range(12)]
+    read = docs.read_json(spark, written(tmp_path, "lists.json", *lists), docs.RESOURCES)
+    rows = docs.flatten_resources(read.repartition(5, F.hash("_ord"))).orderBy("_ord").collect()
+    assert [r.org_name for r in rows] == [f"{i}{x}" for i in range(12) for x in ("ab" if i % 3 else "") + ("cd" if i % 2 else "")]
+    table = "<table><tr><th>h</th></tr>" + "".join(f"<tr><td>{{0}}-{k}</td><td>c</td><td>KY</td></tr>" for k in range(3)) + "</table>"
+    html = spark.createDataFrame([(i, table.format(i)) for i in range(9)] + [(9, None), (10, "")], "_ord long, html string")
+    for read in (web.accredited_organizations, web.searched_organizations):
+        rows = read(html.repartition(4, F.hash("_ord"))).orderBy("_ord").collect()
+        assert [r.org_name for r in rows] == [f"{i}-{k}" for i in range(9) for k in range(3)]
+
+
+def test_documents_without_order_follow_the_scan(spark):
+    rows = spark.range(6).select(F.lit("x").alias("facility_type"), F.from_json(F.lit('[{"id":"a"},{"id":"b"}]'), docs.FACILITIES.split("data ")[1]).alias("data"))
+    assert [r.facility_id for r in docs.flatten_facilities(rows).orderBy("_ord").collect()] == ["a", "b"] * 6
+
+
 TABLE = """<html><table border=1><tr><th>Organization Name</th><th>POA</th><th>Org Phone</th><th>Org City</th>
 <th>Org State</th><th>Representative</th></tr><tr><td>post &amp; co</td><td>1</td><td>502</td><td>st. paul</td><td>mn</td>
 <td>Ann</td></tr><TR><TD><b>post &amp; co</b></TD><TD>2</TD><TD></TD></TR><tr><td>x</td></tr><tr><td></td><td>1</td><td>2</td></tr>
@@ -199,6 +228,38 @@ def test_views_and_report_files(spark, tmp_path):
     assert [r.value for r in spark.read.text(str(tmp_path / "report")).collect()] == ["a  m  1.000", "b  top  1  L  2.500"]
 
 
+def test_stage_follows_its_inputs(spark, tmp_path):
+    calls, source, folder = [], str(tmp_path / "in 1 é"), str(tmp_path / "stages")
+
+    def run(rule="v1", memory=1, **options):
+        options = {"resume": True} | options
+        made = stages.Stages(spark, folder, **options)
+        read = spark.read.parquet(source)
+        side = spark.range(memory).select(F.map_from_arrays(F.array("id"), F.array("id")).alias("m"))
+        first = made.stage("first", lambda: calls.append("first") or read, inputs=[read], rule=rule)
+        second = made.stage("second", lambda: calls.append("second") or first.filter("id > 1"), inputs=[first, side])
+        return second.count(), [calls.pop(0) for _ in range(len(calls))]
+
+    spark.range(4).write.parquet(source)
+    assert run() == (2, ["first", "second"]) and run() == (2, [])
+    spark.range(6).write.mode("overwrite").parquet(source)
+    assert run() == (4, ["first", "second"]) and run() == (4, [])
+    assert run(rule="v2") == (4, ["first", "second"]) and run("v2", memory=2) == (4, ["second"])
+    assert run("v2", 2, clean=True) == (4, ["first", "second"])
+    assert run("v3", 2, run=("second",)) == (4, [])
+    made = stages.Stages(spark, folder, resume=True)
+    made._note("second", stages.UNFINISHED)
+    assert run("v2", 2) == (4, ["second"])
+    read = spark.read.parquet(source)
+
+    def broken():
+        raise RuntimeError("lost")
+
+    with pytest.raises(RuntimeError):
+        made.stage("second", broken, inputs=[read])
+    assert run("v2", 2) == (4, ["second"])
+
+
 def test_stages(spark, tmp_path):
     calls = []
 
