@@ -29,23 +29,25 @@ def collapse(turns: DataFrame) -> DataFrame:
     """``conv_id, turns, digests``: the maximal conversations, turns in order.
 
     ``turns`` needs ``conv_id, turn, role, text``. Turns sort by number (null first), ties by role and
-    text; a turn repeated in all four columns counts once. Rows without a ``conv_id`` are one
-    conversation. Of identical conversations the smallest id stays (null last).
+    text; a turn repeated in all four columns counts once. Each row without a ``conv_id`` is a conversation
+    of its own, so such rows never gather. Of identical conversations the smallest id stays (null last).
     """
     one = F.struct("turn", "role", "text")
-    chats = turns.groupBy("conv_id").agg(F.sort_array(F.collect_set(one)).alias("turns")).withColumn(
+    lone = F.when(F.col("conv_id").isNull(), F.monotonically_increasing_id())
+    chats = turns.select("conv_id", "turn", "role", "text", lone.alias("lone")).groupBy("conv_id", "lone").agg(F.sort_array(F.collect_set(one)).alias("turns")).withColumn(
         "digests",
         F.aggregate(
             "turns", F.array(F.lit("")),
             lambda done, t: F.concat(done, F.array(turn_digest(F.element_at(done, -1), t["role"], t["text"])))))
-    chats = written(chats.select("conv_id", "turns", F.slice("digests", 2, F.size("digests") - 1).alias("digests")))
+    chats = written(chats.select("conv_id", "lone", "turns", F.slice("digests", 2, F.size("digests") - 1).alias("digests")))
     last = F.element_at("digests", -1)
     inner = chats.select(F.explode(F.slice("digests", 1, F.size("digests") - 1)).alias("last")).distinct()
     keyed = chats.withColumn("last", last)
-    first = keyed.groupBy("last").agg(F.min(F.struct(F.col("conv_id").isNull(), F.col("conv_id"))).alias("first"))
-    whole = first.join(inner, "last", "left_anti").select("first.conv_id")
-    return chats.join(
-        whole.select(F.col("conv_id").alias("_kept")), F.col("conv_id").eqNullSafe(F.col("_kept")), "left_semi")
+    first = keyed.groupBy("last").agg(
+        F.min(F.struct(F.col("conv_id").isNull().alias("none"), "conv_id", "lone")).alias("first"))
+    whole = first.join(inner, "last", "left_anti").select(F.col("first.conv_id").alias("_kept"), F.col("first.lone").alias("_lone"))
+    same = F.col("conv_id").eqNullSafe(F.col("_kept")) & F.col("lone").eqNullSafe(F.col("_lone"))
+    return chats.join(whole, same, "left_semi").drop("lone")
 
 
 def render(turns: DataFrame, marks: tuple[str, str, str] = TURN) -> DataFrame:

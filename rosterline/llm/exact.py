@@ -5,7 +5,8 @@
    text that fills a third of the corpus leaves a task as one entry.
 2. The directory grows by doubling: the bits of the key that name a bucket are extended by one,
    for overfull buckets only, until every bucket fits or holds a single key. It is computed from
-   byte counts per key prefix and holds at most about two buckets per ``bucket_bytes`` of text.
+   byte counts per key prefix. Buckets grow with the input beyond ``MOST`` of them, so the directory and
+   the counts behind it stay below ``8 * MOST`` rows whatever the input; owners stream their buckets.
 3. Owner tasks get whole key ranges (buckets), sorted by key. Entries of one key form a chain and
    are compared byte by byte, so a key collision never joins different texts. Only the chain of the
    current key is in memory. The settled index is written to the shared folder.
@@ -40,6 +41,7 @@ _SETTLED = pa.schema([
 ])
 # Keys that agree in so many bits stay in one bucket; its chains are told apart by key anyway.
 DEEPEST = 62
+MOST = 1 << 14
 
 
 def _better(a: tuple, b: tuple) -> bool:
@@ -104,10 +106,11 @@ def _combine(held_bytes: int, key_bits: int):
     return run
 
 
-def directory(entries: DataFrame, bucket_bytes: int) -> list[tuple[int, int]]:
+def directory(entries: DataFrame, bucket_bytes: int, most: int = MOST) -> list[tuple[int, int]]:
     """The buckets as (depth, prefix), found by doubling while a bucket is overfull.
 
-    A bucket that holds one key only is not split: its chain is walked in a stream.
+    A bucket that holds one key only is not split: its chain is walked in a stream. ``bucket_bytes`` is
+    raised to the ``most``-th part of all bytes, so that at most ``8 * most`` counts come to the driver at once.
     """
     size = F.length("body") + 64
 
@@ -118,6 +121,7 @@ def directory(entries: DataFrame, bucket_bytes: int) -> list[tuple[int, int]]:
             F.sum(size).alias("bytes"), (F.min("key") == F.max("key")).alias("one"))
 
     whole = entries.agg(F.sum(size).alias("bytes")).first()["bytes"] or 0
+    bucket_bytes = max(bucket_bytes, -(-whole // most))
     if whole <= bucket_bytes:
         return [(0, 0)]
     depth = min(40, int(np.ceil(np.log2(whole / bucket_bytes))) + 2)
@@ -149,7 +153,9 @@ def directory(entries: DataFrame, bucket_bytes: int) -> list[tuple[int, int]]:
             return sorted(leaves, key=lambda x: x[1] << (64 - x[0]))
         prefix = F.shiftrightunsigned(F.col("key").bitwiseXOR(F.lit(-(2**63))), 64 - depth)
         rows = rows.filter(prefix.isin(split))
-        top, above, depth = depth, split, min(DEEPEST, depth + 8)
+        # Fewer than ``most`` prefixes are overfull; the fewer, the more bits are looked at in one pass.
+        step = max(1, min(8, (8 * most // len(split)).bit_length() - 1))
+        top, above, depth = depth, split, min(DEEPEST, depth + step)
 
 
 def _with_bucket(buckets: list[tuple[int, int]]):

@@ -48,6 +48,25 @@ def order_key() -> Column:
     return F.struct(F.col("source").isNull(), F.col("source")).alias("source")
 
 
+def spread(sized: DataFrame, ranges: int, range_rows: int) -> DataFrame:
+    """``sized`` with the ``range`` of each key; a key of more rows than a range holds gets one per row.
+
+    Ranges of hashed keys are equally full unless many rows share a key: missing or repeated ids. Only
+    ranges far above the mean are searched for such keys, and a key is looked for among their rows.
+    """
+    part = F.floor(F.conv(F.substring("key", 1, 8), 16, 10).cast("long") * ranges / 2**32).cast("long")
+    ranged = sized.withColumn("range", part)
+    full = ranged.groupBy("range").agg(F.count("*").alias("n")).filter(F.col("n") > 4 * range_rows).select("range")
+    if full.isEmpty():
+        return ranged
+    hot = ranged.join(full, "range", "left_semi").groupBy("key").agg(F.count("*").alias("n")).filter(
+        F.col("n") > range_rows).select(F.col("key").alias("_hot"))
+    own = F.md5(F.concat_ws(":", "key", F.col("_row").cast("string")).cast("binary"))
+    keyed = sized.join(hot, F.col("key") == F.col("_hot"), "left").withColumn(
+        "key", F.when(F.col("_hot").isNull(), F.col("key")).otherwise(own)).drop("_hot")
+    return written(keyed.withColumn("range", part))
+
+
 def mix(
     docs: DataFrame, weights=WEIGHTS, share: float = 1.5, cap: float = 2.0, seed: str = "mix",
     range_rows: int = 10_000, row: str | None = None,
@@ -57,13 +76,14 @@ def mix(
     ``docs`` needs ``doc_id, text, source`` (``row``: see ``rows_of``); other columns are ignored. Returns
     one row per input row: ``doc_id, _row, size, source_size, target, taken``. A source takes
     ``floor(target)`` words: whole passes over the source, then its documents in key order, the last
-    one in part. Null text has no words, a null source is a source of its own, null ids share a key,
-    repeated rows are taken one after the other. An empty table gives an empty result.
+    one in part. Null text has no words, a null source is a source of its own. Null ids share a key, and so
+    do repeated ones; rows of a key that has more than ``range_rows`` get a key each. An empty table gives an
+    empty result.
     """
     key = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("binary"))
     sized = written(rows_of(docs, "doc_id", "source", words().alias("size"), key.alias("key"), row=row))
     ranges = max(1, -(-sized.count() // range_rows))
-    sized = sized.withColumn("range", F.floor(F.conv(F.substring("key", 1, 8), 16, 10).cast("long") * ranges / 2**32).cast("long"))
+    sized = spread(sized, ranges, range_rows)
     per_range = sized.groupBy("source", "range").agg(F.sum("size").alias("range_size"))
     per_source = per_range.groupBy("source").agg(F.sum("range_size").alias("source_size"))
     earlier = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)

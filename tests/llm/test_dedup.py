@@ -1,5 +1,6 @@
 """Exact, near and substring deduplication against brute force."""
 
+import bisect
 import random
 
 import numpy as np
@@ -49,6 +50,26 @@ def test_directory_doubles_only_overfull_buckets(spark):
     assert max(d for d, _ in buckets) <= 8 < len(buckets)
 
 
+def test_directory_is_bounded(spark, monkeypatch):
+    """Buckets grow with the input, and no count is larger than stated."""
+    r = random.Random(3)
+    keys = [r.getrandbits(64) for _ in range(5000)] + [7 << 40] * 500 + [(7 << 40) + 8 * k for k in range(40)]
+    entries = spark.createDataFrame([(k - 2**63, bytearray(36)) for k in keys], "key long, body binary").cache()
+    collected = []
+    real = type(entries).collect
+    monkeypatch.setattr(type(entries), "collect", lambda df: collected.append(0) or (lambda rows: collected.append(len(rows)) or rows)(real(df)))
+    for most in (4, 16, 64):
+        buckets = exact.directory(entries, 100, most)
+        assert sum(2.0**-d for d, _ in buckets) == 1 and max(collected) <= 8 * most
+        collected.clear()
+        lower = sorted(p << (64 - d) for d, p in buckets)
+        held = {}
+        for k in keys:
+            held.setdefault(bisect.bisect_right(lower, k), []).append(k)
+        limit = max(100, -(-len(keys) * 100 // most))
+        assert all(len(ks) * 100 <= limit or len(set(ks)) == 1 for ks in held.values())
+
+
 def test_exact_empty_table_and_clashing_names(make, spark):
     assert exact.group_equal(make([])).collect() == []
     rows = [(1, "x", 5, 6, 7), (2, " x", 5, 6, 7)]

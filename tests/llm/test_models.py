@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from rosterline.llm import language, quality, toxicity
 from rosterline.llm.queries import QUERIES
+from tests.llm import plain
 from tests.llm.conftest import prose
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.01").replace("sf0.001", "sf0.01")
@@ -48,6 +49,18 @@ def test_language_rejects_what_no_row_teaches(spark, make):
     assert len(kept & clean) >= 0.995 * len(clean)
 
 
+def test_language_equals_plain_version(spark, make, odd_rows):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").filter("n_chars < 400").orderBy("doc_id").limit(60)
+    rows = [tuple(r) for r in docs.select("doc_id", "text", "lang", "source", "n_chars").collect()]
+    rows += [r if len(r[1] or "") < 2000 else (r[0], r[1][:500], *r[2:]) for r in odd_rows]
+    letters = np.random.default_rng(20240229).integers(0, 2, (language.ALPHABET, language.DIMENSIONS), np.int8) * 2 - 1
+    want = plain.languages([r[:3] for r in rows], letters.tolist(), lambda c: int(language.symbols()[ord(c)]))
+    got = language.identify(make(rows, files=1)).collect()
+    assert len(got) == len(rows) and len({w[0] for w in want}) > 3
+    for r, row, (name, cosine) in zip(got, rows, want):
+        assert r.doc_id == row[0] and abs(r.score - (1 + cosine) / 2) < 1e-5 and r.lang_pred == name
+
+
 def test_language_without_labels(make):
     docs = make([(1, "some text", None, "a", 1), (2, "12", None, "a", 1)])
     assert {r.lang_pred for r in language.identify(docs).collect()} == {"und"}
@@ -129,6 +142,19 @@ def test_quality_held_out(spark):
     assert right > 0.97 and good > 0.99
 
 
+def test_quality_equals_plain_version(spark, make, odd_rows):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").filter("n_chars < 1500").orderBy("doc_id").limit(150)
+    rows = [tuple(r) for r in docs.select("doc_id", "text", "lang", "source", "n_chars").collect()]
+    known = {r[0] for r in rows}
+    rows += [r for r in odd_rows if r[0] not in known and r[0] != 2]
+    labels = [tuple(r) for r in spark.read.parquet(f"{SF}/labels.parquet").select("doc_id", "quality", "toxic").collect() if r[0] in known]
+    labels += [(labels[0][0], 0, 0), (labels[0][0], 1, 0), (None, 1, 1), (10**9, 1, 0), (rows[1][0], None, None)]
+    want = plain.quality_scores([r[:2] for r in rows], [x[:2] for x in labels], quality.BITS)
+    got = quality.classify(make(rows, files=1), make(labels, "doc_id long, quality int, toxic int")).collect()
+    assert [r.doc_id for r in got] == [r[0] for r in rows] and max(want) - min(want) > 0.3
+    assert max(abs(r.score - w) for r, w in zip(got, want)) < 1e-4
+
+
 @pytest.mark.parametrize("classify", [quality.classify, toxicity.classify])
 def test_classifiers_odd_rows(make, odd_rows, classify):
     docs = make(odd_rows)

@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from rosterline.llm import chats, mixing, outliers, packing
@@ -62,6 +63,26 @@ def test_mixing_odd_rows(make, odd_rows):
     assert sum(len(plain.WORD.findall(r.text)) for r in out.collect()) == sum(r.taken for r in got)
 
 
+def test_mixing_spreads_missing_and_repeated_ids(make):
+    """No range, and so no window's task, holds more than a few times its share of rows."""
+    rows = [(None, f"a b {i}", "en", "x", 1) for i in range(400)] + [(7, "c d e", "en", "x", 1)] * 300
+    rows += [(i, "one", "en", "x" if i % 2 else "y", 1) for i in range(1000, 1300)]
+    docs = make(rows)
+    sized = docs.select("doc_id", "source", F.length("text").alias("size"), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("n")).cast("binary")).alias("key"),
+                        F.monotonically_increasing_id().alias("_row"))
+    ranged = mixing.spread(sized, 50, 20)
+    assert ranged.count() == len(rows) and max(r["count"] for r in ranged.groupBy("range").count().collect()) <= 80
+    assert ranged.select("_row").distinct().count() == len(rows)
+    calm = sized.filter("doc_id >= 1000")
+    assert mixing.spread(calm, 15, 20).drop("range").exceptAll(calm).isEmpty()
+    got = mixing.mix(docs, range_rows=20).collect()
+    again = mixing.mix(docs, range_rows=20).collect()
+    assert len(got) == len(rows) and sorted(map(repr, got)) == sorted(map(repr, again))
+    assert all(0 <= r.taken <= 2 * r.size for r in got)
+    for target in {r.target for r in got}:
+        assert sum(r.taken for r in got if r.target == target) == int(target + 1e-9)
+
+
 def test_mixing_empty_and_wordless(make):
     assert mixing.mix(make([])).collect() == [] and mixing.take(make([])).collect() == []
     got = mixing.mix(make([(1, "", "en", "a", 0), (2, None, "en", None, 0)])).collect()
@@ -131,6 +152,18 @@ def test_chats(make):
     assert chats.render(make([], schema)).collect() == []
 
 
+def test_chats_without_id_stay_apart(make):
+    """Rows without an id are conversations of one turn: equal ones collapse, none mix, none gather."""
+    schema = "conv_id long, turn long, role string, text string"
+    rows = [(None, 1, "user", "yes"), (None, None, "user", "yes"), (None, 2, "user", "no"), (None, None, None, None)]
+    rows += [(None, i, "user", f"t{i % 50}") for i in range(300)]
+    rows += [(1, 1, "user", "no"), (1, 2, "user", "x"), (2, 1, "user", "t3")]
+    got = chats.render(make(rows, schema)).collect()
+    # "no" begins conversation 1, and "t3" is conversation 2.
+    want = [(1, 2, "no"), (2, 1, "t3"), (None, 1, "yes"), (None, 1, "")] + [(None, 1, f"t{i}") for i in range(50) if i != 3]
+    assert sorted((repr(r.conv_id), r.n_turns, r.text.split("\n")[1]) for r in got) == sorted((repr(i), n, t) for i, n, t in want)
+
+
 def test_quality_counts(make, odd_rows):
     rows = [*odd_rows, *((200 + i, " ".join(prose(i % 3, 12 + i).split() * (1 + i % 3)) + "\n# x | <b>\n# x | <b>\n \n", "en", "a", 1) for i in range(60))]
     got = outliers.judge(make(rows)).collect()
