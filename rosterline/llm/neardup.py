@@ -249,24 +249,32 @@ def group_near(docs: DataFrame, percent: int = 85, row: str | None = None) -> Da
         signed.filter("n > 0").groupBy("digest").agg(F.min(F.struct("_row", "bands", "n", "short")).alias("c"))
         .select("digest", F.col("c._row").alias("class"), "c.bands", "c.n", "c.short"))
     exploded = classes.select("class", "n", F.explode("bands").alias("bucket"))
-    shared = exploded.groupBy("bucket").agg(F.count("*").alias("members")).filter("members > 1").select("bucket")
-    members = written(exploded.join(shared, "bucket").select("bucket", "class", "n"))
+    shared = exploded.groupBy("bucket").agg(F.count("*").alias("members")).filter("members > 1")
+    # A text that meets many others is likely to be the one they are copies of.
+    degrees = exploded.join(shared, "bucket").groupBy("class").agg(F.sum("members").alias("degree"))
+    members = written(exploded.join(shared.select("bucket"), "bucket").join(degrees, "class").select("bucket", "class", "n", "degree"))
     texts = written(rows.select("_row", "text").join(members.select(F.col("class").alias("_row")).distinct(), "_row", "left_semi"))
 
     links = tested = roots = None
     for turn in range(TURNS):
-        # Another order of the rows each time, so that buckets get other centres.
+        # The texts that meet most others come first; then another order each time, so that buckets get other centres.
         order = F.lit(0 if turn == 0 else int(mix64(np.array([turn], np.uint64))[0] >> np.uint64(1)))
         placed = _rooted(members, roots)
+        if turn == 0:
+            placed = placed.withColumn("first", -F.col("degree"))
+        else:
+            placed = placed.withColumn("first", F.lit(0).cast("long"))
+        rank = F.struct("first", F.col("class").bitwiseXOR(order).alias("order"))
         stars = placed.groupBy("bucket").agg(
-            F.min(F.col("class").bitwiseXOR(order)).alias("rank"), F.min("root").alias("x"), F.max("root").alias("y")).filter("x != y")
+            F.min(rank).alias("rank"), F.min("root").alias("x"), F.max("root").alias("y")).filter("x != y")
         centre = _rooted(classes.select(F.col("class"), "n"), roots).select(
             F.col("class").alias("a"), F.col("root").alias("root_a"), F.col("n").alias("n_a"))
         # One centre per class and round, the first of all its buckets: no more pairs than classes.
-        met = placed.join(stars.select("bucket", F.col("rank").bitwiseXOR(order).alias("a")), "bucket").filter("class != a")
-        pairs = met.select("class", "root", "n", "a").distinct().join(centre, "a").filter(
+        stars = stars.select("bucket", "rank", F.col("rank.order").bitwiseXOR(order).alias("a"))
+        met = placed.join(stars, "bucket").filter("class != a")
+        pairs = met.select("class", "root", "n", "rank", "a").distinct().join(centre, "a").filter(
             (F.col("root") != F.col("root_a")) & _like("n", "n_a", percent))
-        pairs = pairs.groupBy(F.col("class").alias("b")).agg(F.min(F.col("a").bitwiseXOR(order)).bitwiseXOR(order).alias("a"))
+        pairs = pairs.groupBy(F.col("class").alias("b")).agg(F.min(F.struct("rank", "a"))["a"].alias("a"))
         found = _confirm(written(_promising(pairs, classes, percent)), texts, percent)
         tested = found if tested is None else tested.union(found)
         if found.filter("linked").isEmpty():
