@@ -264,17 +264,14 @@ def group_near(docs: DataFrame, percent: int = 85, row: str | None = None) -> Da
             placed = placed.withColumn("first", -F.col("degree"))
         else:
             placed = placed.withColumn("first", F.lit(0).cast("long"))
-        rank = F.struct("first", F.col("class").bitwiseXOR(order).alias("order"))
+        # The centre's root and size ride along, so that texts need no join with their centres.
+        rank = F.struct("first", F.col("class").bitwiseXOR(order).alias("order"), "root", "n")
         stars = placed.groupBy("bucket").agg(
-            F.min(rank).alias("rank"), F.min("root").alias("x"), F.max("root").alias("y")).filter("x != y")
-        centre = _rooted(classes.select(F.col("class"), "n"), roots).select(
-            F.col("class").alias("a"), F.col("root").alias("root_a"), F.col("n").alias("n_a"))
+            F.min(rank).alias("rank"), F.min("root").alias("x"), F.max("root").alias("y")).filter("x != y").select("bucket", "rank")
         # One centre per class and round, the first of all its buckets: no more pairs than classes.
-        stars = stars.select("bucket", "rank", F.col("rank.order").bitwiseXOR(order).alias("a"))
-        met = placed.join(stars, "bucket").filter("class != a")
-        pairs = met.select("class", "root", "n", "rank", "a").distinct().join(centre, "a").filter(
-            (F.col("root") != F.col("root_a")) & _like("n", "n_a", percent))
-        pairs = pairs.groupBy(F.col("class").alias("b")).agg(F.min(F.struct("rank", "a"))["a"].alias("a"))
+        pairs = placed.join(stars, "bucket").filter(
+            (F.col("root") != F.col("rank.root")) & _like("n", "rank.n", percent)).groupBy(F.col("class").alias("b")).agg(
+            F.min("rank")["order"].bitwiseXOR(order).alias("a"))
         found = _confirm(written(_promising(pairs, classes, percent)), texts, percent)
         tested = found if tested is None else tested.union(found)
         if found.filter("linked").isEmpty():
