@@ -250,20 +250,20 @@ def group_near(docs: DataFrame, percent: int = 85, row: str | None = None) -> Da
         .select("digest", F.col("c._row").alias("class"), "c.bands", "c.n", "c.short"))
     exploded = classes.select("class", "n", F.explode("bands").alias("bucket"))
     shared = exploded.groupBy("bucket").agg(F.count("*").alias("members")).filter("members > 1")
-    # A text that meets many others is likely to be the one they are copies of.
-    degrees = exploded.join(shared, "bucket").groupBy("class").agg(F.sum("members").alias("degree"))
-    members = written(exploded.join(shared.select("bucket"), "bucket").join(degrees, "class").select("bucket", "class", "n", "degree"))
+    members = written(exploded.join(shared, "bucket").select("bucket", "class", "n", "members"))
     texts = written(rows.select("_row", "text").join(members.select(F.col("class").alias("_row")).distinct(), "_row", "left_semi"))
 
     links = tested = roots = None
     for turn in range(TURNS):
         # The texts that meet most others come first; then another order each time, so that buckets get other centres.
         order = F.lit(0 if turn == 0 else int(mix64(np.array([turn], np.uint64))[0] >> np.uint64(1)))
-        placed = _rooted(members, roots)
         if turn == 0:
-            placed = placed.withColumn("first", -F.col("degree"))
+            # A text that meets many others is likely to be the one they are copies of. A cell holds its few buckets.
+            ranked = members.groupBy("class", "n").agg((-F.sum("members")).alias("first"), F.collect_list("bucket").alias("buckets"))
+            ranked = ranked.select("class", "n", "first", F.explode("buckets").alias("bucket"))
         else:
-            placed = placed.withColumn("first", F.lit(0).cast("long"))
+            ranked = members.withColumn("first", F.lit(0).cast("long"))
+        placed = _rooted(ranked, roots)
         # The centre's root and size ride along, so that texts need no join with their centres.
         rank = F.struct("first", F.col("class").bitwiseXOR(order).alias("order"), "root", "n")
         stars = placed.groupBy("bucket").agg(
