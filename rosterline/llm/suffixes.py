@@ -11,7 +11,11 @@ partner are sorted, and each is sent once:
    bucket, equal segments of a block once. The owner sorts segments, keeps the first of equal
    ones, and sorts the windows (suffixes cut at 100 bytes) of segments that share a gram but differ.
    Within equal windows all but the first are repeats.
-4. Repeats go back to their documents, where the covered bytes are removed.
+4. A bucket with more segments than one owner should hold is not given to one: its windows are
+   counted by hash, and those that may occur twice are grouped by their bytes over all tasks, each task
+   combining its own first. So a passage that any number of documents share, each with other
+   neighbours, is no task's alone.
+5. Repeats go back to their documents, where the covered bytes are removed.
 
 Sorting is deep-shallow: the first words are sorted by multikey passes over groups of equal prefixes;
 groups that stay equal beyond that are ordered by blind tries, which skip the common prefix and branch
@@ -44,6 +48,8 @@ BLOCK = 1 << 18
 SLICE = 2_000
 _PLACE_BITS = 21
 CHUNK_ROWS = 256
+# A longer text is a chunk of its own, so that a chunk has 64 MB or one text.
+CHUNK_TEXT = 1 << 18
 # A document without an id comes after all others.
 NO_ID = 2**63 - 1
 
@@ -303,7 +309,7 @@ def _segments(bits: int):
             np.frombuffer(t, "<u4").astype(np.uint64) | np.uint64(b << 32)
             for b, t in zip(replies["bucket"].to_pylist(), replies["tags"].to_pylist()))]))
         chunk = docs["chunk"][0].as_py() if docs.num_rows else -1
-        out: list[tuple[int, bytes]] = []
+        out: list[tuple[int, int, bytes]] = []
         made: list[tuple[np.ndarray, np.ndarray]] = []
         for block, starts, docs_, rows, offsets in blocks(_docs(docs.sort_by("_row"))) if len(known) else ():
             ids = block.hash >> np.uint64(32 - bits)
@@ -328,7 +334,7 @@ def _segments(bits: int):
                     & (block.segments(low[i], length[i]) == block.segments(low[j], length[j])).all(axis=1))
             repeat, send = by[same], np.sort(by[~same])
             if len(repeat):
-                out.append((-1, packed(_spans(row[repeat], pos[repeat], pos[repeat] + length[repeat]))))
+                out.append((-1, 0, packed(_spans(row[repeat], pos[repeat], pos[repeat] + length[repeat]))))
             records = np.empty(len(send), RECORD)
             records["doc"], records["row"], records["pos"] = doc[send], row[send], pos[send]
             records["tag"], records["at"], records["length"] = ids[send].astype(np.uint32), at[send] - low[send], length[send]
@@ -339,10 +345,10 @@ def _segments(bits: int):
             by = np.argsort(bucket, kind="stable")
             cuts = np.flatnonzero(np.append(True, bucket[by][1:] != bucket[by][:-1]))
             for a, b in zip(cuts, np.append(cuts[1:], len(by))):
-                out.append((int(bucket[by[a]]), packed(records[by[a:b]])))
+                out.append((int(bucket[by[a]]), int(b - a), packed(records[by[a:b]])))
         return pa.table({
-            "chunk": pa.array([chunk] * len(out), pa.int64()), "bucket": pa.array([b for b, _ in out], pa.int64()),
-            "blob": pa.array([x for _, x in out], pa.binary())})
+            "chunk": pa.array([chunk] * len(out), pa.int64()), "bucket": pa.array([b for b, _, _ in out], pa.int64()),
+            "n": pa.array([n for _, n, _ in out], pa.int64()), "blob": pa.array([x for _, _, x in out], pa.binary())})
 
     return run
 
@@ -396,6 +402,72 @@ def _own(table: pa.Table) -> pa.Table:
         "blob": pa.array([packed(spans[a:b]) for a, b in zip(first, [*first[1:], len(chunk)])], pa.binary())})
 
 
+def _windows(records: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Every window of the segments, in parts: record numbers, places in the records, bytes as rows."""
+    at, length = records["at"].astype(np.int64), records["length"].astype(np.int64)
+    for distance in range(WINDOW):
+        offset = at - distance
+        has = np.flatnonzero((offset >= 0) & (offset <= length - LENGTH))
+        for a in range(0, len(has), SLICE):
+            number = has[a:a + SLICE]
+            yield number, offset[number], np.take_along_axis(records["bytes"][number], offset[number, None] + np.arange(LENGTH), axis=1)
+
+
+def _window_keys(rows: np.ndarray) -> np.ndarray:
+    """A hash of each byte row."""
+    keys = np.full(len(rows), LENGTH, np.uint64)
+    for word in as_words(rows, np.zeros(len(rows))).T:
+        keys = mix64(keys * np.uint64(0x9E3779B97F4A7C15) + word)
+    return keys
+
+
+def _offer_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Step 4: the window hashes of each blob, each once, with its count there."""
+    for batch in batches:
+        for chunk, bucket, blob in zip(*(column(batch, c).to_pylist() for c in ("chunk", "bucket", "blob"))):
+            keys, counts = np.unique(
+                np.concatenate([_window_keys(rows) for *_, rows in _windows(unpacked([blob], RECORD))]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([
+                pa.array(np.full(len(keys), chunk)), pa.array(np.full(len(keys), bucket)), pa.array(keys.view(np.int64)), pa.array(counts),
+            ], names=["chunk", "bucket", "key", "n"])
+
+
+def _shared_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Step 4: the windows of each blob whose hashes are among its ``keys``, with their bytes."""
+    for batch in batches:
+        for chunk, blob, keys in zip(*(column(batch, c).to_pylist() for c in ("chunk", "blob", "keys"))):
+            records, known = unpacked([blob], RECORD), np.array(keys, np.int64)
+            for number, offset, rows in _windows(records):
+                take = np.isin(_window_keys(rows).view(np.int64), known)
+                own = records[number[take]]
+                if len(own):
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array(np.full(len(own), chunk)), pa.array(own["doc"]), pa.array(own["row"]),
+                        pa.array(own["pos"] + offset[take]), pa.array([r.tobytes() for r in rows[take]], pa.binary()),
+                    ], names=["chunk", "doc", "row", "pos", "bytes"])
+
+
+def _gathered(table: pa.Table) -> pa.Table:
+    """The repeated windows of a chunk as spans."""
+    pos = table["pos"].to_numpy()
+    return pa.table({
+        "chunk": table["chunk"].slice(0, 1), "blob": pa.array([packed(_spans(table["row"].to_numpy(), pos, pos + LENGTH))], pa.binary())})
+
+
+def spread_repeats(segments: DataFrame) -> DataFrame:
+    """Step 4: ``chunk, blob`` of the repeats among the windows of ``segments``, which are whole buckets."""
+    offers = written(segments.mapInArrow(_offer_windows, "chunk long, bucket long, key long, n long"))
+    met = offers.groupBy("key").agg(F.sum("n").alias("times")).filter("times > 1").select("key")
+    # A cell holds windows of one chunk.
+    keys = offers.join(met, "key").groupBy("chunk", "bucket").agg(F.collect_list("key").alias("keys"))
+    found = written(segments.join(keys, ["chunk", "bucket"]).select("chunk", "blob", "keys").mapInArrow(
+        _shared_windows, "chunk long, doc long, row long, pos long, bytes binary"))
+    place = F.struct("doc", "row", "pos")
+    first = found.groupBy("bytes").agg(F.min(place).alias("first"))
+    late = found.join(first, "bytes").filter(place != F.col("first"))
+    return late.select("chunk", "row", "pos").groupBy("chunk").applyInArrow(_gathered, "chunk long, blob binary")
+
+
 def cut(text: bytes, start: np.ndarray, end: np.ndarray) -> tuple[bytes, int, int]:
     """The text without the covered bytes, how many they are, and in how many runs."""
     if not len(start):
@@ -426,26 +498,33 @@ def _remove(with_text: bool):
     return run
 
 
-def remove_repeats(docs: DataFrame, bucket_anchors: int = 100_000, with_text: bool = True) -> DataFrame:
+def remove_repeats(
+    docs: DataFrame, bucket_anchors: int = 100_000, with_text: bool = True, owner_segments: int = 200_000,
+) -> DataFrame:
     """Texts as UTF-8 bytes without each byte of a 100-byte string that also starts earlier.
 
     ``docs`` needs ``doc_id`` and ``text``; other columns are ignored. Earlier means a smaller id (null
     last), then a smaller row number, then a smaller offset. Returns one row per input row: ``doc_id,
     _row, n_bytes, n_removed, n_spans, kept_sha256`` and, if asked for, ``kept`` (the bytes). Null text is
     empty; texts under 100 bytes stay whole. Repeated rows: the first stays, the others lose what is
-    100 bytes or longer. An empty table gives an empty result.
+    100 bytes or longer. An empty table gives an empty result. Buckets of more than ``owner_segments``
+    segments are spread over tasks by window; the result is the same.
     """
     rows = rows_of(docs, long_id(), whole_text().alias("text"))
-    rows = rows.withColumn("chunk", F.expr(f"_row div {CHUNK_ROWS}"))
+    rows = rows.withColumn("chunk", F.expr(f"if(octet_length(text) > {CHUNK_TEXT}, -2 - _row, _row div {CHUNK_ROWS})"))
     anchors = total(rows, F.octet_length("text")) * 2 / (WINDOW + 1)
     bits = min(24, max(0, math.ceil(math.log2(max(1, anchors / bucket_anchors)))))
     offers = rows.mapInArrow(_offer(bits), "bucket long, chunk long, tags binary, twice binary")
     replies = offers.groupBy("bucket").applyInArrow(_repeated, "chunk long, bucket long, tags binary")
     segments = written(
         rows.groupBy("chunk").cogroup(replies.groupBy("chunk"))
-        .applyInArrow(_segments(bits), "chunk long, bucket long, blob binary"))
-    spans = segments.filter("bucket >= 0").groupBy("bucket").applyInArrow(_own, "chunk long, blob binary").union(
-        segments.filter("bucket < 0").select("chunk", "blob"))
+        .applyInArrow(_segments(bits), "chunk long, bucket long, n long, blob binary"))
+    hot = written(segments.groupBy("bucket").agg(F.sum("n").alias("n")).filter(f"n > {owner_segments}").select("bucket"))
+    owned, spans = segments.filter("bucket >= 0"), segments.filter("bucket < 0").select("chunk", "blob")
+    if not hot.isEmpty():
+        spans = spans.union(spread_repeats(owned.join(hot, "bucket", "left_semi")))
+        owned = owned.join(hot, "bucket", "left_anti")
+    spans = spans.union(owned.select("chunk", "bucket", "blob").groupBy("bucket").applyInArrow(_own, "chunk long, blob binary"))
     out = rows.groupBy("chunk").cogroup(spans.groupBy("chunk")).applyInArrow(
         _remove(with_text),
         "doc_id long, _row long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")

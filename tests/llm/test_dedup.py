@@ -153,8 +153,8 @@ def test_repeats_odd_rows(make, odd_rows):
     check_repeats(make(odd_rows), odd_rows)
 
 
-@pytest.mark.parametrize("bucket_anchors", [10, 200_000])
-def test_repeats_planted(make, bucket_anchors):
+@pytest.mark.parametrize("options", [{"bucket_anchors": 10}, {"bucket_anchors": 200_000}, {"owner_segments": 0}, {"bucket_anchors": 100, "owner_segments": 20}])
+def test_repeats_planted(make, options):
     """Copies of passages at lengths around the limit, periodic texts, and passages with different neighbours."""
     r = random.Random(3)
     passages = [prose(1000 + i, 60)[:n] for i, n in enumerate([98, 99, 100, 101, 130, 167, 168, 169, 300])]
@@ -165,7 +165,28 @@ def test_repeats_planted(make, bucket_anchors):
             parts += [r.choice(passages), prose(r.randint(0, 10**6), r.randint(0, 5))]
         rows.append((i * 3 % 61, r.choice(["", " ", "é"]).join(parts), "en", "a", 1))
     rows += [(100, "a" * 500, "en", "a", 1), (101, "ab" * 300 + "c", "en", "a", 1), (102, "abcdefg" * 90, "en", "a", 1), (103, "b" + "a" * 150, "en", "a", 1)]
-    check_repeats(make(rows), rows, bucket_anchors=bucket_anchors)
+    check_repeats(make(rows), rows, **options)
+
+
+def test_repeats_of_a_hot_passage(make, monkeypatch):
+    """One passage in very many documents, each with other neighbours: no owner gets more than its limit."""
+    r = random.Random(4)
+    passage = prose(5, 40)[:180]
+    rows = [(i, prose(10_000 + i, r.randint(2, 8)) + passage + prose(20_000 + i, r.randint(2, 8)), "en", "a", 1) for i in range(3000)]
+    rows += [(None, passage, None, None, None), (5000, passage * 3, "en", "a", 1)]
+    spread = []
+    real = suffixes.spread_repeats
+    monkeypatch.setattr(suffixes, "spread_repeats", lambda segments: spread.append(segments.agg({"n": "sum"}).first()[0]) or real(segments))
+    check_repeats(make(rows), rows, owner_segments=500)
+    assert spread[0] > 1000
+
+
+def test_repeats_in_chunks_of_long_texts(make, monkeypatch):
+    monkeypatch.setattr(suffixes, "CHUNK_TEXT", 300)
+    passages = [prose(1000 + i, 60)[:150] for i in range(4)]
+    r = random.Random(6)
+    rows = [(i, "".join([prose(i, r.randint(0, 60)), r.choice(passages), prose(i + 999, 3)]), "en", "a", 1) for i in range(80)]
+    check_repeats(make(rows), rows, bucket_anchors=50)
 
 
 def test_repeats_across_block_bounds(make, monkeypatch):
