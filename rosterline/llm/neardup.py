@@ -22,7 +22,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from rosterline.llm.common import column, keep_rows, long_id, mix64, rows_of, slices, written
 from rosterline.llm.graph import components
@@ -72,6 +72,16 @@ class Shingler(dict):
         return np.unique(sums)
 
 
+def trimmed(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """``slices``; before and after, a worker gives back what its pools hold of earlier batches and stages."""
+    pools = pa.default_memory_pool(), pa.system_memory_pool()
+    for pool in pools:
+        pool.release_unused()
+    yield from slices(batches, rows)
+    for pool in pools:
+        pool.release_unused()
+
+
 @lru_cache(maxsize=1)
 def _probes(tries: int = 4096) -> np.ndarray:
     """For each bin the random sequence of bins it borrows from."""
@@ -111,7 +121,7 @@ def band_keys(values: np.ndarray) -> np.ndarray:
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     shingler = Shingler()
-    for batch in slices(batches, 500):
+    for batch in trimmed(batches, 500):
         sizes, digests, bands, short = [], [], [], []
         for text in column(batch, "text").to_pylist():
             hashes = shingler.of(text)
@@ -131,7 +141,7 @@ def _compare(percent: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, centre = Shingler(), None
-        for batch in slices(batches, 200):
+        for batch in trimmed(batches, 200):
             out = []
             for a, b, text in zip(*(column(batch, c).to_pylist() for c in ("a", "b", "text"))):
                 own = shingler.of(text)
@@ -153,7 +163,7 @@ def _likely(percent: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         limit = percent / 100
-        for batch in slices(batches, 5_000):
+        for batch in trimmed(batches, 5_000):
             if not batch.num_rows:
                 continue
             x, y = (np.frombuffer(b"".join(column(batch, c).to_pylist()), "<u2").reshape(batch.num_rows, -1) for c in ("short_a", "short_b"))
@@ -190,7 +200,7 @@ def _confirm(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
 
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     shingler = Shingler()
-    for batch in slices(batches, 200):
+    for batch in trimmed(batches, 200):
         tokens = [shingler.of(text).view(np.int64) for text in column(batch, "text").to_pylist()]
         yield pa.RecordBatch.from_arrays(
             [column(batch, "class"), column(batch, "root"), pa.array(tokens, pa.list_(pa.int64()))], names=["class", "root", "tokens"])
@@ -258,9 +268,8 @@ def group_near(docs: DataFrame, percent: int = 85, row: str | None = None) -> Da
         # The texts that meet most others come first; then another order each time, so that buckets get other centres.
         order = F.lit(0 if turn == 0 else int(mix64(np.array([turn], np.uint64))[0] >> np.uint64(1)))
         if turn == 0:
-            # A text that meets many others is likely to be the one they are copies of. A cell holds its few buckets.
-            ranked = members.groupBy("class", "n").agg((-F.sum("members")).alias("first"), F.collect_list("bucket").alias("buckets"))
-            ranked = ranked.select("class", "n", "first", F.explode("buckets").alias("bucket"))
+            # A text that meets many others is likely to be the one they are copies of. A text is in 25 buckets at most.
+            ranked = members.withColumn("first", -F.sum("members").over(Window.partitionBy("class"))).drop("members")
         else:
             ranked = members.withColumn("first", F.lit(0).cast("long"))
         placed = _rooted(ranked, roots)
