@@ -51,7 +51,8 @@ def master_files(spark, sf_dir) -> list[str]:
 def many_files(spark, sf_dir, files: int = 200) -> str:
     """A folder of up to ``files`` files in as many folders, of different sizes and with three headers in turn."""
     folder = new_folder(spark)
-    number = F.col("EIN").cast("int")
+    # The square of a key from 46,341 on is beyond an int.
+    number = F.col("EIN").cast("long")
     rows = master_rows(spark, sf_dir).withColumn("part", F.format_string("%03d", number * number % files))
     sorted_ = rows.repartition(8, "part").sortWithinPartitions("part", "EIN")
     for turn, columns in enumerate((("EIN", "NAME", "NTEE_CD"), ("NTEE_CD", "EIN", "CITY"), ("NAME", "NTEE_CD", "ZIP", "EIN"))):
