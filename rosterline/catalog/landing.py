@@ -386,9 +386,9 @@ def as_documents(df, schema: str, *keys: str):
 
 
 def landed(spark, df, schema: str):
-    """Rows as files of JSON documents, read as such."""
+    """Rows as compressed files of JSON documents, read as such."""
     folder = f"{shared_folder(spark)}/landed-{uuid.uuid4().hex}"
-    df.write.json(folder)
+    df.write.option("compression", "gzip").json(folder)
     return docs.read_json(spark, folder, schema)
 
 
@@ -479,23 +479,29 @@ SELECT l_orderkey || '-' || l_linenumber AS facility_id, 'vet_center' AS facilit
 FROM lineitem""")
 def facility_documents(spark, sf_dir):
     """An answer page per order, a facility per line; a service is an object or a name."""
-    c = F.col
-    city = F.when(c("l_returnflag") == "A", "new ALBANY ").when(c("l_returnflag") == "N", "o'fallon")
-    attributes = F.struct(
-        F.concat(F.lit("Center "), c("l_partkey").cast("string"), F.lit(" ")).alias("name"),
-        F.struct(F.struct(
-            F.concat(c("l_suppkey").cast("string"), F.lit(" Main ")).alias("address_1"), city.alias("city"),
-            F.lit(" ky").alias("state"), F.lpad(c("l_suppkey").cast("string"), 5, "0").alias("zip"),
-        ).alias("physical")).alias("address"),
-        F.struct(F.when(c("l_linestatus") == "O", F.array(F.lit('{"name":"Care"}'), F.lit("Dental")))
-                 .otherwise(F.array(F.lit("Dental"))).alias("health")).alias("services"),
-        c("l_discount").alias("lat"), c("l_tax").alias("long"),
-    )
-    facility = F.struct(
-        F.concat(c("l_orderkey").cast("string"), F.lit("-"), c("l_linenumber").cast("string")).alias("id"),
-        attributes.alias("attributes"),
-    )
-    pages = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list(facility).alias("data"))
+    # Lines are collected as they are and become facilities afterwards, so that the shuffle is narrow.
+    lines = F.collect_list(F.struct(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_linestatus", "l_discount", "l_tax"))
+
+    def facility(l):
+        city = F.when(l["l_returnflag"] == "A", "new ALBANY ").when(l["l_returnflag"] == "N", "o'fallon")
+        attributes = F.struct(
+            F.concat(F.lit("Center "), l["l_partkey"].cast("string"), F.lit(" ")).alias("name"),
+            F.struct(F.struct(
+                F.concat(l["l_suppkey"].cast("string"), F.lit(" Main ")).alias("address_1"), city.alias("city"),
+                F.lit(" ky").alias("state"), F.lpad(l["l_suppkey"].cast("string"), 5, "0").alias("zip"),
+            ).alias("physical")).alias("address"),
+            F.struct(F.when(l["l_linestatus"] == "O", F.array(F.lit('{"name":"Care"}'), F.lit("Dental")))
+                     .otherwise(F.array(F.lit("Dental"))).alias("health")).alias("services"),
+            l["l_discount"].alias("lat"), l["l_tax"].alias("long"),
+        )
+        return F.struct(
+            F.concat(l["l_orderkey"].cast("string"), F.lit("-"), l["l_linenumber"].cast("string")).alias("id"),
+            attributes.alias("attributes"),
+        )
+
+    pages = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(lines.alias("lines")).select(
+        F.transform("lines", facility).alias("data"))
     documents = landed(spark, pages.select(F.lit("vet_center").alias("facility_type"), "data"), docs.FACILITIES)
     return docs.flatten_facilities(documents).select(
         "facility_id", "facility_type", "org_name", "street_address", "city", "state", "zip_code", "phone",

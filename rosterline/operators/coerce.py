@@ -55,7 +55,8 @@ def with_room(docs: DataFrame, room: Column) -> DataFrame:
     starts = narrow.withColumn("_inner", F.coalesce(F.sum("_room").over(within), F.lit(0))).join(splits, "_split").select(
         "_ord", (F.col("_base") + F.col("_inner")).alias("_start"))
     lost = F.raise_error(F.lit("documents were numbered anew between two readings; write them first")).cast("long")
-    return docs.join(starts, "_ord", "left").withColumn("_start", F.coalesce("_start", lost))
+    # Compressed files look smaller than their rows, so Spark would broadcast starts of any number.
+    return docs.join(starts.hint("merge"), "_ord", "left").withColumn("_start", F.coalesce("_start", lost))
 
 
 def empty_records(spark: SparkSession, schema: T.StructType = SCHEMA) -> DataFrame:
