@@ -4,11 +4,11 @@ The measure is the indel ratio ``200 * LCS / (len a + len b)`` of the names with
 sorted. Clusters follow the row order: the first free name is an anchor and takes every later free
 name that is similar to it. That is not the transitive closure of similarity.
 
-Small blocks are settled inside one task each; their size is checked first. Larger blocks never
-pair everything with everything: grams are counted once, every name is indexed under its rarest
-grams without a common letter, as many as similar names must share one of (the argument of pivotal
-prefixes, Deng et al., SIGMOD 2014), and names meet only there, at matching places. Anchors of earlier
-slices remove rows before the next slice is paired.
+Small blocks are settled inside one task each; their size is checked first. Larger blocks are dealt into
+tiles of names against names. There lengths and letter counts, as bits, leave few pairs in a thousand; then the
+names must share one of the rarest grams without a common letter, as many as similar names must share one of
+(the argument of pivotal prefixes, Deng et al., SIGMOD 2014), at matching places. Grams are counted and chosen
+once. Anchors of earlier slices remove rows before the next slice is paired.
 """
 
 from __future__ import annotations
@@ -123,8 +123,8 @@ def _allowance(total_length: str, threshold: float) -> str:
 # Grams have up to so many letters; their counts are kept in so many buckets.
 LONGEST_GRAM = 4
 BUCKETS = 1 << 16
-# Lengths and places meet in classes of so many; the exact limits are looked at afterwards.
-CLASS = 4
+# Names of a block meet in tiles of so many against so many; a tile looks at so many pairs at a time.
+TILE, AT_ONCE = 65_536, 1 << 18
 # Names beyond this length choose their grams stretch by stretch.
 STRETCH = 48
 
@@ -135,18 +135,14 @@ def picks_needed(length: int, threshold: float) -> int:
     return int((100 - threshold) * (length + longest) / 100 + 1e-9) + 1
 
 
-def _with_bag(names: DataFrame) -> DataFrame:
-    """The names with ``bag``: one bit per occurrence of a letter (8 at most), in 32 groups of letters."""
-    bits = (
-        "transform(array(transform(split(name, ''), x -> ascii(x) % 32)), letters -> transform(sequence(0, 3), w -> "
-        "aggregate(sequence(0, 7), cast(0 as bigint), (bits, i) -> bits | shiftleft("
-        "shiftleft(cast(1 as bigint), least(8, size(filter(letters, x -> x = 8 * w + i)))) - 1, 8 * i))))[0]")
-    return names.select("block_id", "ord", "name", F.expr(bits).alias("bag"))
-
-
-def _missing(bag: str, other: str) -> str:
-    """How many letters of one bag the other lacks, as far as the groups can tell."""
-    return " + ".join(f"bit_count({bag}[{w}] & ~{other}[{w}])" for w in range(4))
+def _bag(name: str) -> tuple[int, bytes]:
+    """One bit per occurrence of a letter: up to 4 in 16 groups of letters, and up to 8 in 32 groups."""
+    few, many = [0] * 16, [0] * 32
+    for ch in name:
+        few[ord(ch) % 16] += 1
+        many[ord(ch) % 32] += 1
+    fold = sum(((1 << min(4, n)) - 1) << 4 * i for i, n in enumerate(few))
+    return fold - (fold >> 63 << 64), bytes((1 << min(8, n)) - 1 for n in many)
 
 
 def _grams(names: DataFrame, threshold: float) -> DataFrame:
@@ -171,7 +167,7 @@ def gram_counts(names: DataFrame, threshold: float) -> np.ndarray:
     Grams that share a bucket look more common than they are, which costs speed and changes no result.
     """
     bucket = F.crc32(F.col("gram").cast("binary")) % BUCKETS
-    found = _grams(names, threshold).groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n")).toPandas()
+    found = _grams(_spread(names), threshold).groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n")).toPandas()
     counts = np.ones(BUCKETS)
     counts[found["bucket"].to_numpy(np.int64)] += found["n"].to_numpy(np.float64)
     return counts
@@ -213,7 +209,12 @@ def rare_grams(name: str, picks: int, cost) -> list[tuple[int, int]]:
     return [(at, z) for _, at, z in sorted(found)]
 
 
-def _picked(threshold: float, counts: np.ndarray):
+def _spread(names: DataFrame) -> DataFrame:
+    """Names in all tasks: their files are small, but each name is much work."""
+    return names.repartition(int(names.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def _prepared(threshold: float, counts: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, float] = {}
 
@@ -225,42 +226,113 @@ def _picked(threshold: float, counts: np.ndarray):
             return known[gram]
 
         for batch in batches:
-            out = []
-            for block, order, name, bag in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                grams = rare_grams(name, picks_needed(len(name), threshold), cost) if name else []
-                out.extend((block, order, len(name), rank, name[at:at + z], at, bag) for rank, (at, z) in enumerate(grams))
-            if out:
-                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(list(c), k) for c, k in zip(zip(*out), kinds)],
-                    names=["block_id", "ord", "n", "rank", "gram", "at", "bag"])
+            names = batch.column(2).to_pylist()
+            bags = [_bag(name) for name in names]
+            picks = [[at * 8 + z for at, z in rare_grams(name, picks_needed(len(name), threshold), cost)] if name else [] for name in names]
+            yield pa.RecordBatch.from_arrays([
+                *batch.columns, pa.array([len(name) for name in names], pa.int32()), pa.array([fold for fold, _ in bags], pa.int64()),
+                pa.array([bag for _, bag in bags], pa.binary()), pa.array(picks, pa.list_(pa.int32()))],
+                names=["block_id", "ord", "name", "n", "fold", "bag", "picks"])
+
+    return run
+
+
+def prepared(names: DataFrame, threshold: float, counts: np.ndarray) -> DataFrame:
+    """The names with their length, their letters as bits, and the places and lengths of their rare grams."""
+    if "picks" in names.columns:
+        return names
+    return _spread(names.select("block_id", "ord", "name")).mapInArrow(
+        _prepared(threshold, counts), "block_id long, ord long, name string, n int, fold long, bag binary, picks array<int>")
+
+
+def _tiles(index: DataFrame, probe: DataFrame) -> DataFrame:
+    """Each name once per tile ``(block_id, x, y)`` it belongs to; ``side`` is 0 for the index."""
+    parts = F.ceil(F.count(F.lit(1)) / TILE).cast("int")
+    sizes = index.groupBy("block_id").agg(parts.alias("xs")).join(probe.groupBy("block_id").agg(parts.alias("ys")), "block_id")
+    columns = ("block_id", "x", "y", "side", "ord", "name", "n", "fold", "bag", "picks")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = index.join(sizes, "block_id").withColumn("x", F.pmod(F.hash("ord"), "xs")).withColumn("y", every("ys"))
+    right = probe.withColumn("picks", F.lit(None).cast("array<int>")).join(sizes, "block_id").withColumn(
+        "y", F.pmod(F.hash("ord"), "ys")).withColumn("x", every("xs"))
+    return left.withColumn("side", F.lit(0)).select(*columns).unionByName(right.withColumn("side", F.lit(1)).select(*columns))
+
+
+def allowance(total, threshold: float):
+    """Letters two similar names may differ by, as whole numbers; the same as ``_allowance``."""
+    return np.floor((100 - threshold) * total / 100 + 1e-9).astype(np.int64)
+
+
+def _close_letters(index: pa.Table, probe: pa.Table, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row numbers of pairs that lengths and letters allow, both tables in order of length, the probe's name not the shorter."""
+    a, b = index["n"].to_numpy(), probe["n"].to_numpy()
+    fold = [t["fold"].to_numpy().view(np.uint64) for t in (index, probe)]
+    bags = [np.frombuffer(b"".join(t["bag"].to_pylist()), np.uint64).reshape(-1, 4) for t in (index, probe)]
+    order = [t["ord"].to_numpy() for t in (index, probe)]
+    for n in np.unique(a[a > 0]):
+        first, last = np.searchsorted(a, [n, n + 1])
+        low, high = np.searchsorted(b, [n, int(n * (200 - threshold) / threshold + 1e-9) + 1])
+        for there in range(low, high, 1 << 13):
+            other = slice(there, min(there + (1 << 13), high))
+            allowed = np.minimum(allowance(b[other].astype(np.int64) + n, threshold), 255).astype(np.uint8)
+            step = max(1, AT_ONCE // (other.stop - there))
+            for here in range(first, last, step):
+                differ = np.bitwise_count(fold[0][here:min(here + step, last), None] ^ fold[1][None, other])
+                i, j = np.nonzero(differ <= allowed)
+                i, j = i + here, j + there
+                longer = b[j].astype(np.int64) - n
+                most = allowance(b[j].astype(np.int64) + n, threshold)
+                mine, theirs = bags[0][i], bags[1][j]
+                good = (np.bitwise_count(mine & ~theirs).sum(axis=1, dtype=np.int64) * 2 <= most - longer) & (
+                    np.bitwise_count(theirs & ~mine).sum(axis=1, dtype=np.int64) * 2 <= most + longer) & (
+                    (longer > 0) | (order[0][i] < order[1][j]))
+                if good.any():
+                    yield i[good], j[good]
+
+
+def _sides(batches: Iterator[pa.RecordBatch]) -> tuple[pa.Table, pa.Table]:
+    rows = pa.Table.from_batches(list(batches))
+    side = rows["side"].to_numpy()
+    return tuple(rows.take(np.flatnonzero(side == k)).sort_by("n") for k in (0, 1))
+
+
+def _counted(threshold: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index, probe = _sides(batches)
+        met = sum(len(i) for i, _ in _close_letters(index, probe, threshold))
+        yield pa.RecordBatch.from_arrays([pa.array([met], pa.int64())], names=["met"])
 
     return run
 
 
-def index_grams(names: DataFrame, threshold: float, counts: np.ndarray) -> DataFrame:
-    """The grams under which a name is found by names that are not shorter."""
-    return _with_bag(names).mapInArrow(
-        _picked(threshold, counts), "block_id long, ord long, n int, rank int, gram string, at int, bag array<long>"
-    ).select(F.expr(f"xxhash64(block_id, gram, n div {CLASS}, at div {CLASS})").alias("key"),
-             F.col("ord").alias("s"), F.col("n").alias("a"), "rank", F.col("at").alias("p"), F.col("bag").alias("s_bag"))
+def _share_a_gram(s: str, picks: list[int], r: str, allowed: int) -> bool:
+    """Whether one of the first ``allowed + 1`` grams of ``s`` is in ``r``, no further off than letters may be added or removed."""
+    longer = len(r) - len(s)
+    left, right = (allowed - longer) // 2, (allowed + longer) // 2
+    return any(r.find(s[p >> 3:(p >> 3) + (p & 7)], max(0, (p >> 3) - left), (p >> 3) + right + (p & 7)) >= 0 for p in picks[:allowed + 1])
 
 
-def probe_grams(names: DataFrame, threshold: float) -> DataFrame:
-    """The grams of each name with the classes of length and place a name that is not longer can have them in."""
-    shortest = f"cast(ceil(n * {threshold} / {200 - threshold} - 1e-9) as int)"
-    # A gram of a name of length n - x moves left by up to (k + x) / 2 letters and right by up to (k - x) / 2;
-    # within a class of lengths the shortest moves furthest left, the longest furthest right.
-    low, high = f"greatest({shortest}, {CLASS} * c)", f"least(n, {CLASS} * c + {CLASS - 1})"
-    first = f"greatest(0, at - cast(({_allowance(f'{low} + n', threshold)} + n - {low}) div 2 as int)) div {CLASS}"
-    last = f"(at + cast(({_allowance(f'{high} + n', threshold)} - n + {high}) div 2 as int)) div {CLASS}"
-    places = f"if({first} > {last}, cast(array() as array<bigint>), sequence({first}, {last}))"
-    classes = F.expr(
-        f"flatten(transform(sequence({shortest} div {CLASS}, n div {CLASS}), c -> "
-        f"transform({places}, p -> named_struct('n', c, 'at', p))))")
-    return _grams(_with_bag(names), threshold).withColumn("c", F.explode(classes)).select(
-        F.expr("xxhash64(block_id, gram, c.n, c.at)").alias("key"),
-        F.col("ord").alias("r"), F.col("n").alias("b"), F.col("at").alias("q"), F.col("bag").alias("r_bag"))
+def _met(threshold: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index, probe = _sides(batches)
+        names, others = index["name"].to_pylist(), probe["name"].to_pylist()
+        picks, s, r = index["picks"].to_pylist(), index["ord"].to_numpy(), probe["ord"].to_numpy()
+        for i, j in _close_letters(index, probe, threshold):
+            allowed = allowance(np.array([len(names[x]) + len(others[y]) for x, y in zip(i, j)]), threshold).tolist()
+            near = [k for k, (x, y) in enumerate(zip(i, j)) if _share_a_gram(names[x], picks[x], others[y], allowed[k])]
+            if near:
+                i, j = i[near], j[near]
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(s[i], pa.int64()), pa.array(r[j], pa.int64()), pa.array([names[x] for x in i], pa.string()),
+                    pa.array([others[y] for y in j], pa.string())], names=["s", "r", "s_name", "r_name"])
+
+    return run
+
+
+def _candidates(index: DataFrame, probe: DataFrame, threshold: float, counts: np.ndarray | None) -> DataFrame:
+    if counts is None:
+        counts = gram_counts(index.select("block_id", "ord", "name").unionByName(probe.select("block_id", "ord", "name")), threshold)
+    tiles = _tiles(prepared(index, threshold, counts), prepared(probe, threshold, counts))
+    return tiles.groupBy("block_id", "x", "y").applyInArrow(_met(threshold), "s long, r long, s_name string, r_name string")
 
 
 def candidates(index: DataFrame, probe: DataFrame, threshold: float, counts: np.ndarray | None = None) -> DataFrame:
@@ -269,41 +341,23 @@ def candidates(index: DataFrame, probe: DataFrame, threshold: float, counts: np.
     Two similar names differ by at most k letters, added or removed, and each of these spoils at most one of
     the grams of ``s`` that have no letter in common. So of any k + 1 such grams one is whole in ``r``,
     and no further from its old place than the letters added or removed before it. The k + 1 rarest
-    are looked up. Names meet where gram, lengths and places allow it, and where neither lacks more of the
-    other's letters, wherever they stand, than may be removed from ``s`` or added to it.
+    are looked up, for names of which neither lacks more of the other's letters, wherever they stand, than may
+    be removed from ``s`` or added to it. A pair belongs to one tile, so it comes once.
     """
-    if counts is None:
-        counts = gram_counts(index.unionByName(probe), threshold)
-    tasks = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # A name becomes dozens of grams, so the small tables are spread over all tasks first, and the join is told
-    # to shuffle: by their size on disk Spark would broadcast one and leave the work to few tasks.
-    met = index_grams(index.repartition(tasks), threshold, counts).hint("merge").join(
-        probe_grams(probe.repartition(tasks), threshold), "key")
-    allowed = F.expr(_allowance("a + b", threshold))
-    shift, longer = F.col("q") - F.col("p"), F.col("b") - F.col("a")
-    return met.filter(
-        ((longer > 0) | ((longer == 0) & (F.col("s") < F.col("r")))) & (F.col("rank") <= allowed)
-        & (F.abs(shift) + F.abs(longer - shift) <= allowed)
-        & (F.expr(_missing("s_bag", "r_bag")) * 2 <= allowed - longer) & (F.expr(_missing("r_bag", "s_bag")) * 2 <= allowed + longer)
-    ).select("s", "r").distinct()
+    return _candidates(index, probe, threshold, counts).select("s", "r")
 
 
 def similar_pairs(index: DataFrame, probe: DataFrame, threshold: float, counts: np.ndarray | None = None) -> DataFrame:
     """Pairs ``(i, j)``, i before j, whose index name is not longer than the probe name.
 
-    Inputs have ``block_id, ord, name``. Names join their row numbers once a pair is distinct. Edit
-    distance bounds the measure from below, so it discards most candidates inside the JVM; only the
+    Inputs have ``block_id, ord, name``, and what ``prepared`` adds where that is done. Edit distance
+    bounds the measure from below, so it discards most candidates inside the JVM; only the
     rest goes through Arrow.
     """
     if threshold <= 67:
         raise ValueError("grams would be empty at thresholds of two thirds and less")
     limit = _allowance("length(s_name) + length(r_name)", threshold)
-    side = lambda names, x: names.select(
-        F.col("ord").alias(x), F.col("block_id").alias(f"{x}_block"), F.col("name").alias(f"{x}_name"))
-    near = (
-        candidates(index, probe, threshold, counts).join(side(index, "s"), "s").join(side(probe, "r"), "r")
-        .filter(F.col("s_block") == F.col("r_block")).filter(F.expr(f"levenshtein(s_name, r_name, {limit}) >= 0"))
-    )
+    near = _candidates(index, probe, threshold, counts).filter(F.expr(f"levenshtein(s_name, r_name, {limit}) >= 0"))
     return near.filter(_similar_batch(threshold)("s_name", "r_name")).select(
         F.least("s", "r").alias("i"), F.greatest("s", "r").alias("j"))
 
@@ -338,10 +392,9 @@ def _settle_edges(edges: pd.DataFrame) -> pd.DataFrame:
 
 
 def candidate_count(index: DataFrame, probe: DataFrame, threshold: float, counts: np.ndarray) -> float:
-    """How many pairs would meet in a gram and class, from counts alone."""
-    left = index_grams(index, threshold, counts).groupBy("key").agg(F.count(F.lit(1)).cast("double").alias("x"))
-    right = probe_grams(probe, threshold).groupBy("key").agg(F.count(F.lit(1)).cast("double").alias("y"))
-    return left.join(right, "key").agg(F.sum(F.col("x") * F.col("y"))).first()[0] or 0.0
+    """How many pairs lengths and letters allow, without making them."""
+    tiles = _tiles(prepared(index, threshold, counts), prepared(probe, threshold, counts))
+    return float(tiles.groupBy("block_id", "x", "y").applyInArrow(_counted(threshold), "met long").agg(F.sum("met")).first()[0] or 0)
 
 
 def _cuts(names: DataFrame, shares: list[float]) -> list[int]:
@@ -357,12 +410,16 @@ def _between(names: DataFrame, low: int | None, high: int | None) -> DataFrame:
 
 
 def _too_dense(part: DataFrame, others: DataFrame, threshold: float, max_candidates: float, counts: np.ndarray) -> bool:
-    """Whether pairing a slice with others goes beyond the budget; few names never do."""
+    """Whether pairing a slice with others goes beyond the budget; few names never do.
+
+    A pair counts as ten, for the grams it may meet in.
+    """
     rows, beside = part.count(), others.count()
     if rows < 2 or 10.0 * rows * beside <= max_candidates:
         return False
+    most = max_candidates / 10.0
     met = candidate_count(part, others, threshold, counts)
-    return met > max_candidates or (others is not part and met + candidate_count(others, part, threshold, counts) > max_candidates)
+    return met > most or (others is not part and met + candidate_count(others, part, threshold, counts) > most)
 
 
 def cluster_large(
@@ -377,6 +434,7 @@ def cluster_large(
     """
     names = cut_lineage(names)
     counts = gram_counts(names, threshold)
+    names = cut_lineage(prepared(names, threshold, counts))
     total = names.count()
     shares, reach = [], slice_rows
     while reach < total:
