@@ -125,6 +125,8 @@ LONGEST_GRAM = 4
 BUCKETS = 1 << 16
 # Names of a block meet in tiles of so many against so many; a tile looks at so many pairs at a time.
 TILE, AT_ONCE = 65_536, 1 << 18
+# Slices with fewer pairs to look at per name are not halved: the pairs are no burden beside the names.
+SPARSE = 16
 # Names beyond this length choose their grams stretch by stretch.
 STRETCH = 48
 
@@ -410,14 +412,14 @@ def _between(names: DataFrame, low: int | None, high: int | None) -> DataFrame:
 
 
 def _too_dense(part: DataFrame, others: DataFrame, threshold: float, max_candidates: float, counts: np.ndarray) -> bool:
-    """Whether pairing a slice with others goes beyond the budget; few names never do.
+    """Whether pairing a slice with others goes beyond the budget; few names and few pairs a name never do.
 
     A pair counts as ten, for the grams it may meet in.
     """
     rows, beside = part.count(), others.count()
     if rows < 2 or 10.0 * rows * beside <= max_candidates:
         return False
-    most = max_candidates / 10.0
+    most = max(max_candidates / 10.0, SPARSE * float(rows + beside))
     met = candidate_count(part, others, threshold, counts)
     return met > most or (others is not part and met + candidate_count(others, part, threshold, counts) > most)
 
