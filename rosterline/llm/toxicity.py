@@ -13,6 +13,7 @@ import re
 import string
 import unicodedata
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,7 @@ from rosterline.llm.language import symbols
 from rosterline.llm.quality import ftrl, labelled
 
 SAMPLE = 5_000
-HELD_WORDS = 100_000
+HELD_WORDS = 300_000
 OTHER = 27
 SIZE = 28
 
@@ -45,7 +46,7 @@ REPEATS = ((0.5, 0.5), (6.0, 3.5))
 PIECE, JOINED = 3, 16
 
 _EDGE = "".join(c for c in string.punctuation if c not in "@$+|") + "«»“”„‘’…–—"
-_DOUBLE = re.compile(r"(.)\1+")
+_DOUBLE, _RUN = re.compile(r"(.)\1+", re.DOTALL), re.compile(r"(.)\1*", re.DOTALL)
 _hash = xxhash.xxh32_intdigest
 _LETTERS = "\0" + string.ascii_lowercase
 
@@ -91,6 +92,7 @@ def character_model(docs: DataFrame, smooth: float = 5.0) -> np.ndarray:
     return np.log(p3)
 
 
+@cache
 def _options(char: str) -> list[tuple[int | None, float]]:
     """Readings of one character inside a disguised word: a letter, nothing, or a word boundary."""
     if "a" <= char <= "z":
@@ -107,11 +109,17 @@ def _options(char: str) -> list[tuple[int | None, float]]:
 
 def lattice(chars: str, repeats: tuple[float, float], spaced: bool = False) -> list[list[tuple[int | None, float]]]:
     """Slots of readings. A run of equal characters may be one or two of them."""
+    if not spaced:
+        slots = [_options(c) for c in chars]
+        for run in reversed(list(_DOUBLE.finditer(chars))):
+            options = slots[run.start()]
+            slots[run.start():run.end()] = [options, [*options, (None, repeats[run.end() - run.start() > 2])]]
+        return slots
     slots = []
-    for run in re.finditer(r"(.)\1*", chars, re.DOTALL):
+    for run in _RUN.finditer(chars):
         options, n = _options(run[1]), len(run[0])
         for k in range(min(n, 2)):
-            if slots and spaced:
+            if slots:
                 slots.append([(None, 0.0), (0, BOUNDARY)])
             slots.append([*options, (None, repeats[n > 2])] if k else options)
     return slots
@@ -121,6 +129,14 @@ def viterbi(slots: list[list[tuple[int | None, float]]], model: list) -> str:
     """The likeliest string of letters and boundaries (as spaces) through a lattice."""
     states: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
     for options in slots:
+        if len(options) == len(states) == 1:
+            # One way on: nothing to compare.
+            (((a, b), (score, path)),), ((symbol, cost),) = states.items(), options
+            if symbol is None or symbol == b == 0:
+                states = {(a, b): (score - cost, path)}
+            else:
+                states = {(b, symbol): (score - cost + model[a][b][symbol], (path, symbol))}
+            continue
         after: dict[tuple[int, int], tuple[float, tuple | None]] = {}
         for (a, b), (score, path) in states.items():
             row = model[a][b]
@@ -160,17 +176,18 @@ class Restorer(dict):
         if core.endswith("$$$"):
             core = core.rstrip("$").rstrip(_EDGE)
         if core.isalpha() and (core.isascii() or not any(c in LOOKALIKES for c in core)):
-            doubled = [len(m[0]) for m in _DOUBLE.finditer(core)]
-            if not doubled:
+            if not _DOUBLE.search(core):
                 return (core,)
-            if doubled == [2]:
+            if [len(m[0]) for m in _DOUBLE.finditer(core)] == [2]:
                 return tuple(sorted({core, *self.readings(core)}))
         if not any(c.isalpha() for c in core):
             return ()
         return tuple(sorted(self.readings(core)))
 
     def readings(self, chars: str, spaced: bool = False) -> set[str]:
-        return {w for costs in REPEATS for w in viterbi(lattice(chars, costs, spaced), self.model).split()}
+        # Without a run of equal characters both prices give the same lattice.
+        prices = REPEATS if _DOUBLE.search(chars) else REPEATS[:1]
+        return {w for costs in prices for w in viterbi(lattice(chars, costs, spaced), self.model).split()}
 
     def words(self, text: str) -> set[str]:
         """The distinct restored words of a whole text."""
@@ -184,7 +201,8 @@ class Restorer(dict):
     def spelled(self, tokens: list[str]) -> set[str]:
         """What runs of three or more tokens of one character, besides separators, spell."""
         found: set[str] = set()
-        tokens = [t if len(t) == 1 else t.strip(_EDGE) for t in tokens]
+        # Most tokens of more characters are letters and digits only, so nothing can be stripped from them.
+        tokens = [t if len(t) == 1 or t.isalnum() else t.strip(_EDGE) for t in tokens]
         single = [i for i, t in enumerate(tokens) if len(t) == 1]
         start = 0
         while start < len(single):
@@ -205,7 +223,7 @@ class Restorer(dict):
         found: set[str] = set()
         run: list[str] = []
         for token in tokens:
-            piece = token.strip(_EDGE)
+            piece = token if token.isalnum() else token.strip(_EDGE)
             if not 0 < len(piece) <= PIECE:
                 run = []
                 continue
