@@ -36,6 +36,8 @@ TURNS = 3
 PART = 500
 # How many standard deviations a signature may fall short of the limit in a star.
 SLACK = 6.0
+# Bits of the filter that texts pass before they are shuffled, in pieces of 4 KB: 4 MB in all, whatever the input.
+FILTER_BITS, PIECE_BITS = 25, 15
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
 
@@ -174,6 +176,26 @@ def _likely(percent: int):
     return run
 
 
+def _marked(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """``rows`` whose ``_row`` is among ``ids``, and a few others: one bit per hash says whether an id has it.
+
+    The bitmap has a fixed size, so it is sent to every task and the rows stay where they are. With more ids
+    than ``2 ** FILTER_BITS`` most rows pass, which costs a later exact join time, never rows.
+    """
+    place = F.pmod(F.xxhash64("_row"), F.lit(1 << FILTER_BITS))
+    piece, at = F.shiftright(place, PIECE_BITS), F.pmod(place, F.lit(1 << PIECE_BITS))
+    # Dealt by piece first, so that no task sends pieces of its own.
+    bits = ids.select(piece.alias("piece"), at.alias("at")).repartition("piece").groupBy("piece").agg(
+        F.bitmap_construct_agg("at").alias("bitmap"))
+    byte = F.conv(F.hex(F.substring("bitmap", (F.shiftright(at, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    return rows.join(F.broadcast(bits), (piece == F.col("piece")) & (F.getbit(byte, F.pmod(at, F.lit(8)).cast("int")) == 1), "left_semi")
+
+
+def _texts_of(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """``_row, text`` of the rows whose ``_row`` is among the distinct ``ids``; few other texts are shuffled."""
+    return _marked(rows.select("_row", "text"), ids).join(ids, "_row", "left_semi")
+
+
 def _promising(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Pairs whose signatures come near enough to the limit. ``a`` may repeat without bound."""
     short = classes.select("class", "short", "n")
@@ -261,7 +283,7 @@ def group_near(docs: DataFrame, percent: int = 85, row: str | None = None) -> Da
     exploded = classes.select("class", "n", F.explode("bands").alias("bucket"))
     shared = exploded.groupBy("bucket").agg(F.count("*").alias("members")).filter("members > 1")
     members = written(exploded.join(shared, "bucket").select("bucket", "class", "n", "members"))
-    texts = written(rows.select("_row", "text").join(members.select(F.col("class").alias("_row")).distinct(), "_row", "left_semi"))
+    texts = written(_texts_of(rows, members.select(F.col("class").alias("_row")).distinct()))
 
     links = tested = roots = None
     for turn in range(TURNS):

@@ -257,3 +257,48 @@ def test_rare_shingles_find_all_pairs(make):
     sets = {i: plain.shingles(t) for i, t, *_ in rows}
     want = {(i, j) for i in sets for j in sets if i < j and 100 * len(sets[i] & sets[j]) >= 60 * len(sets[i] | sets[j])}
     assert want <= got and len(want) > 15
+
+
+def shuffled_texts(texts):
+    """Records that the plan of ``texts``, once run, wrote to exchanges that carry the text."""
+    plan = texts._jdf.queryExecution().executedPlan()
+    texts._jdf.queryExecution().toRdd().count()
+    todo, found = [plan.executedPlan()], 0
+    while todo:
+        node = todo.pop()
+        if node.nodeName().endswith("QueryStage"):
+            todo.append(node.plan())
+            continue
+        if node.nodeName() == "Exchange" and "text#" in node.output().mkString(" "):
+            found += node.metrics().apply("shuffleRecordsWritten").value()
+        children = node.children()
+        todo += [children.apply(k) for k in range(children.size())]
+    return found
+
+
+def test_near_shuffles_few_other_texts(make, spark, monkeypatch):
+    """Where the ids of texts that share a bucket are too many to broadcast, the other texts still stay where they are."""
+    rows = [(i, prose(i, 40), "en", "a", 1) for i in range(2000)] + [(5000 + i, prose(i, 40) + " x", "en", "a", 1) for i in range(0, 2000, 40)]
+    plans = []
+    real = neardup.written
+    monkeypatch.setattr(neardup, "written", lambda df: (df.columns == ["_row", "text"] and plans.append(df)) or real(df))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        check_near(make(rows), rows)
+        assert 100 <= shuffled_texts(plans[0]) < 150
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+@pytest.mark.parametrize("bits, piece", [(15, 15), (16, 15), (25, 15), (3, 2)])
+def test_marked_loses_no_row(make, monkeypatch, bits, piece):
+    """At any size of the bitmap all ids pass, and the exact join leaves them alone."""
+    monkeypatch.setattr(neardup, "FILTER_BITS", bits)
+    monkeypatch.setattr(neardup, "PIECE_BITS", piece)
+    rows = make([(i, f"t{i}") for i in range(-3000, 3000)], "_row long, text string")
+    ids = rows.filter("_row % 7 = 0").select("_row")
+    want = {i for i in range(-3000, 3000) if i % 7 == 0}
+    passed = {r._row for r in neardup._marked(rows, ids).collect()}
+    assert want <= passed and (bits < 25 or len(passed) < len(want) + 50)
+    assert sorted(tuple(r) for r in neardup._texts_of(rows, ids).collect()) == sorted((i, f"t{i}") for i in want)
+    assert neardup._texts_of(rows, ids.limit(0)).count() == 0
