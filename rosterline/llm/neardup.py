@@ -38,6 +38,8 @@ PART = 500
 SLACK = 6.0
 # Bits of the filter that texts pass before they are shuffled, in pieces of 4 KB: 4 MB in all, whatever the input.
 FILTER_BITS, PIECE_BITS = 25, 15
+# 64-bit words of a set's parities, which rule pairs out where more than ``FEW`` texts meet in a shingle.
+WORDS, FEW = 16, 16
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
 
@@ -220,12 +222,23 @@ def _confirm(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return written(rows.mapInArrow(_compare(percent), "a long, b long, linked boolean"))
 
 
+def parities(hashes: np.ndarray) -> np.ndarray:
+    """For each place of ``64 * WORDS`` whether an odd number of the set's hashes fall on it, as ``WORDS`` integers.
+
+    A hash that is in one of two sets only turns one place, so two sets differ in at least as many hashes as
+    their parities differ in places.
+    """
+    counts = np.bincount((hashes % np.uint64(64 * WORDS)).astype(np.int64), minlength=64 * WORDS)
+    return np.packbits((counts & 1).astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     shingler = Shingler()
     for batch in trimmed(batches, 200):
-        tokens = [shingler.of(text).view(np.int64) for text in column(batch, "text").to_pylist()]
-        yield pa.RecordBatch.from_arrays(
-            [column(batch, "class"), column(batch, "root"), pa.array(tokens, pa.list_(pa.int64()))], names=["class", "root", "tokens"])
+        sets = [shingler.of(text) for text in column(batch, "text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([
+            column(batch, "class"), column(batch, "root"), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64())),
+            pa.array([parities(x) for x in sets], pa.list_(pa.int64()))], names=["class", "root", "tokens", "parity"])
 
 
 def _like(n: str, other: str, percent: int):
@@ -238,24 +251,33 @@ def prefix_pairs(mixed: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     Shingles are ordered from rare to common among these texts. Two linked sets share a shingle among the
     first ``n - ceil(limit * n) + 1`` of each, and from their first shared one on both must have enough
     left. So texts meet in their rare shingles only; what a whole family has in common comes last.
+    Where more than ``FEW`` texts meet, as in a family somewhat below the limit, a pair must also have parities
+    that differ in no more places than linked sets may differ in shingles, so few pairs that are not linked are left.
+    Sets of many more shingles than ``64 * WORDS`` fill the places and pass; none that is linked is ever lost.
     """
     read = written(texts.join(mixed, texts["_row"] == mixed["class"]).select("class", "root", "text").mapInArrow(
-        _tokens, "class long, root long, tokens array<long>"))
+        _tokens, "class long, root long, tokens array<long>, parity array<long>"))
     flat = read.select("class", F.explode("tokens").alias("token"))
     common = flat.groupBy("token").agg(F.count("*").alias("count"))
     # One cell holds the shingles of one text.
     sorted_ = flat.join(common, "token").groupBy("class").agg(F.sort_array(F.collect_list(F.struct("count", "token"))).alias("order"))
-    sets = written(read.select("class", "root", F.size("tokens").cast("long").alias("n")).join(sorted_, "class").select(
-        "class", "root", "n", F.transform("order", lambda x: x["token"]).alias("order")))
+    sets = written(read.select("class", "root", "parity", F.size("tokens").cast("long").alias("n")).join(sorted_, "class").select(
+        "class", "root", "n", "parity", F.transform("order", lambda x: x["token"]).alias("order")))
     first = F.expr(f"cast(n - ceil({percent} * n / 100) + 1 as int)")
     rows = sets.select("class", "root", "n", F.posexplode(F.slice("order", 1, first)).alias("at", "token"))
-    met = rows.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x != y").select("token")
-    rows = written(rows.join(met, "token"))
-    other = rows.select("token", F.col("class").alias("b"), F.col("root").alias("root_b"), F.col("n").alias("n_b"), F.col("at").alias("at_b"))
+    met = rows.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("members")).filter("x != y").select("token", "members")
+    # Parities come last, when few rows are left to carry them.
+    rows = written(rows.join(met, "token").join(sets.select("class", "parity"), "class").select(
+        "token", "class", "root", "n", "at", F.when(F.col("members") > FEW, F.col("parity")).alias("parity")))
+    other = rows.select(
+        "token", F.col("class").alias("b"), F.col("root").alias("root_b"), F.col("n").alias("n_b"), F.col("at").alias("at_b"),
+        F.col("parity").alias("parity_b"))
     # At the first shared shingle, what follows in both sets must suffice.
     room = F.expr(f"least(n - at, n_b - at_b) * {100 + percent} >= {percent} * (n + n_b)")
+    apart = " + ".join(f"bit_count(parity[{k}] ^ parity_b[{k}])" for k in range(WORDS))
+    near = F.expr(f"parity is null or ({apart}) * {100 + percent} <= {100 - percent} * (n + n_b)")
     return rows.join(other, "token").filter(
-        (F.col("class") < F.col("b")) & (F.col("root") != F.col("root_b")) & _like("n", "n_b", percent) & room
+        (F.col("class") < F.col("b")) & (F.col("root") != F.col("root_b")) & _like("n", "n_b", percent) & room & near
     ).select(F.col("class").alias("a"), "b").distinct()
 
 

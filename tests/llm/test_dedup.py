@@ -259,6 +259,38 @@ def test_rare_shingles_find_all_pairs(make):
     assert want <= got and len(want) > 15
 
 
+def test_rare_shingles_pass_few_pairs_of_a_family(make):
+    """Copies of one text, each changed in places of its own: all resemble each other at 0.76, few are linked, none of those is lost."""
+    r = random.Random(9)
+    base = [f"w{i}" for i in range(150)]
+    texts = []
+    for m in range(400):
+        # Every eighth is the one before with one change more.
+        words, changes = (texts[-1].split(), 1) if m % 8 == 7 else (list(base), 2)
+        for k in range(changes):
+            words[r.randrange(150)] = f"m{m}x{k}"
+        texts.append(" ".join(words))
+    docs = make([(m, t, "en", "a", 1) for m, t in enumerate(texts)]).selectExpr("doc_id as _row", "text").cache()
+    got = {(x.a, x.b) for x in neardup.prefix_pairs(docs.selectExpr("_row as class", "_row as root"), docs, 80).collect()}
+    sets = [plain.shingles(t) for t in texts]
+    alike = {(i, j): len(sets[i] & sets[j]) / len(sets[i] | sets[j]) for i in range(400) for j in range(i + 1, 400)}
+    want = {pair for pair, x in alike.items() if x >= 0.8}
+    assert want <= got and all((8 * k + 6, 8 * k + 7) in want for k in range(50))
+    assert sum(x > 0.7 for x in alike.values()) > 50_000 and len(got) < 2 * len(want) < 20_000
+
+
+@pytest.mark.parametrize("size", [1, 40, 1000, 30_000])
+def test_parities_differ_in_no_more_places_than_sets(size):
+    r = np.random.default_rng(size)
+    for changed in (0, 1, size // 4, size):
+        x = np.unique(r.integers(0, 2**64, size, np.uint64))
+        y = np.unique(np.concatenate([x[changed:], r.integers(0, 2**64, changed, np.uint64)]))
+        places = np.bitwise_count((neardup.parities(x) ^ neardup.parities(y)).view(np.uint64)).sum()
+        differ = len(np.setxor1d(x, y))
+        assert places <= differ and (changed > 0 or places == 0)
+        assert size != 1000 or changed != 250 or places > 0.6 * differ
+
+
 def shuffled_texts(texts):
     """Records that the plan of ``texts``, once run, wrote to exchanges that carry the text."""
     plan = texts._jdf.queryExecution().executedPlan()
