@@ -3,7 +3,8 @@
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; its output is written as Parquet and
 read again as the next stage's ``docs``. All stages but the last return the columns of ``documents``.
 Each works on all rows it is given; the docstrings of the operators say what nulls, empty texts, ties,
-repeated rows, empty tables and extra columns give.
+repeated rows, empty tables and extra columns give. Stages with Python workers ask for small Arrow batches,
+since an executor keeps what earlier stages took outside the heap.
 """
 
 from __future__ import annotations
@@ -13,20 +14,24 @@ from pyspark.sql import DataFrame, SparkSession
 from rosterline.catalog.registry import table
 from rosterline.llm import exact, language, mixing, neardup, packing
 from rosterline.llm.common import written
+from rosterline.session import small_batches
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without texts that have no letter or resemble no language."""
+    small_batches(spark)
     return language.drop_unknown(docs)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of texts that are equal without white space."""
+    small_batches(spark)
     return exact.drop_equal(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near-duplicates."""
+    small_batches(spark)
     return neardup.drop_near(docs)
 
 
@@ -37,6 +42,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces at their places in sequences of 2048."""
+    small_batches(spark)
     return packing.pack(docs).drop("_row")
 
 

@@ -64,6 +64,16 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBa
             yield batch.slice(start, rows)
 
 
+def trimmed(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """``slices``; before and after, a worker gives back what its pools hold of earlier batches and stages."""
+    pools = pa.default_memory_pool(), pa.system_memory_pool()
+    for pool in pools:
+        pool.release_unused()
+    yield from slices(batches, rows)
+    for pool in pools:
+        pool.release_unused()
+
+
 def total(docs: DataFrame, value: Column) -> int:
     """One number over all rows; 0 for an empty table."""
     return docs.agg(F.sum(value).alias("total")).first()["total"] or 0

@@ -24,7 +24,7 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from rosterline.llm.common import SPACES, column, keep_rows, long_id, rows_of, slices, written
+from rosterline.llm.common import SPACES, column, keep_rows, long_id, rows_of, trimmed, written
 
 ENTRY = (
     "kind int, doc_id long, row long, entry long, key long, body binary, sha string, "
@@ -71,7 +71,7 @@ def _combine(held_bytes: int, key_bits: int):
                     pa.array([b[1] for b in best], pa.int64()), pa.array([b[2] for b in best], pa.int64()),
                 ], schema=_ENTRY)
 
-        for batch in slices(batches, 500):
+        for batch in trimmed(batches, 500):
             texts = column(batch, "text")
             chars = pc.fill_null(pc.utf8_length(texts), 0).to_pylist()
             ids, rows = column(batch, "doc_id"), column(batch, "_row")
@@ -182,7 +182,7 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def flush():
         yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*out), _SETTLED)], schema=_SETTLED)
 
-    for batch in slices(batches, 500):
+    for batch in trimmed(batches, 500):
         for r in zip(*(column(batch, c).to_pylist() for c in ("key", "entry", "body", "n", "chars", "keep_id", "keep_row", "sha"))):
             if r[0] != key:
                 settled()

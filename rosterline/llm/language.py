@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from rosterline.llm.common import column, long_id, mix64, remainder, slices
+from rosterline.llm.common import column, long_id, mix64, remainder, trimmed
 
 DIMENSIONS = 512
 # Symbols: 0 between words, 1 to 26 for a to z, and further letters dealt to the rest by code point.
@@ -37,13 +37,24 @@ def symbols() -> np.ndarray:
 
 
 @lru_cache(maxsize=1)
-def grams() -> np.ndarray:
-    """The vector of every letter n-gram: the product of letter vectors rolled by their place."""
+def _halves() -> tuple[np.ndarray, np.ndarray]:
+    """The vectors of all beginnings of n-grams without their last letter, and those of the last letter."""
     letters = np.random.default_rng(20240229).integers(0, 2, (ALPHABET, DIMENSIONS), np.int8) * 2 - 1
     out = np.ones((1, DIMENSIONS), np.int8)
-    for place in range(N):
+    for place in range(N - 1):
         out = (out[:, None, :] * np.roll(letters, N - 1 - place, axis=1)[None, :, :]).reshape(-1, DIMENSIONS)
-    return out
+    return out, letters
+
+
+def grams(numbers: np.ndarray | None = None) -> np.ndarray:
+    """The vectors of n-grams, of all by default: the product of letter vectors rolled by their place.
+
+    Those of a text are multiplied when needed; a table of all would fill 54 MB of every worker for good.
+    """
+    begin, last = _halves()
+    first, letter = np.divmod(np.arange(ALPHABET**N) if numbers is None else numbers, ALPHABET)
+    out = begin.take(first, axis=0)
+    return np.multiply(out, last.take(letter, axis=0), out=out)
 
 
 def codes(text: str) -> np.ndarray:
@@ -65,7 +76,7 @@ def codes(text: str) -> np.ndarray:
 def _bundles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One summed bundle of letter n-gram vectors per language and task."""
     counts: dict[str, np.ndarray] = {}
-    for batch in slices(batches, 500):
+    for batch in trimmed(batches, 500):
         for lang, text in zip(column(batch, "lang").to_pylist(), column(batch, "text").to_pylist()):
             mine = counts.setdefault(lang, np.zeros(ALPHABET**N, np.int64))
             found, times = np.unique(codes(text or ""), return_counts=True)
@@ -73,8 +84,8 @@ def _bundles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for lang, mine in counts.items():
         used = np.flatnonzero(mine)
         bundle = np.zeros(DIMENSIONS, np.int64)
-        for part in np.array_split(used, len(used) // 10_000 + 1):
-            bundle += mine[part] @ grams()[part].astype(np.int64)
+        for part in np.array_split(used, len(used) // 1_000 + 1):
+            bundle += mine[part] @ grams(part).astype(np.int64)
         yield pa.RecordBatch.from_arrays(
             [pa.array([lang]), pa.array([bundle.tolist()], pa.list_(pa.int64()))], names=["lang", "bundle"])
 
@@ -109,7 +120,7 @@ def predict(text: str | None, names: list[str], prototypes: np.ndarray) -> tuple
     found, times = np.unique(codes(text or ""), return_counts=True)
     if not len(found) or not names:
         return "und", 0.0
-    bundle = times.astype(np.float32) @ grams()[found].astype(np.float32)
+    bundle = times.astype(np.float32) @ grams(found).astype(np.float32)
     cosines = prototypes @ bundle / max(float(np.linalg.norm(bundle)), 1e-9)
     best = int(np.argmax(cosines))
     return names[best], float(np.clip((1 + cosines[best]) / 2, 0, 1))
@@ -117,7 +128,7 @@ def predict(text: str | None, names: list[str], prototypes: np.ndarray) -> tuple
 
 def _predict(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 500):
+        for batch in trimmed(batches, 500):
             made = [predict(text, *model.value) for text in column(batch, "text").to_pylist()]
             yield pa.RecordBatch.from_arrays([
                 column(batch, "doc_id"), column(batch, "held_out"), pa.array([m[0] for m in made], pa.string()),
@@ -136,14 +147,14 @@ def resembles(text: str | None, vectors: np.ndarray, least: float) -> bool:
     found, times = np.unique(codes(text or ""), return_counts=True)
     if len(found) <= FEW or not len(vectors):
         return bool(len(found))
-    bundle = np.sqrt(times.astype(np.float32)) @ grams()[found].astype(np.float32)
+    bundle = np.sqrt(times.astype(np.float32)) @ grams(found).astype(np.float32)
     best = float(np.max(vectors @ bundle)) / max(float(np.linalg.norm(bundle)), 1e-9)
     return best >= least * min(1.0, (len(found) - FEW) / (ENOUGH - FEW))
 
 
 def _reject(model, least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 500):
+        for batch in trimmed(batches, 500):
             keep = [resembles(text, model.value, least) for text in column(batch, "text").to_pylist()]
             yield batch.filter(pa.array(keep, pa.bool_()))
 

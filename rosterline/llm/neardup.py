@@ -24,7 +24,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
-from rosterline.llm.common import column, keep_rows, long_id, mix64, rows_of, slices, written
+from rosterline.llm.common import column, keep_rows, long_id, mix64, rows_of, trimmed, written
 from rosterline.llm.graph import components
 
 BIN_BITS = 7
@@ -76,16 +76,6 @@ class Shingler(dict):
         return np.unique(sums)
 
 
-def trimmed(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
-    """``slices``; before and after, a worker gives back what its pools hold of earlier batches and stages."""
-    pools = pa.default_memory_pool(), pa.system_memory_pool()
-    for pool in pools:
-        pool.release_unused()
-    yield from slices(batches, rows)
-    for pool in pools:
-        pool.release_unused()
-
-
 @lru_cache(maxsize=1)
 def _probes(tries: int = 4096) -> np.ndarray:
     """For each bin the random sequence of bins it borrows from."""

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from rosterline.llm.common import column, long_id, rows_of, slices
+from rosterline.llm.common import column, long_id, rows_of, trimmed
 
 END = 1
 HELD_WORDS = 100_000
@@ -122,7 +122,7 @@ def _packed(tokenizer: str, capacity: int, with_ids: bool):
             yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*out), _PIECES)], schema=_PIECES)
             out.clear()
 
-        for batch in slices(batches, 500):
+        for batch in trimmed(batches, 500):
             for doc_id, row, text in zip(*(column(batch, c).to_pylist() for c in ("doc_id", "_row", "text"))):
                 ids = memoryview(words.encode(text or "") + end)
                 start, n = 0, len(ids) // 4

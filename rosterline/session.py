@@ -45,6 +45,17 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{folder.rstrip('/')}/rosterline-{spark.sparkContext.applicationId}"
 
 
+def small_batches(spark: SparkSession, size: str = "4m") -> None:
+    """Python workers get Arrow batches of about ``size``, unless the session names a size of its own.
+
+    Spark's default is 64 MB. A batch is held twice in the JVM while it grows and twice in the worker while
+    the next one arrives, outside the heap, and the freed pieces stay with the executor.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if key not in spark.conf.getAll:
+        spark.conf.set(key, size)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and go on from there.
 

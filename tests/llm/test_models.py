@@ -1,8 +1,10 @@
 """Classifiers: held-out accuracy on the supplied tables, and defined results for odd rows."""
 
 import os
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -80,6 +82,48 @@ def test_language_vectors_are_bound_and_permuted():
     assert language.codes("Ab, c").tolist() == language.codes("ab c").tolist() != language.codes("a bc").tolist()
 
 
+def test_language_workers_hold_no_table_of_all_grams():
+    """Vectors of a text's n-grams are the table's; neither learning nor judging keeps or makes the 54 MB of all."""
+    some = np.array([0, 1, 47, 48, 2303, 2304, 7001, language.ALPHABET**language.N - 1])
+    assert np.array_equal(language.grams(some), language.grams()[some])
+    texts = [prose(k, 300) for k in range(40)] + ["".join(map(chr, range(0x4E00 + k, 0x6E00, 7))) for k in range(7)]
+    batch = pa.RecordBatch.from_pydict({"lang": ["en"] * len(texts), "text": texts})
+    language._halves.cache_clear()
+    language.symbols()
+    tracemalloc.start()
+    try:
+        bundle = np.array(next(language._bundles(iter([batch])))["bundle"].to_pylist(), float)
+        assert language.resembles(texts[0], language._units(bundle), 0.35)
+        held, most = tracemalloc.get_traced_memory()
+    finally:
+        tracemalloc.stop()
+    assert held < 4 << 20 and most < 24 << 20
+
+
+def test_pipeline_stages_ask_for_small_batches(spark, make):
+    """A worker gets a few MB at a time; a size that the session names is kept."""
+    import corpus_pipeline
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    docs = make([(k, prose(k % 7, 400), "en", "a", 1) for k in range(4000)], files=1)
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"n": pa.array([b.nbytes], pa.int64())})
+
+    for stage in (corpus_pipeline.identify_language, corpus_pipeline.exact_dedup, corpus_pipeline.near_dedup, corpus_pipeline.pack_sequences):
+        spark.conf.unset(key)
+        stage(spark, docs.limit(0), "")
+        seen = [r.n for r in docs.mapInArrow(sizes, "n long").collect()]
+        assert sum(seen) > 10 << 20 and max(seen) < 6 << 20
+    spark.conf.set(key, "2m")
+    try:
+        corpus_pipeline.identify_language(spark, docs, "")
+        assert spark.conf.get(key) == "2m"
+    finally:
+        spark.conf.unset(key)
+
+
 @pytest.fixture(scope="module")
 def model():
     counts = np.zeros(toxicity.SIZE**3, np.int64)
